@@ -69,12 +69,12 @@ def full_bars(
     calendar: DataFrame,
     symbol: str,
     years: int,
-    arrival: Sequence[str] = ("date",),
+    arrival: Sequence[str] = (),
     today: dt.date | None = None,
     params: Params = DEFAULT,
 ) -> DataFrame:
     """Load, attach context, normalise names, keep sessions, keep the last arrival per date."""
-    loaded = keep_last_arrival(bars, arrival) if tuple(arrival) != ("date",) else bars
+    loaded = keep_last_arrival(bars, arrival).drop(*arrival) if arrival else bars
     loaded = normalize(drop_columns(bars_with_context(loaded, symbol, years, today, params), "adj_close"))
     return keep_sessions(loaded, calendar, params)
 
