@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quotemill.functions import windows as W
-from quotemill.functions.scalars import div, truth
+from quotemill.functions.scalars import div
 from quotemill.operators.machines import Curve, Run, machine_for
 from quotemill.operators.rules import Rule
 from quotemill.params import DEFAULT, Params
@@ -40,7 +40,7 @@ def split_by_machine(rules: Sequence[Rule]) -> dict[bool, list[Rule]]:
 
 def positions(wide: DataFrame, rules: Sequence[Rule], params: Params = DEFAULT) -> DataFrame:
     """Position frame, one row per symbol, rule and bar, from the wide frame of `with_rules`."""
-    frames = [_play(wide, group, open_ended, params) for open_ended, group in split_by_machine(rules).items()]
+    frames = [play(wide, group, open_ended, params) for open_ended, group in split_by_machine(rules).items()]
     return frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1])
 
 
@@ -63,12 +63,13 @@ def day_number(pdf: pd.DataFrame) -> np.ndarray:
     return pd.to_datetime(pdf["date"]).to_numpy("datetime64[D]").astype(np.int64)
 
 
-def _play(wide: DataFrame, rules: Sequence[Rule], open_ended: bool, params: Params) -> DataFrame:
+def play(wide: DataFrame, rules: Sequence[Rule], open_ended: bool, params: Params = DEFAULT) -> DataFrame:
+    """Play rules on one machine: the timed one, or the open-ended one with or without limits."""
     names = [r.name for r in rules]
     runs = [Run(r.days, r.profit, r.is_long) for r in rules]
     buys, sells = [f"buy_{n}" for n in names], [f"sell_{n}" for n in names]
 
-    def play(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def advance(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         machine, curve = machine_for(runs, params, open_ended), Curve(len(runs))
         for pdf in batches:
             if not len(pdf):
@@ -107,7 +108,7 @@ def _play(wide: DataFrame, rules: Sequence[Rule], open_ended: bool, params: Para
                 )
 
     played = sorted_by_date(kernel_input(wide, rules, params), "symbol").groupBy("symbol")
-    return played.applyInPandas(play, POSITION_SCHEMA)
+    return played.applyInPandas(advance, POSITION_SCHEMA)
 
 
 def with_drawdown(curve: DataFrame, keys: Sequence[str] = ("symbol", "signal")) -> DataFrame:
@@ -141,15 +142,3 @@ def bad_bars(bars: DataFrame) -> DataFrame:
     )
     return copies.filter("copies > 1 OR null_closes > 0 OR crossed > 0")
 
-
-__all__ = [
-    "bad_bars",
-    "is_open_ended",
-    "positions",
-    "split_by_machine",
-    "sorted_by_date",
-    "track_change",
-    "trade_ledger",
-    "truth",
-    "with_drawdown",
-]

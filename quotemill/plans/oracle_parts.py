@@ -380,7 +380,7 @@ def play_open(rows: str = "rows_in", keys: tuple[str, ...] = ("symbol", "signal"
   FROM {rows} WHERE i = 1
   UNION ALL
   SELECT {k}, i, date, close, track, buy, sell, odb, days, profit, h, t,
-         (sell AND h) OR (odb_before AND NOT hold_before AND NOT buy_before) OR tpnl < -15e-2
+         (sell AND h) OR (odb_before AND NOT hold_before AND NOT buy_before) OR coalesce(tpnl < -15e-2, false)
            OR (days > 0 AND (held >= days OR ups >= profit)), held, ups,
          CASE WHEN (t OR odb) AND entry_before = 0 THEN close WHEN h THEN entry_before ELSE 0e0 END,
          CASE WHEN (t OR odb) AND entry_before = 0 THEN date WHEN h THEN date_before END, tpnl,
