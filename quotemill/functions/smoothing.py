@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from quotemill.session import date_sorted_groups
+
 
 @dataclass(frozen=True)
 class Smoothing:
@@ -166,6 +168,4 @@ def with_smoothings(df: DataFrame, specs: Sequence[Smoothing], key: str = "symbo
             if len(pdf):
                 yield pdf.assign(**smoother.push(pdf))
 
-    # The explicit sort already orders rows by key, so the grouped map adds none of its own.
-    by_date = df.repartition(key).sortWithinPartitions(key, "date")
-    return by_date.groupBy(key).applyInPandas(run, schema)
+    return date_sorted_groups(df, key).applyInPandas(run, schema)

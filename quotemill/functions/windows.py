@@ -7,6 +7,8 @@ trading calendar, whatever share of the raw records its symbol holds.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -79,17 +81,23 @@ def mean_abs_deviation(values: Column, n: int) -> Column:
 def with_ewm(df: DataFrame, columns: dict[str, str], span: int, keys: Sequence[str] = KEYS) -> DataFrame:
     """Weighted means with weights normalised by their sum; `columns` maps output to input.
 
-    The sum over the last 2m rows is the sum over m rows plus the decayed sum m rows back, so a few
-    lag passes over the one sorted window reach every row that can still matter.
+    The sum over the last 8m rows is eight sums over m rows, each decayed by how far back it ends, so
+    two or three lag passes over the one sorted window reach every row that can still matter.
     """
     decay = 1.0 - 2.0 / (span + 1)
     df = df.withColumns({f"_{o}_num": F.coalesce(F.col(i), F.lit(0.0)) for o, i in columns.items()}).withColumns(
         {f"_{o}_den": F.col(i).isNotNull().cast("double") for o, i in columns.items()}
     )
     parts = [f"_{o}_{p}" for o in columns for p in ("num", "den")]
+    window = ordered(keys)
     reach = 1
     while decay**reach > NEGLIGIBLE:
-        step = F.lit(decay**reach)
-        df = df.withColumns({p: F.col(p) + step * F.coalesce(lag(p, reach, keys), F.lit(0.0)) for p in parts})
-        reach *= 2
+        steps = [k * reach for k in range(1, 8) if decay ** (k * reach) > NEGLIGIBLE]
+        df = df.withColumns(
+            {
+                p: reduce(add, [F.col(p), *[F.lag(p, k, 0.0).over(window) * decay**k for k in steps]])
+                for p in parts
+            }
+        )
+        reach *= 8
     return df.withColumns({o: div(F.col(f"_{o}_num"), F.col(f"_{o}_den")) for o in columns}).drop(*parts)

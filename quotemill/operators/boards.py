@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quotemill.functions import windows as W
 from quotemill.functions.scalars import div
-from quotemill.operators.rules import Rule, rule_universe
+from quotemill.operators.rules import Rule, rule_universe, with_rules
 from quotemill.operators.sweeps import rule_trials, run_trials, with_kelly
 from quotemill.params import DEFAULT, Params
 from quotemill.session import broadcast_if_small
@@ -19,20 +19,23 @@ SCAN_EXCLUDED = ("^VIX", "RSP", "XLI", "XLU", "XLE", "XLF")
 SYMBOL_BOARD_EXCLUDED = ("^VIX", "RSP")
 
 
-def scan(wide: DataFrame, rules: Sequence[Rule], params: Params = DEFAULT) -> DataFrame:
+def scan(
+    bars: DataFrame, rules: Sequence[Rule], context: DataFrame | None = None, params: Params = DEFAULT
+) -> DataFrame:
     """State of every eligible (symbol, rule) pair on the symbol's latest bar.
 
-    Symbols no rule may trade are dropped before any bar is shuffled to a machine.
+    Symbols no rule may trade are dropped at the scan of the bars, before anything is computed.
     """
-    spark = wide.sparkSession
+    spark = bars.sparkSession
     symbols = sorted({s for r in rules for s in r.symbols})
-    played = run_trials(wide.filter(F.col("symbol").isin(*symbols)), rule_trials(rules), params)
-    notes = spark.createDataFrame(
-        [(r.name, r.description, r.verdict) for r in rules], "signal string, description string, verdict string"
+    wide = with_rules(bars.filter(F.col("symbol").isin(*symbols)), rules, params, context)
+    played = with_kelly(run_trials(wide, rule_trials(rules), params))
+    pairs = spark.createDataFrame(
+        [(r.name, s, r.description, r.verdict) for r in rules for s in r.symbols],
+        "signal string, symbol string, description string, verdict string",
     )
-    pairs = broadcast_if_small(rule_universe(spark, rules), params.max_broadcast_rows)
-    eligible = with_kelly(played).join(pairs, ["signal", "symbol"], "left_semi")
-    return eligible.join(broadcast_if_small(notes, params.max_broadcast_rows), "signal").select(
+    eligible = played.join(broadcast_if_small(pairs, params.max_broadcast_rows), ["signal", "symbol"])
+    return eligible.select(
         "symbol",
         "signal",
         F.col("trade_in").alias("buy_now"),
@@ -48,14 +51,22 @@ def scan(wide: DataFrame, rules: Sequence[Rule], params: Params = DEFAULT) -> Da
 
 
 def alerts(scanned: DataFrame) -> DataFrame:
-    """One row: names that buy and names that sell now, and the message that says so.
+    """One row: how many symbols buy and sell now under each rule, and the message that says so.
 
-    The lists hold one entry per firing pair of the scan, which has one row per symbol and rule.
+    Firing pairs are counted per rule first, so the lists never hold more than one entry per rule.
     """
-    lists = scanned.filter("buy_now OR sell_now").agg(
-        F.array_sort(F.collect_list(F.when(F.col("buy_now"), F.col("signal")))).alias("buy_signals"),
-        F.array_sort(F.collect_list(F.when(F.col("sell_now"), F.col("signal")))).alias("sell_signals"),
+    per_rule = (
+        scanned.filter("buy_now OR sell_now")
+        .groupBy("signal")
+        .agg(F.count_if("buy_now").alias("buys"), F.count_if("sell_now").alias("sells"))
     )
+    named = {
+        f"{side}_signals": F.array_sort(
+            F.collect_list(F.when(F.col(n) > 0, F.concat("signal", F.lit(" x"), F.col(n).cast("string"))))
+        )
+        for side, n in (("buy", "buys"), ("sell", "sells"))
+    }
+    lists = per_rule.agg(*[column.alias(name) for name, column in named.items()])
     quiet = (F.size("buy_signals") == 0) & (F.size("sell_signals") == 0)
     text = F.concat(
         F.lit("Buy signals: "),
@@ -105,11 +116,10 @@ def snapshot(frame: DataFrame) -> DataFrame:
         *SNAPSHOT_COLUMNS,
         *[(W.pct_change(F.col(c)) * 100).alias(f"{c}_change_pct") for c in SNAPSHOT_LEVELS],
     )
-    columns = [c for c in moved.columns if c not in ("symbol", "date")]
+    last = [F.max_by(c, "date").alias(c) for c in moved.columns if c not in ("symbol", "date")]
     return (
         moved.groupBy("symbol")
-        .agg(F.max("date").alias("date"), F.max_by(F.struct(*columns), "date").alias("_last"))
-        .select("symbol", "date", "_last.*")
+        .agg(F.max("date").alias("date"), *last)
         .withColumn("volume_ema_diff", F.col("volume_ema_diff") * 100)
         .withColumnRenamed("volume_ema_diff", "volume_ema_diff_pct")
     )

@@ -6,10 +6,11 @@ recurrences (one batched pass per symbol), and context columns (joined by date).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
-
-import math
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from quotemill.functions.smoothing import Smoothing, with_smoothings
 from quotemill.operators.context import CONTEXT_COLUMNS, attach_context
 from quotemill.params import DEFAULT, Params
 from quotemill.schema import BAR_COLUMNS
+from quotemill.session import spread
 
 _c = F.col
 
@@ -45,6 +47,31 @@ def _recur(name: str, kind: str, source: str, *periods: int) -> None:
     RECURRENCES[name] = Smoothing(name, kind, source, periods)
 
 
+# Frames up to this long are summed directly; longer even ones are built from equal parts.
+DIRECT_FRAME = 16
+
+
+def _sum(source: str, n: int) -> str:
+    """Register the rolling sum of a column over n rows; returns its name.
+
+    Spark walks a whole frame anew for every row. A long sum is therefore put together from the short
+    sums that end a part-length apart, which is NULL, as it must be, until n values exist.
+    """
+    part = n
+    while part > DIRECT_FRAME and part % 2 == 0:
+        part //= 2
+    base, name = f"_sum{part}_{source}", f"_sum{n}_{source}"
+    _add(base, source, lambda p: W.rolling_sum(_c(source), part))
+    if part < n:
+        _add(name, base, lambda p: reduce(add, [_c(base), *[W.lag(base, k) for k in range(part, n, part)]]))
+    return name
+
+
+def _mean(name: str, source: str, n: int) -> None:
+    total = _sum(source, n)
+    _add(name, total, lambda p: _c(total) / n)
+
+
 # Bar shape and change.
 _add("pct_change", "close", lambda p: W.pct_change(_c("close")) * p.leverage)
 _add("adjusted_change", "close", lambda p: W.pct_change(_c("close")))
@@ -65,7 +92,7 @@ _add("ibr3", "ibr", lambda p: W.rolling_mean(_c("ibr"), 3))
 
 # Typical price and the commodity channel index.
 _add("_typical", "high low close", lambda p: (_c("high") + _c("low") + _c("close")) / 3)
-_add("_typical_mean", "_typical", lambda p: W.rolling_mean(_c("_typical"), 20))
+_mean("_typical_mean", "_typical", 20)
 _add("_typical_values", "_typical", lambda p: W.rolling_values(_c("_typical"), 20))
 _add(
     "cci",
@@ -77,9 +104,9 @@ _add(
 
 # Moving averages, bands and their gaps.
 for _n in (10, 20, 50, 100, 200):
-    _add(f"sma{_n}", "close", lambda p, n=_n: W.rolling_mean(_c("close"), n))
+    _mean(f"sma{_n}", "close", _n)
 _add("_close_spread", "close", lambda p: W.rolling(_c("close"), 20, F.stddev_pop))
-_add("bb_middle", "close", lambda p: W.rolling_mean(_c("close"), 20))
+_mean("bb_middle", "close", 20)
 _add("bb_upper", "bb_middle _close_spread", lambda p: _c("bb_middle") + _c("_close_spread") * 2)
 _add("bb_lower", "bb_middle _close_spread", lambda p: _c("bb_middle") - _c("_close_spread") * 2)
 for _n in (8, 20, 100):
@@ -150,7 +177,7 @@ _add(
 )
 _add("_log_spread", "_log_move", lambda p: W.rolling_std(_c("_log_move"), 30))
 for _n in (10, 20, 40, 80):
-    _add(f"_volume_mean{_n}", "volume", lambda p, n=_n: W.rolling_mean(_c("volume"), n))
+    _mean(f"_volume_mean{_n}", "volume", _n)
 
     def _signed(p: Params, n: int = _n) -> Column:
         cutoff = _c("_log_spread") * 0.2 * _c("close")
@@ -159,10 +186,11 @@ for _n in (10, 20, 40, 80):
         return F.when(move > cutoff, capped).when(move < -cutoff, -capped).otherwise(F.lit(0.0))
 
     _add(f"_signed{_n}", f"_typical _typical_before _log_spread close volume _volume_mean{_n}", _signed)
+    _flow = _sum(f"_signed{_n}", _n)
     _add(
         f"_flow{_n}",
-        f"_signed{_n} _volume_mean{_n}",
-        lambda p, n=_n: div(W.rolling_sum(_c(f"_signed{n}"), n), _c(f"_volume_mean{n}")),
+        f"{_flow} _volume_mean{_n}",
+        lambda p, n=_n, total=_flow: div(_c(total), _c(f"_volume_mean{n}")),
     )
     WEIGHTED[f"vfi{_n}"] = (f"_flow{_n}", 3)
 
@@ -286,13 +314,16 @@ def with_indicators(
         raise ValueError(f"unknown columns: {unknown}")
     base = [c for c in bars.columns if c in ("symbol", "date") or c in keep or c in depth]
     df = with_smoothings(bars.select(*base), [s for n, s in RECURRENCES.items() if n in depth])
+    if any(depth.values()):
+        df = spread(df, "symbol")
 
     for level in range(1, max(depth.values(), default=0) + 1):
         due = [n for n, d in depth.items() if d == level]
         plain = {n: REGISTRY[n].build(params) for n in due if n in REGISTRY}
         df = df.withColumns(plain) if plain else df
-        for span in {WEIGHTED[n][1] for n in due if n in WEIGHTED}:
-            df = W.with_ewm(df, {n: WEIGHTED[n][0] for n in due if n in WEIGHTED and WEIGHTED[n][1] == span}, span)
+    # No registered column reads a weighted mean, so all of one span share their passes at the end.
+    for span in sorted({WEIGHTED[n][1] for n in depth if n in WEIGHTED}):
+        df = W.with_ewm(df, {n: WEIGHTED[n][0] for n in depth if n in WEIGHTED and WEIGHTED[n][1] == span}, span)
 
     joined = [n for n in depth if n in CONTEXT_COLUMNS and n not in bars.columns]
     if joined:

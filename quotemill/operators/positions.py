@@ -15,6 +15,7 @@ from quotemill.operators.machines import Curve, Run, machine_for
 from quotemill.operators.rules import Rule
 from quotemill.params import DEFAULT, Params
 from quotemill.schema import POSITION_SCHEMA
+from quotemill.session import date_sorted_groups
 
 
 def track_change(params: Params = DEFAULT) -> Column:
@@ -44,11 +45,6 @@ def positions(wide: DataFrame, rules: Sequence[Rule], params: Params = DEFAULT)
     return frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1])
 
 
-def sorted_by_date(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows grouped by the keys and date-sorted inside; a grouped map on the keys adds no sort."""
-    return df.repartition(*keys).sortWithinPartitions(*keys, "date")
-
-
 def kernel_input(wide: DataFrame, rules: Sequence[Rule], params: Params) -> DataFrame:
     """The columns a machine reads: prices, the tracked change, and a rule pair per run."""
     flags = [f"{side}_{r.name}" for r in rules for side in ("buy", "sell")]
@@ -107,8 +103,7 @@ def play(wide: DataFrame, rules: Sequence[Rule], open_ended: bool, params: Param
                     }
                 )
 
-    played = sorted_by_date(kernel_input(wide, rules, params), "symbol").groupBy("symbol")
-    return played.applyInPandas(advance, POSITION_SCHEMA)
+    return date_sorted_groups(kernel_input(wide, rules, params), "symbol").applyInPandas(advance, POSITION_SCHEMA)
 
 
 def with_drawdown(curve: DataFrame, keys: Sequence[str] = ("symbol", "signal")) -> DataFrame:

@@ -47,14 +47,14 @@ def keep_sessions(bars: DataFrame, calendar: DataFrame, params: Params = DEFAULT
     return bars.join(sessions, "date", "left_semi").select(*bars.columns)
 
 
-def keep_last_arrival(bars: DataFrame, arrival: Sequence[str]) -> DataFrame:
-    """One row per (symbol, date), the latest by the arrival columns.
+def keep_last_arrival(bars: DataFrame, arrival: str) -> DataFrame:
+    """One row per (symbol, date), the latest by the arrival column, which orders the copies.
 
-    max_by combines before the shuffle, so many copies of one bar never meet in a single task.
+    max_by combines before the shuffle, so many copies of one bar never meet in a single task; taking
+    it column by column keeps the aggregation hashed.
     """
     rest = [c for c in bars.columns if c not in ("symbol", "date")]
-    last = F.max_by(F.struct(*rest), F.struct(*arrival)).alias("_last")
-    return bars.groupBy("symbol", "date").agg(last).select("symbol", "date", "_last.*").select(*bars.columns)
+    return bars.groupBy("symbol", "date").agg(*[F.max_by(c, arrival).alias(c) for c in rest]).select(*bars.columns)
 
 
 def drop_null_close(bars: DataFrame) -> DataFrame:
@@ -76,14 +76,7 @@ def append_all(frames: Sequence[DataFrame]) -> DataFrame:
 
 
 def first_and_last(df: DataFrame, keys: Sequence[str], columns: Sequence[str], order: str = "date") -> DataFrame:
-    """First and last values per group in one aggregation, without sorting the group."""
-    row = F.struct(*columns)
-    return (
-        df.groupBy(*keys)
-        .agg(F.min_by(row, order).alias("_first"), F.max_by(row, order).alias("_last"))
-        .select(
-            *keys,
-            *[F.col(f"_first.{c}").alias(f"first_{c}") for c in columns],
-            *[F.col(f"_last.{c}").alias(f"last_{c}") for c in columns],
-        )
-    )
+    """First and last values per group in one hashed aggregation, without sorting the group."""
+    first = [F.min_by(c, order).alias(f"first_{c}") for c in columns]
+    last = [F.max_by(c, order).alias(f"last_{c}") for c in columns]
+    return df.groupBy(*keys).agg(*first, *last)

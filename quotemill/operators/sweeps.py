@@ -19,9 +19,10 @@ from pyspark.sql import types as T
 from quotemill.functions.scalars import div
 from quotemill.operators.machines import Run, Tally, machine_for
 from quotemill.operators.metrics import kelly_of
-from quotemill.operators.positions import day_number, is_open_ended, sorted_by_date, track_change
+from quotemill.operators.positions import day_number, is_open_ended, track_change
 from quotemill.operators.rules import Rule
 from quotemill.params import DEFAULT, NO_VOLUME_SYMBOLS, Params
+from quotemill.session import date_sorted_groups
 
 
 @dataclass(frozen=True)
@@ -244,8 +245,7 @@ def _run_group(wide, trials, open_ended, params, axes) -> DataFrame:
                 }
             )
 
-    grouped = sorted_by_date(shipped, "symbol", "_block").groupBy("symbol", "_block")
-    return grouped.applyInPandas(play, TRIAL_SCHEMA)
+    return date_sorted_groups(shipped, "symbol", "_block").applyInPandas(play, TRIAL_SCHEMA)
 
 
 def _open(axis: Axis | None, symbol: str, first_year: int) -> bool:

@@ -460,7 +460,7 @@ def _trading_panel(spark, sf) -> DataFrame:
 def _scanned(spark, sf):
     rules = [RU.RULES[n] for n in RU.SCAN_RULES]
     bars = _trading_panel(spark, sf).filter(~c("symbol").isin(*BO.SCAN_EXCLUDED))
-    return BO.scan(_wide(spark, sf, rules, bars=bars), rules)
+    return BO.scan(bars, rules, I.context(spark, sf))
 
 
 _SCAN_TIMED = [n for n in RU.SCAN_RULES if RU.RULES[n].days > 0]
@@ -503,18 +503,21 @@ def _alerts(spark, sf):
     return lists.withColumns(joined)
 
 
-_names = {
-    n: f"coalesce(string_agg(signal, '@s' ORDER BY signal) FILTER ({n}_now), '')" for n in ("buy", "sell")
-}
+def _listed(side: str, separator: str) -> str:
+    entries = f"string_agg(signal || ' x' || {side}s, '{separator}' ORDER BY signal || ' x' || {side}s) FILTER ({side}s > 0)"
+    return f"coalesce({entries}, '')"
+
+
 add(
     "brd2_alerts",
     _alerts,
     sql(
         "frame_all",
-        f"""SELECT {_names["buy"].replace("@s", ",")} AS buy_signals, {_names["sell"].replace("@s", ",")} AS sell_signals,
-          CASE WHEN count(*) FILTER (buy_now OR sell_now) = 0 THEN 'No signals today'
-          ELSE 'Buy signals: ' || {_names["buy"].replace("@s", ", ")} || '; sell signals: ' || {_names["sell"].replace("@s", ", ")}
-          END AS message FROM scanned""",
+        f"""SELECT {_listed("buy", ",")} AS buy_signals, {_listed("sell", ",")} AS sell_signals,
+          CASE WHEN count(*) = 0 THEN 'No signals today'
+          ELSE 'Buy signals: ' || {_listed("buy", ", ")} || '; sell signals: ' || {_listed("sell", ", ")} END AS message
+        FROM (SELECT signal, count(*) FILTER (buy_now) AS buys, count(*) FILTER (sell_now) AS sells FROM scanned
+              WHERE buy_now OR sell_now GROUP BY 1)""",
         source="trading_panel",
         extra=_SCAN_BLOCKS,
     ),

@@ -64,7 +64,7 @@ _LAST = """
 
 
 def _full_bars(spark, sf):
-    return B.full_bars(deliveries(I.raw_panel(spark, sf)), I.calendar(spark, sf), "QQQ", 3, ["arrival"], TODAY)
+    return B.full_bars(deliveries(I.raw_panel(spark, sf)), I.calendar(spark, sf), "QQQ", 3, "arrival", TODAY)
 
 
 def _feed(spark, sf):
@@ -83,7 +83,7 @@ def _feed(spark, sf):
 
 def _event_bars(spark, sf):
     events = I.table(spark, sf, "events")
-    return B.build_bars(events, c("event_type"), c("ts"), c("value") / 10 + 100, F.lit(1.0), [c("ts"), c("event_id")])
+    return B.build_bars(events, c("event_type"), c("ts"), c("value") / 10 + 100, F.lit(1.0), I.event_bars_order())
 
 
 _CONTEXT_CHECK_COLUMNS = ", ".join(r6(x, x) for x in (*LEVELS, *RATIOS))
@@ -164,7 +164,7 @@ add(
 add("rel4_sessions_only", I.bars, sql("bars", _RAW + "bars"))
 add(
     "rel5_last_arrival",
-    lambda s, d: R.keep_last_arrival(deliveries(I.raw_bars(s, d)), ["arrival"]).drop("arrival"),
+    lambda s, d: R.keep_last_arrival(deliveries(I.raw_bars(s, d)), "arrival").drop("arrival"),
     sql("raw_bars", _RAW + "last_bars", extra={"deliveries": _DELIVERIES.replace("@t", "raw_bars"), "last_bars": _LAST}),
 )
 

@@ -36,7 +36,7 @@ def _drained_bars(spark: SparkSession, sf_dir: str) -> str:
     path = _fresh(spark, "stream-bars")
     bars = stream_bars(
         event_stream(spark, sf_dir), c("event_type"), c("ts"), c("value") / 10 + 100, F.lit(1.0),
-        [c("ts"), c("event_id")], DELAY,
+        I.event_bars_order(), DELAY,
     )
     drain(bars, path, path + "-checkpoint")
     return path

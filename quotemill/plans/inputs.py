@@ -6,13 +6,13 @@ folder; every query then reads that bar table, as a deployment would, instead of
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quotemill.operators.context import build_context, with_context_rsis
 from quotemill.operators.relational import keep_sessions
 from quotemill.session import write_table
-from quotemill.sources.bars import build_bars, read_bars
+from quotemill.sources.bars import build_bars, order_key
 from quotemill.sources.calendar import weekday_calendar
 
 # The ticker each brand stands for in the panel. Brand 15 is the volatility level.
@@ -39,12 +39,15 @@ def line_bars(spark: SparkSession, sf_dir: str, symbol: str) -> DataFrame:
         table(spark, sf_dir, "part").select("p_partkey", symbol, "p_retailprice"), F.col("l_partkey") == F.col("p_partkey")
     )
     price = F.col("p_retailprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))
-    order = [F.col(c) for c in _LINE_ORDER]
+    # Order key and line number are not unique; the price, in its smallest unit, settles the rest.
+    units = F.round(price * 100_000)
+    order = order_key((F.col("l_orderkey"), 15), (F.col("l_linenumber"), 10), (units, 13))
     return build_bars(lines, F.col(symbol), F.col("l_shipdate"), price, F.col("l_quantity"), order)
 
 
-# A line's order within its day; the tuple is unique, the first two columns alone are not.
-_LINE_ORDER = ("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_quantity", "l_extendedprice")
+def event_bars_order() -> Column:
+    """Events in time order, ties by id."""
+    return order_key((F.unix_micros(F.col("ts").cast("timestamp")), 17), (F.col("event_id"), 19))
 
 
 def brand_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,5 +96,3 @@ def context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Context per date with the RSIs of its ratios."""
     return _once(spark, sf_dir, "context", lambda: with_context_rsis(build_context(panel(spark, sf_dir))))
 
-
-__all__ = ["bars", "brand_bars", "calendar", "context", "line_bars", "panel", "raw_bars", "raw_panel", "read_bars", "table"]

@@ -11,9 +11,6 @@ from quotemill.params import CONTEXT_RSI_PERIODS, LEVEL_TICKERS, RATIO_TICKERS
 from quotemill.plans.inputs import BRAND_TICKERS
 from quotemill.plans.registry import ROUNDING_SHIFT
 
-ORDER = "row(l_orderkey, l_linenumber, l_suppkey, l_partkey, l_quantity, l_extendedprice)"
-
-
 def over(n: int | None = None, by: str = "symbol", order: str = "i") -> str:
     frame = "" if n is None else f" ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW"
     return f"OVER (PARTITION BY {by} ORDER BY {order}{frame})"
@@ -44,10 +41,10 @@ def six(x: str) -> str:
 def _bars(symbol: str) -> str:
     return f"""
   SELECT {symbol} AS symbol, CAST(l_shipdate AS DATE) AS date,
-         arg_min(px, ord) AS open, max(px) AS high, min(px) AS low, arg_max(px, ord) AS close,
-         sum(l_quantity) AS volume
-  FROM (SELECT {symbol}, l_shipdate, l_quantity,
-               p_retailprice * (1 - l_discount) * (1 + l_tax) AS px, {ORDER} AS ord
+         arg_min(px, row(l_orderkey, l_linenumber, px)) AS open, max(px) AS high, min(px) AS low,
+         arg_max(px, row(l_orderkey, l_linenumber, px)) AS close, sum(l_quantity) AS volume
+  FROM (SELECT {symbol}, l_shipdate, l_quantity, l_orderkey, l_linenumber,
+               p_retailprice * (1 - l_discount) * (1 + l_tax) AS px
         FROM lineitem JOIN part ON l_partkey = p_partkey)
   GROUP BY 1, 2"""
 

@@ -1,14 +1,17 @@
-"""Session helpers: the shared work folder, written tables, and size-checked broadcasts."""
+"""Session helpers: the work folder, written tables, size-checked broadcasts, and grouped passes."""
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
 _local_folder: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def work_folder(spark: SparkSession) -> str:
@@ -38,3 +41,34 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     The count stops after `max_rows + 1` rows, so the check itself stays cheap.
     """
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers, wherever they run; once per application."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        package = os.path.dirname(os.path.abspath(__file__))
+        target = os.path.join(tempfile.mkdtemp(prefix="quotemill-"), "quotemill")
+        spark.sparkContext.addPyFile(
+            shutil.make_archive(target, "zip", os.path.dirname(package), os.path.basename(package))
+        )
+        _shipped.add(app)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash rows by key over the session's shuffle partitions.
+
+    Per-series work costs far more than its bytes suggest; the explicit count keeps adaptive execution
+    from packing many series into one task because their rows are small.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def date_sorted_groups(df: DataFrame, *keys: str) -> GroupedData:
+    """Groups whose rows reach a grouped map in date order.
+
+    The sort by key and date already clusters the keys, so the map adds no sort of its own, and a
+    frame that is laid out this way keeps its exchange.
+    """
+    ship_package(df.sparkSession)
+    return spread(df, *keys).sortWithinPartitions(*keys, "date").groupBy(*keys)

@@ -69,12 +69,12 @@ def full_bars(
     calendar: DataFrame,
     symbol: str,
     years: int,
-    arrival: Sequence[str] = (),
+    arrival: str | None = None,
     today: dt.date | None = None,
     params: Params = DEFAULT,
 ) -> DataFrame:
     """Load, attach context, normalise names, keep sessions, keep the last arrival per date."""
-    loaded = keep_last_arrival(bars, arrival).drop(*arrival) if arrival else bars
+    loaded = keep_last_arrival(bars, arrival).drop(arrival) if arrival else bars
     loaded = normalize(drop_columns(bars_with_context(loaded, symbol, years, today, params), "adj_close"))
     return keep_sessions(loaded, calendar, params)
 
@@ -88,28 +88,45 @@ def from_feed(feed: DataFrame, symbol: Column, names: dict[str, str] = INDEX_FEE
     ).select(*BAR_COLUMNS)
 
 
-def build_bars(
-    records: DataFrame, symbol: Column, time: Column, price: Column, size: Column, order: Sequence[Column]
-) -> DataFrame:
-    """Daily bars from raw trades or events.
+def order_key(*parts: tuple[Column, int]) -> Column:
+    """One number that sorts like the parts in turn, each a whole number of at most that many digits.
+
+    A fixed-width key lets the bar aggregation hash its groups; a struct key would make Spark sort all
+    records by group first. A part with more digits than declared fails the cast instead of spilling
+    into its neighbour. Parts must not be negative.
+    """
+    if sum(digits for _, digits in parts) > 38:
+        raise ValueError("an order key holds 38 digits")
+    key = None
+    for part, digits in parts:
+        number = part.cast(f"decimal({digits},0)")
+        scale = F.lit(str(10**digits)).cast(f"decimal({digits + 1},0)")
+        key = number if key is None else key * scale + number
+    return key.cast("decimal(38,0)")
+
+
+def build_bars(records: DataFrame, symbol: Column, time: Column, price: Column, size: Column, order: Column) -> DataFrame:
+    """Daily bars from raw trades or events; `order` is unique per record, see `order_key`.
 
     Every aggregate combines partially before the shuffle on (symbol, date), so a symbol that holds a
     third of all records sends one partial row per task and date, not its records.
     """
-    return (
-        records.select(
-            symbol.alias("symbol"),
-            F.to_date(time).alias("date"),
-            price.alias("_price"),
-            size.alias("_size"),
-            F.struct(*order).alias("_order"),
-        )
-        .groupBy("symbol", "date")
-        .agg(
-            F.min_by("_price", "_order").alias("open"),
-            F.max("_price").alias("high"),
-            F.min("_price").alias("low"),
-            F.max_by("_price", "_order").alias("close"),
-            F.sum("_size").alias("volume"),
-        )
+    prices = records.select(
+        symbol.alias("symbol"),
+        F.to_date(time).alias("date"),
+        price.alias("_price"),
+        size.alias("_size"),
+        order.alias("_order"),
     )
+    return prices.groupBy("symbol", "date").agg(*bar_aggregates())
+
+
+def bar_aggregates() -> list[Column]:
+    """Open, high, low, close and volume of a group of `_price`, `_size`, `_order` rows."""
+    return [
+        F.min_by("_price", "_order").alias("open"),
+        F.max("_price").alias("high"),
+        F.min("_price").alias("low"),
+        F.max_by("_price", "_order").alias("close"),
+        F.sum("_size").alias("volume"),
+    ]

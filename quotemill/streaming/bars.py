@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quotemill.schema import BAR_COLUMNS, BAR_SCHEMA
+from quotemill.sources.bars import bar_aggregates
 
 
 def stream_bars(
-    events: DataFrame, symbol: Column, time: Column, price: Column, size: Column, order: Sequence[Column], delay: str
+    events: DataFrame, symbol: Column, time: Column, price: Column, size: Column, order: Column, delay: str
 ) -> DataFrame:
     """Daily bars of an event stream; events later than `delay` after the watermark are dropped.
 
@@ -23,16 +22,10 @@ def stream_bars(
         time.cast("timestamp").alias("_time"),
         price.alias("_price"),
         size.alias("_size"),
-        F.struct(*order).alias("_order"),
+        order.alias("_order"),
     )
     daily = records.withWatermark("_time", delay).groupBy("symbol", F.window("_time", "1 day").alias("_day"))
-    bars = daily.agg(
-        F.min_by("_price", "_order").alias("open"),
-        F.max("_price").alias("high"),
-        F.min("_price").alias("low"),
-        F.max_by("_price", "_order").alias("close"),
-        F.sum("_size").alias("volume"),
-    )
+    bars = daily.agg(*bar_aggregates())
     return bars.withColumn("date", F.to_date("_day.start")).select(*BAR_COLUMNS)
 
 

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from quotemill.session import ship_package
+
 STATE_SCHEMA = T.StructType(
     [T.StructField("running", T.BinaryType()), T.StructField("last_day", T.LongType())]
 )
@@ -42,4 +44,5 @@ def carry(
         state.update((pickle.dumps(running), last))
         yield out
 
+    ship_package(bars.sparkSession)
     return bars.groupBy("symbol").applyInPandasWithState(advance, schema, STATE_SCHEMA, "append", "NoTimeout")
