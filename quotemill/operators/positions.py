@@ -15,7 +15,7 @@ from quotemill.operators.machines import Curve, Run, machine_for
 from quotemill.operators.rules import Rule
 from quotemill.params import DEFAULT, Params
 from quotemill.schema import POSITION_SCHEMA
-from quotemill.session import date_sorted_groups
+from quotemill.session import date_sorted_groups, pieces
 
 
 def track_change(params: Params = DEFAULT) -> Column:
@@ -67,9 +67,7 @@ def play(wide: DataFrame, rules: Sequence[Rule], open_ended: bool, params: Param
 
     def advance(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         machine, curve = machine_for(runs, params, open_ended), Curve(len(runs))
-        for pdf in batches:
-            if not len(pdf):
-                continue
+        for pdf in pieces(batches, params.bars_per_step):
             close, track = pdf["close"].to_numpy(float), pdf["track_change"].to_numpy(float)
             buy, sell, one_day = matrix(pdf, buys), matrix(pdf, sells), pdf["one_day_buy"].to_numpy(bool)
             out = machine.advance(close, track, day_number(pdf), buy, sell, one_day)

@@ -22,7 +22,7 @@ from quotemill.operators.metrics import kelly_of
 from quotemill.operators.positions import day_number, is_open_ended, track_change
 from quotemill.operators.rules import Rule
 from quotemill.params import DEFAULT, NO_VOLUME_SYMBOLS, Params
-from quotemill.session import date_sorted_groups
+from quotemill.session import date_sorted_groups, pieces
 
 
 @dataclass(frozen=True)
@@ -213,9 +213,7 @@ def _run_group(wide, trials, open_ended, params, axes) -> DataFrame:
     def play(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         machine = tally = symbol = None
         block: list[Trial] = []
-        for pdf in batches:
-            if not len(pdf):
-                continue
+        for pdf in pieces(batches, params.bars_per_step):
             if machine is None:
                 symbol = pdf["symbol"].iloc[0]
                 first_year = pd.Timestamp(pdf["date"].iloc[0]).year

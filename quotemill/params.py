@@ -52,7 +52,7 @@ CONTEXT_RSI_PERIODS = {
 
 @dataclass(frozen=True)
 class Params:
-    """Strategy constants plus the two physical limits the joins and sweeps respect."""
+    """Strategy constants plus the physical limits the joins and machines respect."""
 
     # Strategy constants.
     leverage: float = 3.0
@@ -80,6 +80,8 @@ class Params:
     max_broadcast_rows: int = 200_000
     # Parameter combinations evaluated together by one sweep task.
     runs_per_task: int = 128
+    # Bars a machine plays at once; bounds the bars x runs arrays a task holds.
+    bars_per_step: int = 2048
 
 
 DEFAULT = Params()

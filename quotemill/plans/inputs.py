@@ -14,6 +14,7 @@ from quotemill.operators.relational import keep_sessions
 from quotemill.session import write_table
 from quotemill.sources.bars import build_bars, order_key
 from quotemill.sources.calendar import weekday_calendar
+from quotemill.sources.sinks import clustered
 
 # The ticker each brand stands for in the panel. Brand 15 is the volatility level.
 BRAND_TICKERS = {
@@ -71,11 +72,11 @@ def _once(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
 
 def raw_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars by part type on every date that has lines, weekends included."""
-    return _once(spark, sf_dir, "type_bars", lambda: line_bars(spark, sf_dir, "p_type"))
+    return _once(spark, sf_dir, "type_bars", lambda: clustered(line_bars(spark, sf_dir, "p_type")))
 
 
 def raw_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _once(spark, sf_dir, "brand_bars", lambda: brand_bars(spark, sf_dir))
+    return _once(spark, sf_dir, "brand_bars", lambda: clustered(brand_bars(spark, sf_dir)))
 
 
 def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:

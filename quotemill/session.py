@@ -7,6 +7,9 @@ import shutil
 import tempfile
 import uuid
 
+from collections.abc import Iterable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,3 +75,10 @@ def date_sorted_groups(df: DataFrame, *keys: str) -> GroupedData:
     """
     ship_package(df.sparkSession)
     return spread(df, *keys).sortWithinPartitions(*keys, "date").groupBy(*keys)
+
+
+def pieces(batches: Iterable[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
+    """The batches of one group in slices of at most `rows`, without empty ones."""
+    for pdf in batches:
+        for start in range(0, len(pdf), rows):
+            yield pdf.iloc[start : start + rows]

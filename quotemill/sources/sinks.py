@@ -6,12 +6,16 @@ from pyspark.sql import DataFrame
 
 
 def write_positions(positions: DataFrame, path: str, format: str = "parquet") -> None:
-    """Position frames, one folder per symbol and signal, replaced on every run."""
+    """Position frames, one folder per signal, replaced on every run.
+
+    Inside a folder rows are clustered by symbol, so one symbol's frame is found by file statistics; a
+    folder per symbol would mean millions of folders on a wide panel.
+    """
     (
         positions.repartition("symbol", "signal")
-        .sortWithinPartitions("symbol", "signal", "date")
+        .sortWithinPartitions("signal", "symbol", "date")
         .write.mode("overwrite")
-        .partitionBy("symbol", "signal")
+        .partitionBy("signal")
         .format(format)
         .options(**({"header": "true"} if format == "csv" else {}))
         .save(path)
@@ -20,7 +24,11 @@ def write_positions(positions: DataFrame, path: str, format: str = "parquet") ->
 
 def write_bars(bars: DataFrame, path: str) -> None:
     """Bars clustered by symbol, so that a symbol filter skips row groups and files."""
-    bars.repartition("symbol").sortWithinPartitions("symbol", "date").write.mode("overwrite").parquet(path)
+    clustered(bars).write.mode("overwrite").parquet(path)
+
+
+def clustered(bars: DataFrame) -> DataFrame:
+    return bars.repartition("symbol").sortWithinPartitions("symbol", "date")
 
 
 def save_bucketed_bars(bars: DataFrame, table: str, buckets: int) -> None:
