@@ -7,10 +7,7 @@ trading calendar, whatever share of the raw records its symbol holds.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from functools import reduce
-from operator import add
-
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from quotemill.functions.scalars import div
@@ -20,8 +17,17 @@ KEYS: tuple[str, ...] = ("symbol",)
 NEGLIGIBLE = 1e-17
 
 
-def ordered(keys: Sequence[str] = KEYS) -> WindowSpec:
-    return Window.partitionBy(*keys).orderBy("date")
+_specs: dict[tuple, WindowSpec] = {}
+
+
+def ordered(keys: Sequence[str] = KEYS, rows: int | None = None) -> WindowSpec:
+    """The window of a series in date order, or its last `rows` rows; built once per application."""
+    application = SparkSession.active().sparkContext.applicationId
+    key = (application, tuple(keys), rows)
+    if key not in _specs:
+        spec = Window.partitionBy(*keys).orderBy("date")
+        _specs[key] = spec if rows is None else spec.rowsBetween(-(rows - 1), 0)
+    return _specs[key]
 
 
 def lag(c, k: int = 1, keys: Sequence[str] = KEYS) -> Column:
@@ -38,7 +44,7 @@ def pct_change(c: Column, k: int = 1) -> Column:
 
 def rolling(c: Column, n: int, agg: Callable[[Column], Column], keys: Sequence[str] = KEYS) -> Column:
     """Aggregate of the last n rows, NULL until n values are present."""
-    frame = ordered(keys).rowsBetween(-(n - 1), 0)
+    frame = ordered(keys, n)
     return F.when(F.count(c).over(frame) == n, agg(c).over(frame))
 
 
@@ -79,25 +85,21 @@ def mean_abs_deviation(values: Column, n: int) -> Column:
 
 
 def with_ewm(df: DataFrame, columns: dict[str, str], span: int, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Weighted means with weights normalised by their sum; `columns` maps output to input.
+    """Weighted means with weights normalised by their sum; `columns` maps output names to input names.
 
     The sum over the last 8m rows is eight sums over m rows, each decayed by how far back it ends, so
     two or three lag passes over the one sorted window reach every row that can still matter.
     """
     decay = 1.0 - 2.0 / (span + 1)
-    df = df.withColumns({f"_{o}_num": F.coalesce(F.col(i), F.lit(0.0)) for o, i in columns.items()}).withColumns(
-        {f"_{o}_den": F.col(i).isNotNull().cast("double") for o, i in columns.items()}
-    )
-    parts = [f"_{o}_{p}" for o in columns for p in ("num", "den")]
-    window = ordered(keys)
+    parts = {f"_{o}_num": f"coalesce({i}, 0D)" for o, i in columns.items()}
+    parts |= {f"_{o}_den": f"CAST({i} IS NOT NULL AS DOUBLE)" for o, i in columns.items()}
+    df = df.withColumns({p: F.expr(text) for p, text in parts.items()})
+    over = f"OVER (PARTITION BY {', '.join(keys)} ORDER BY date)"
     reach = 1
     while decay**reach > NEGLIGIBLE:
         steps = [k * reach for k in range(1, 8) if decay ** (k * reach) > NEGLIGIBLE]
-        df = df.withColumns(
-            {
-                p: reduce(add, [F.col(p), *[F.lag(p, k, 0.0).over(window) * decay**k for k in steps]])
-                for p in parts
-            }
-        )
+        # As SQL text: one call per column where the column API takes five per step.
+        terms = {p: [f"lag({p}, {k}, 0D) {over} * {decay**k!r}D" for k in steps] for p in parts}
+        df = df.withColumns({p: F.expr(" + ".join([p, *t])) for p, t in terms.items()})
         reach *= 8
-    return df.withColumns({o: div(F.col(f"_{o}_num"), F.col(f"_{o}_den")) for o in columns}).drop(*parts)
+    return df.withColumns({o: F.expr(f"try_divide(_{o}_num, _{o}_den)") for o in columns}).drop(*parts)

@@ -334,7 +334,10 @@ def with_indicators(
     return df.select(*kept, *[n for n in names if n not in kept])
 
 
-def add_all_indicators(bars: DataFrame, context: DataFrame, params: Params = DEFAULT) -> DataFrame:
+def add_all_indicators(
+    bars: DataFrame, context: DataFrame, params: Params = DEFAULT, hurst: bool = False
+) -> DataFrame:
     """The full indicator frame, with a Sell column that no rule has set yet."""
-    frame = with_indicators(bars, [*ALL_INDICATORS, *CONTEXT_COLUMNS], params, context)
+    extra = ["hurst"] if hurst else []
+    frame = with_indicators(bars, [*ALL_INDICATORS, *extra, *CONTEXT_COLUMNS], params, context)
     return frame.withColumn("sell", F.lit(False))

@@ -302,7 +302,11 @@ def search_columns(side: str = "buy", **switches) -> list[str]:
 
 
 def report(results: DataFrame) -> DataFrame:
-    """Result columns of a sweep; measures stay numeric."""
+    """Result columns of a sweep; measures stay numeric.
+
+    A threshold trial without trades shows 0 percent winners, a holding trial without trades none.
+    """
+    share = div(F.col("positive_trades") * 100.0, F.col("trades"))
     return results.select(
         "symbol",
         "signal",
@@ -315,7 +319,7 @@ def report(results: DataFrame) -> DataFrame:
         "pnl",
         "max_dd",
         "trades",
-        F.coalesce(div(F.col("positive_trades") * 100.0, F.col("trades")), F.lit(0.0)).alias("pct_positive"),
+        F.when(F.col("side").isNull() | (F.col("trades") > 0), share).otherwise(F.lit(0.0)).alias("pct_positive"),
         "cagr",
         "sharpe",
         "sortino",

@@ -323,7 +323,7 @@ add(
 _TRIAL_KEYS = ("symbol", "run")
 _RESULT = f"""SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY round(sharpe_raw, 9) DESC NULLS LAST, run) AS place
   FROM (SELECT symbol, run, {log_sql(MEASURES["last_equity"])} AS log_pnl, {MEASURES["max_dd"]} AS max_dd,
-          {MEASURES["trades"]} AS trades, coalesce({MEASURES["pct_positive"]}, 0) AS pct_positive,
+          {MEASURES["trades"]} AS trades, coalesce({MEASURES["pct_positive"]}, @none) AS pct_positive,
           {MEASURES["cagr"]} AS cagr, {MEASURES["sharpe"]} AS sharpe_raw, {MEASURES["sortino"]} AS sortino
         FROM played GROUP BY 1, 2)"""
 _RESULT_COLUMNS = (
@@ -333,9 +333,9 @@ _RESULT_COLUMNS = (
 )
 
 
-def _trial_blocks(open_ended: bool = False) -> dict[str, str]:
+def _trial_blocks(open_ended: bool = False, none: str = "0") -> dict[str, str]:
     play = play_open("trial_rows", _TRIAL_KEYS) if open_ended else play_timed("trial_rows", keys=_TRIAL_KEYS)
-    return {"play_rec": play, "played": played(open_ended, keys=_TRIAL_KEYS), "results": _RESULT}
+    return {"play_rec": play, "played": played(open_ended, keys=_TRIAL_KEYS), "results": _RESULT.replace("@none", none)}
 
 
 def _sweep_shown(results: DataFrame, *keys: str) -> DataFrame:
@@ -362,7 +362,7 @@ add(
     sql(
         "ind",
         f"SELECT symbol, days, profit, {_RESULT_COLUMNS} FROM results JOIN trials USING (run)",
-        extra=_DAY_TRIALS | _trial_blocks(),
+        extra=_DAY_TRIALS | _trial_blocks(none="NULL"),
     ),
 )
 
@@ -437,7 +437,7 @@ add(
     sql(
         "ind",
         f"SELECT symbol, days, profit, {_RESULT_COLUMNS} FROM results JOIN trials USING (run) WHERE place <= 5",
-        extra=_DAY_TRIALS | _trial_blocks(),
+        extra=_DAY_TRIALS | _trial_blocks(none="NULL"),
     ),
 )
 add(
@@ -447,7 +447,7 @@ add(
         "ind",
         f"""SELECT symbol, days, profit, {_RESULT_COLUMNS} FROM results JOIN trials USING (run)
         ORDER BY round(sharpe_raw, 9) DESC NULLS LAST, days, profit, symbol LIMIT 20""",
-        extra=_DAY_TRIALS | _trial_blocks(),
+        extra=_DAY_TRIALS | _trial_blocks(none="NULL"),
     ),
 )
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 BAR_SCHEMA = T.StructType(
@@ -42,3 +43,31 @@ POSITION_SCHEMA = T.StructType(
         T.StructField("daily_return", T.DoubleType()),
     ]
 )
+
+
+# Display names that no spelling rule gives.
+DISPLAY_EXCEPTIONS = {
+    "pct_change": "%Change",
+    "stoch_oscillator": "StochOscilator",
+    "spy_bull": "SPYBull",
+    "hold": "HoldLong",
+    "trade_in": "LongTradeIn",
+    "trade_out": "LongTradeOut",
+    "equity": "RollingPnL",
+    "trade_pnl": "TradePnL",
+}
+_ACRONYMS = ("rsi", "ema", "sma", "ibr", "cci", "er", "atr", "vfi", "macd", "bb")
+_GAPS = ("close_", "ema20_", "sma50_", "sma20_", "atr20_")
+
+
+def display_name(column: str) -> str:
+    """Name a column carries in reports: words joined, acronyms in capitals, gap columns with a line."""
+    if column in DISPLAY_EXCEPTIONS:
+        return DISPLAY_EXCEPTIONS[column]
+    words = [w.upper() if w.rstrip("0123456789") in _ACRONYMS else w.capitalize() for w in column.split("_")]
+    return ("_" if column.startswith(_GAPS) else "").join(words)
+
+
+def with_display_names(df: DataFrame) -> DataFrame:
+    """Rename every column for a report."""
+    return df.toDF(*[display_name(c) for c in df.columns])
