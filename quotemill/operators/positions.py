@@ -40,9 +40,16 @@ def split_by_machine(rules: Sequence[Rule]) -> dict[bool, list[Rule]]:
 
 
 def positions(wide: DataFrame, rules: Sequence[Rule], params: Params = DEFAULT) -> DataFrame:
-    """Position frame, one row per symbol, rule and bar, from the wide frame of `with_rules`."""
-    frames = [play(wide, group, open_ended, params) for open_ended, group in split_by_machine(rules).items()]
-    return frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1])
+    """Position frame, one row per symbol, rule and bar, from the wide frame of `with_rules`.
+
+    Rules of both machines are played in one pass, so the wide frame is computed once.
+    """
+    return _play(wide, split_by_machine(rules), params)
+
+
+def play(wide: DataFrame, rules: Sequence[Rule], open_ended: bool, params: Params = DEFAULT) -> DataFrame:
+    """Play rules on one machine: the timed one, or the open-ended one with or without limits."""
+    return _play(wide, {open_ended: list(rules)}, params)
 
 
 def kernel_input(wide: DataFrame, rules: Sequence[Rule], params: Params) -> DataFrame:
@@ -59,49 +66,53 @@ def day_number(pdf: pd.DataFrame) -> np.ndarray:
     return pd.to_datetime(pdf["date"]).to_numpy("datetime64[D]").astype(np.int64)
 
 
-def play(wide: DataFrame, rules: Sequence[Rule], open_ended: bool, params: Params = DEFAULT) -> DataFrame:
-    """Play rules on one machine: the timed one, or the open-ended one with or without limits."""
-    names = [r.name for r in rules]
-    runs = [Run(r.days, r.profit, r.is_long) for r in rules]
-    buys, sells = [f"buy_{n}" for n in names], [f"sell_{n}" for n in names]
-
+def _play(wide: DataFrame, groups: dict[bool, list[Rule]], params: Params) -> DataFrame:
     def advance(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        machine, curve = machine_for(runs, params, open_ended), Curve(len(runs))
+        running = [
+            (rules, machine_for([Run(r.days, r.profit, r.is_long) for r in rules], params, open_ended), Curve(len(rules)))
+            for open_ended, rules in groups.items()
+        ]
         for pdf in pieces(batches, params.bars_per_step):
-            close, track = pdf["close"].to_numpy(float), pdf["track_change"].to_numpy(float)
-            buy, sell, one_day = matrix(pdf, buys), matrix(pdf, sells), pdf["one_day_buy"].to_numpy(bool)
-            out = machine.advance(close, track, day_number(pdf), buy, sell, one_day)
-            peak, drawdown, returns = curve.push(out["equity"])
-            entry = out["entry_day"]
-            for k, name in enumerate(names):
-                yield pd.DataFrame(
-                    {
-                        "symbol": pdf["symbol"].to_numpy(),
-                        "signal": name,
-                        "date": pdf["date"].to_numpy(),
-                        "close": close,
-                        "buy": buy[:, k],
-                        "sell": sell[:, k],
-                        "one_day_buy": one_day,
-                        "hold": out["hold"][:, k],
-                        "trade_in": out["trade_in"][:, k],
-                        "trade_out": out["trade_out"][:, k],
-                        "days_in_trade": out["days_in_trade"][:, k].astype(np.int32),
-                        "profitable_closes": out["profitable_closes"][:, k].astype(np.int32),
-                        "trade_entry": out["trade_entry"][:, k],
-                        "entry_date": pd.Series(
-                            np.where(entry[:, k] > 0, entry[:, k].astype("datetime64[D]"), np.datetime64("NaT"))
-                        ).dt.date,
-                        "trade_pnl": out["trade_pnl"][:, k],
-                        "track_change": track,
-                        "equity": out["equity"][:, k],
-                        "running_max": peak[:, k],
-                        "drawdown": drawdown[:, k],
-                        "daily_return": returns[:, k],
-                    }
-                )
-
-    return date_sorted_groups(kernel_input(wide, rules, params), "symbol").applyInPandas(advance, POSITION_SCHEMA)
+            for rules, machine, curve in running:
+                yield from _played(pdf, [r.name for r in rules], machine, curve)
+
+    inputs = kernel_input(wide, [r for rules in groups.values() for r in rules], params)
+    return date_sorted_groups(inputs, "symbol").applyInPandas(advance, POSITION_SCHEMA)
+
+
+def _played(pdf: pd.DataFrame, names: Sequence[str], machine, curve: Curve) -> Iterator[pd.DataFrame]:
+    """Advance one machine over a piece of bars; one frame of output rows per rule."""
+    close, track = pdf["close"].to_numpy(float), pdf["track_change"].to_numpy(float)
+    buy, sell = (matrix(pdf, [f"{side}_{n}" for n in names]) for side in ("buy", "sell"))
+    one_day = pdf["one_day_buy"].to_numpy(bool)
+    out = machine.advance(close, track, day_number(pdf), buy, sell, one_day)
+    peak, drawdown, returns = curve.push(out["equity"])
+    entered = np.where(out["entry_day"] > 0, out["entry_day"].astype("datetime64[D]"), np.datetime64("NaT"))
+    for k, name in enumerate(names):
+        yield pd.DataFrame(
+            {
+                "symbol": pdf["symbol"].to_numpy(),
+                "signal": name,
+                "date": pdf["date"].to_numpy(),
+                "close": close,
+                "buy": buy[:, k],
+                "sell": sell[:, k],
+                "one_day_buy": one_day,
+                "hold": out["hold"][:, k],
+                "trade_in": out["trade_in"][:, k],
+                "trade_out": out["trade_out"][:, k],
+                "days_in_trade": out["days_in_trade"][:, k].astype(np.int32),
+                "profitable_closes": out["profitable_closes"][:, k].astype(np.int32),
+                "trade_entry": out["trade_entry"][:, k],
+                "entry_date": pd.Series(entered[:, k]).dt.date,
+                "trade_pnl": out["trade_pnl"][:, k],
+                "track_change": track,
+                "equity": out["equity"][:, k],
+                "running_max": peak[:, k],
+                "drawdown": drawdown[:, k],
+                "daily_return": returns[:, k],
+            }
+        )
 
 
 def with_drawdown(curve: DataFrame, keys: Sequence[str] = ("symbol", "signal")) -> DataFrame:

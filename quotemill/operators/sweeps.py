@@ -7,6 +7,7 @@ the grouping key, so one symbol's grid spreads over as many tasks as it has bloc
 from __future__ import annotations
 
 import math
+from collections import deque
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
 
@@ -170,19 +171,7 @@ def run_trials(
     axes: Sequence[Axis] = (),
 ) -> DataFrame:
     """Result row per symbol and trial, from a `with_rules` frame that carries the trial columns."""
-    frames = []
-    for open_ended in (False, True):
-        group = [t for t in trials if is_open_ended(t.days) == open_ended]
-        if group:
-            frames.append(_run_group(wide, group, open_ended, params, axes))
-    return frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1])
-
-
-def _run_group(wide, trials, open_ended, params, axes) -> DataFrame:
-    # Neighbouring trials share a column, so each block needs few of them.
-    trials = sorted(trials, key=lambda t: (t.signal, t.column or "", t.condition or "", t.value or 0.0))
-    size = max(1, params.runs_per_task)
-    blocks = [trials[i : i + size] for i in range(0, len(trials), size)]
+    blocks = _blocks(trials, params.runs_per_task)
     gates = {a.column: a for a in axes}
 
     users: dict[str, list[int]] = {}
@@ -221,8 +210,10 @@ def _run_group(wide, trials, open_ended, params, axes) -> DataFrame:
                     t for t in blocks[int(pdf["_block"].iloc[0])] if _open(gates.get(t.column), symbol, first_year)
                 ]
                 if not block:
+                    deque(batches, maxlen=0)  # read the group to its end before leaving it
                     return
-                machine = machine_for([Run(t.days, t.profit, t.is_long) for t in block], params, open_ended)
+                runs = [Run(t.days, t.profit, t.is_long) for t in block]
+                machine = machine_for(runs, params, is_open_ended(block[0].days))
                 tally = Tally(len(block), params)
             buy, sell = _conditions(pdf, block)
             one_day = pdf["one_day_buy"].to_numpy(bool)
@@ -246,6 +237,16 @@ def _run_group(wide, trials, open_ended, params, axes) -> DataFrame:
     return date_sorted_groups(shipped, "symbol", "_block").applyInPandas(play, TRIAL_SCHEMA)
 
 
+def _blocks(trials: Sequence[Trial], size: int) -> list[list[Trial]]:
+    """Trials of one machine each, neighbours sharing a column, so that a block reads few of them."""
+    blocks: list[list[Trial]] = []
+    for open_ended in (False, True):
+        group = [t for t in trials if is_open_ended(t.days) == open_ended]
+        group.sort(key=lambda t: (t.signal, t.column or "", t.condition or "", t.value or 0.0))
+        blocks += [group[i : i + size] for i in range(0, len(group), size)]
+    return blocks
+
+
 def _open(axis: Axis | None, symbol: str, first_year: int) -> bool:
     """Whether the gates of an axis let this symbol's series through."""
     if axis is None:

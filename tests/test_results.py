@@ -116,6 +116,20 @@ def test_axis_gates(spark, bars):
     wide = RU.with_rules(renamed, [rule], extra=["rsi2", "rsi5", "er"])
     got = SW.run_trials(wide, SW.threshold_grid(rule, axes), DEFAULT, axes).select("symbol", "indicator").distinct()
     assert {tuple(r) for r in got.collect()} == {("AAA", "rsi5"), ("AAA", "er"), ("SOXX", "rsi5")}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        alone = SW.run_trials(wide, SW.threshold_grid(rule, axes[2:]), DEFAULT, axes[2:])
+        assert {r.symbol for r in alone.collect()} == {"AAA"}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_both_machines_share_one_pass(spark, bars):
+    rules = [RU.RULES["rule17"], RU.RULES["open_rule"]]
+    wide = RU.with_rules(bars, rules)
+    for frame in (P.positions(wide, rules), SW.run_trials(wide, SW.rule_trials(rules))):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FlatMapGroupsInPandas") == 2 and "Union" not in plan
 
 
 def test_scan_alerts_and_boards(spark, bars):
