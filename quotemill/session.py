@@ -62,9 +62,14 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash rows by key over the session's shuffle partitions.
 
     Per-series work costs far more than its bytes suggest; the explicit count keeps adaptive execution
-    from packing many series into one task because their rows are small.
+    from packing many series into one task because their rows are small. A local session gets no more
+    partitions than it has threads, since there every further one only waits.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    spark = df.sparkSession
+    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if spark.sparkContext.master.startswith("local"):
+        count = min(count, spark.sparkContext.defaultParallelism)
+    return df.repartition(count, *keys)
 
 
 def date_sorted_groups(df: DataFrame, *keys: str) -> GroupedData:
