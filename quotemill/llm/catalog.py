@@ -6,11 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quotemill.llm import exact_dedup, simhash
+from quotemill.llm import (
+    decontaminate,
+    exact_dedup,
+    language,
+    language_model,
+    licenses,
+    packing,
+    pii,
+    quality,
+    simhash,
+    wrappers,
+)
 from quotemill.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": lambda spark, d: simhash.simhash_dedup(table(spark, d, "documents")),
+    "op2_language": lambda spark, d: language.language_id(table(spark, d, "documents")),
+    "op3_decontaminate": lambda spark, d: decontaminate.decontaminate(table(spark, d, "documents"), table(spark, d, "benchmark")),
+    "op4_wrappers": lambda spark, d: wrappers.main_text(table(spark, d, "pages")),
+    "op5_quality": lambda spark, d: quality.quality(table(spark, d, "documents"), table(spark, d, "labels")),
+    "op6_hidden_markov": lambda spark, d: language_model.score_texts(table(spark, d, "documents")),
+    "op7_packing": lambda spark, d: packing.packed(table(spark, d, "documents")),
+    "op8_pii": lambda spark, d: pii.find_pii(table(spark, d, "documents")).drop("found"),
+    "op9_licenses": lambda spark, d: licenses.scan(table(spark, d, "documents")).drop("matches"),
     "op10_tree_merge": lambda spark, d: exact_dedup.exact_dedup(table(spark, d, "documents")),
 }
 
