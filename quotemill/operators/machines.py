@@ -23,6 +23,9 @@ class Run:
     is_long: bool = True
 
 
+# The day of no entry; as a date it reads as missing.
+NO_DAY = np.iinfo(np.int64).min
+
 FIELDS = (
     "hold",
     "trade_in",
@@ -50,7 +53,7 @@ class _Machine:
         self.days_in_trade = np.zeros(size, np.int32)
         self.profitable_closes = np.zeros(size, np.int32)
         self.trade_entry = np.zeros(size)
-        self.entry_day = np.zeros(size, np.int64)
+        self.entry_day = np.full(size, NO_DAY)
         self.trade_pnl = np.zeros(size)
         self.equity = np.full(size, float(params.start_capital))
 
@@ -89,9 +92,77 @@ class TimedMachine(_Machine):
             (sell & self.hold) | (self.days_in_trade >= self.days) | (self.profitable_closes >= self.profit)
         )
         self.trade_entry = np.where(self.trade_in, close, np.where(self.hold, self.trade_entry, 0.0))
-        self.entry_day = np.where(self.trade_in, day, np.where(self.hold, self.entry_day, 0))
+        self.entry_day = np.where(self.trade_in, day, np.where(self.hold, self.entry_day, NO_DAY))
         self.equity = np.where(self.hold, self.equity * growth, self.equity)
 
+    def advance(self, close, track, day, buy, sell, one_day) -> dict[str, np.ndarray]:
+        """As the bar loop does, but trade by trade: an exit is the first of the sell, the last day and the won close
+        that fills the limit, all looked up at the entry; the columns follow from entries and exits."""
+        if (self.days < 1).any() or (self.profit < 1).any():
+            return super().advance(close, track, day, buy, sell, one_day)
+        n, runs = buy.shape
+        before = np.concatenate([[self.previous_close], close[:-1]])
+        won = {True: close > before, False: close < before}
+        run, entry, leave = self._trades(n, buy, sell, won)
+        began, ended = entry >= 0, leave < n
+
+        out = {f: np.zeros((n, runs), getattr(self, f).dtype) for f in FIELDS}
+        step, first = np.zeros((n + 2, runs), np.int32), np.zeros((n + 1, runs), np.int64)
+        step[entry + 1, run] += 1
+        np.subtract.at(step, (np.minimum(leave, n) + 1, run), 1)
+        first[entry + 1, run] = entry + 2
+        hold = out["hold"] = np.cumsum(step, axis=0)[:n] > 0
+        # Entry bar of each held bar; -1 is an entry in an earlier batch.
+        at = np.where(hold, np.maximum.accumulate(first[:n], axis=0) - 2, 0)
+        old = hold & (at < 0)
+        out["trade_in"][entry[began], run[began]] = True
+        out["trade_out"][leave[ended], run[ended]] = True
+        wins = {side: np.cumsum(x) for side, x in won.items()}
+        here = np.where(self.is_long, wins[True][:, None], wins[False][:, None])
+        there = np.where(self.is_long, wins[True][at], wins[False][at])
+        out["days_in_trade"][:] = np.where(old, np.arange(1, n + 1)[:, None] + self.days_in_trade, np.where(hold, np.arange(n)[:, None] - at, 0))
+        out["profitable_closes"][:] = np.where(old, here + self.profitable_closes, np.where(hold, here - there, 0))
+        fresh = out["trade_in"]
+        out["trade_entry"] = np.where(fresh, close[:, None], np.where(old, self.trade_entry, np.where(hold, close[at], 0.0)))
+        out["entry_day"] = np.where(fresh, day[:, None], np.where(old, self.entry_day, np.where(hold, day[at], NO_DAY)))
+        growth = np.where(hold, 1 + np.where(self.is_long, track[:, None], -track[:, None]), 1.0)
+        out["equity"] = np.multiply.accumulate(np.vstack([self.equity, growth]), axis=0)[1:]
+        out = self._finish(out, close)
+        for f in FIELDS:
+            setattr(self, f, out[f][-1].copy())
+        self.previous_close = close[-1]
+        return out
+
+    def _trades(self, n, buy, sell, won) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Run, entry bar (-1: held already) and exit bar (n or more: held on) of every trade in this batch."""
+
+        def ahead(flags):
+            """The next bar, from each on, that has the flag; n if there is none."""
+            where = np.where(flags, np.arange(n)[:, None], n)
+            return np.vstack([np.minimum.accumulate(where[::-1], axis=0)[::-1], np.full((2, flags.shape[1]), n)]).T.tolist()
+
+        places = {side: [*np.flatnonzero(x).tolist()] for side, x in won.items()}
+        counts = {side: np.cumsum(x).tolist() for side, x in won.items()}
+        next_buy, next_sell = ahead(buy), ahead(sell)
+        held = (self.hold & ~self.trade_out) | self.trade_in
+        found: list[tuple[int, int, int]] = []
+        for k in range(len(held)):
+            buys, sells, side = next_buy[k], next_sell[k], bool(self.is_long[k])
+            days, profit, place, count = int(self.days[k]), int(self.profit[k]), places[side], counts[side]
+            i = 0
+            if held[k]:
+                last = profit - int(self.profitable_closes[k]) - 1
+                x = min(days - int(self.days_in_trade[k]) - 1, sells[0], place[last] if last < len(place) else n)
+                found.append((k, -1, x))
+                i = x + 1
+            while i < n and (e := buys[i]) < n:
+                last = count[e] + profit - 1
+                x = min(e + days, sells[e + 1], place[last] if last < len(place) else n)
+                found.append((k, e, x))
+                i = x + 1
+        run, entry, leave = np.array(found, np.int64).reshape(-1, 3).T
+        return run, entry, leave
+
     def _finish(self, out, close):
         # Trade result against the entry close, leveraged, reversed for short runs.
         entry = np.where(out["hold"], out["trade_entry"], np.nan)
@@ -121,7 +192,7 @@ class OpenMachine(_Machine):
             self._count(won)
             opens = (self.trade_in | one_day) & (self.trade_entry == 0)
             self.trade_entry = np.where(opens, close, np.where(self.hold, self.trade_entry, 0.0))
-            self.entry_day = np.where(opens, day, np.where(self.hold, self.entry_day, 0))
+            self.entry_day = np.where(opens, day, np.where(self.hold, self.entry_day, NO_DAY))
             self.trade_pnl = np.where(self.hold, self.trade_pnl + track, 0.0)
             self.trade_out = (
                 (sell & self.hold)

@@ -87,7 +87,7 @@ def _played(pdf: pd.DataFrame, names: Sequence[str], machine, curve: Curve) -> I
     one_day = pdf["one_day_buy"].to_numpy(bool)
     out = machine.advance(close, track, day_number(pdf), buy, sell, one_day)
     peak, drawdown, returns = curve.push(out["equity"])
-    entered = np.where(out["entry_day"] > 0, out["entry_day"].astype("datetime64[D]"), np.datetime64("NaT"))
+    entered = out["entry_day"].astype("datetime64[D]")
     for k, name in enumerate(names):
         yield pd.DataFrame(
             {

@@ -150,3 +150,31 @@ def test_ruined_account():
     assert result["pnl"][0] < 0
     assert result["sharpe"][0] == -100
     assert np.isnan(result["cagr"][0])
+
+
+@pytest.mark.parametrize("machine", [TimedMachine, OpenMachine])
+def test_entry_days_before_1970(machine):
+    closes, n = np.array([10.0, 10, 9, 8, 7, 6]), 6
+    buy = np.array([[False], [True], [False], [False], [False], [False]])
+    none = np.zeros((n, 1), bool)
+    track = np.concatenate([[np.nan], closes[1:] / closes[:-1] - 1])
+    out = machine([Run(2, 9)], FLAT).advance(closes, track, np.arange(-2, n - 2), buy, none, np.zeros(n, bool))
+    dates = out["entry_day"][:, 0].astype("datetime64[D]")
+    assert np.isnat(dates[0]) and (dates[1:4] == np.datetime64("1969-12-31")).all() and np.isnat(dates[-1])
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_trades_equal_the_bar_loop(seed):
+    rng = np.random.default_rng(seed)
+    n = 150
+    runs = [Run(d, p, d % 2 == 0) for d in (1, 2, 5, 30) for p in (1, 3)]
+    close = np.round(100 * np.cumprod(1 + rng.normal(0, 0.02, n)), 1)
+    track = np.concatenate([[np.nan], close[1:] / close[:-1] - 1]) * 3
+    buy, sell = rng.random((n, len(runs))) < (0.05, 0.5)[seed % 2], rng.random((n, len(runs))) < 0.1
+    one_day, day = np.zeros(n, bool), np.arange(n) - 70
+    loop, trades = TimedMachine(runs, DEFAULT), TimedMachine(runs, DEFAULT)
+    for s in (slice(0, 1), slice(1, 50), slice(50, 53), slice(53, n)):
+        part = (close[s], track[s], day[s], buy[s], sell[s], one_day[s])
+        want, got = super(TimedMachine, loop).advance(*part), trades.advance(*part)
+        for field, values in want.items():
+            np.testing.assert_array_equal(got[field], values, err_msg=field)
