@@ -32,19 +32,27 @@ class Smoothing:
 
 
 class _Ewm:
-    """y = a*x + (1-a)*y', seeded with the first value."""
+    """y = a*x + (1-a)*y', seeded with the first value.
+
+    A missing x repeats y but ages it: after k missing values y weighs (1-a)^(k+1) against a. The number of
+    missing values since the last present one is part of the state.
+    """
 
     def __init__(self, alpha: float):
         self.alpha = alpha
         self.last: float | None = None
+        self.missed = 0
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
         if not len(x):
             return x
-        seeded = self.last is not None
-        y = pd.Series(np.concatenate([[self.last], x]) if seeded else x)
-        y = y.ewm(alpha=self.alpha, adjust=False).mean().to_numpy()[seeded:]
-        self.last = float(y[-1])
+        head = [] if self.last is None else [self.last, *[np.nan] * self.missed]
+        y = pd.Series(np.concatenate([head, x])).ewm(alpha=self.alpha, adjust=False).mean().to_numpy()[len(head) :]
+        present = np.flatnonzero(~np.isnan(x))
+        if len(present):
+            self.last, self.missed = float(y[-1]), len(x) - 1 - int(present[-1])
+        elif self.last is not None:
+            self.missed += len(x)
         return y
 
 

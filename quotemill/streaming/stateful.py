@@ -1,7 +1,8 @@
 """Per-symbol state carried across micro-batches of bars.
 
 Each symbol's state is one running object, stored as bytes with the last date it has seen. Bars at or
-before that date are late and dropped, so replays after a restart change nothing.
+before that date are late and dropped, so replays after a restart change nothing. Of several copies of a
+bar in one micro-batch the last arrival counts; without an arrival column, the largest by its values.
 """
 
 from __future__ import annotations
@@ -26,17 +27,22 @@ def carry(
     start: Callable[[], Any],
     step: Callable[[Any, pd.DataFrame], pd.DataFrame],
     schema: T.StructType,
+    arrival: str | None = None,
 ) -> DataFrame:
     """Feed each symbol's new bars, in date order, to its running object; `step` returns output rows."""
 
     def advance(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        running, last = start(), -1
+        running, last = start(), None
         if state.exists:
             stored, last = state.get
             running = pickle.loads(bytes(stored))
         pdf = pd.concat(list(batches), ignore_index=True)
         day = pd.to_datetime(pdf["date"]).to_numpy("datetime64[D]").astype("int64")
-        pdf = pdf.assign(_day=day)[day > last].drop_duplicates("_day", keep="last").sort_values("_day")
+        pdf = pdf.assign(_day=day)
+        if last is not None:
+            pdf = pdf[day > last]
+        order = [arrival] if arrival else [c for c in pdf.columns if c != "_day"]
+        pdf = pdf.sort_values(["_day", *order]).drop_duplicates("_day", keep="last")
         if not len(pdf):
             return
         last = int(pdf["_day"].iloc[-1])

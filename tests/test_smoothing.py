@@ -53,9 +53,28 @@ def test_against_loops():
     np.testing.assert_allclose(got["macd"][33:], (line[25:] - signal)[8:], atol=1e-12)
 
 
+def gaps(pdf):
+    """The series with single, repeated and leading missing values in every column."""
+    pdf = pdf.copy()
+    for k, column in enumerate(pdf.columns):
+        for at in (0, 1, 30 + k, 31 + k, 32 + k, 60, 61, 100 + k):
+            pdf.loc[at, column] = np.nan
+    return pdf
+
+
+def test_ema_ages_over_gaps():
+    got = Smoother([Smoothing("e", "ema", "x", (3,))]).push(pd.DataFrame({"x": [1.0, 2, 3, np.nan, np.nan, 9, 4, 5]}))["e"]
+    # After two missing values the old mean weighs 1/8 against 1/2.
+    y = 2.25
+    assert got[2] == got[3] == got[4] == pytest.approx(y)
+    y = (y / 8 + 9 / 2) / (1 / 8 + 1 / 2)
+    assert got[5] == pytest.approx(y) and got[6] == pytest.approx((y + 4) / 2)
+
+
+@pytest.mark.parametrize("make", [series, lambda: gaps(series())])
 @pytest.mark.parametrize("cut", [1, 3, 19, 40])
-def test_batches_do_not_matter(cut):
-    pdf, whole, parts = series(), Smoother(SPECS).push(series()), Smoother(SPECS)
+def test_batches_do_not_matter(cut, make):
+    pdf, whole, parts = make(), Smoother(SPECS).push(make()), Smoother(SPECS)
     got = [parts.push(pdf.iloc[i : i + cut]) for i in range(0, len(pdf), cut)]
     for name in whole:
         np.testing.assert_allclose(np.concatenate([g[name] for g in got]), whole[name], rtol=1e-12, atol=1e-12)
