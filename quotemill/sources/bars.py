@@ -16,6 +16,7 @@ from quotemill.operators.relational import (
     keep_last_arrival,
     keep_sessions,
     normalize,
+    plain_column,
 )
 from quotemill.params import DEFAULT, LEVEL_TICKERS, RATIO_TICKERS, Params
 from quotemill.schema import BAR_COLUMNS, BAR_SCHEMA, PRICE_COLUMNS
@@ -37,8 +38,21 @@ def read_bars(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(BAR_SCHEMA).parquet(path)
 
 
-def read_bars_csv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(BAR_SCHEMA).csv(path, header=True, dateFormat="yyyy-MM-dd")
+def read_bars_csv(spark: SparkSession, path: str, symbol: str | None = None) -> DataFrame:
+    """Bars from CSV files with a header; columns are found by name, in any order and case.
+
+    A file of one symbol may lack the symbol column; `symbol` then names it. Missing columns raise here,
+    malformed rows, dates and numbers when they are read. Columns beyond the contract are ignored.
+    """
+    raw = spark.read.csv(path, header=True, mode="FAILFAST", inferSchema=False)
+    raw = raw.toDF(*[c.strip().lower().replace(" ", "_") for c in raw.columns])
+    if symbol is not None:
+        raw = raw.withColumn("symbol", F.lit(symbol))
+    missing = [c for c in BAR_COLUMNS if c not in raw.columns]
+    if missing:
+        raise ValueError(f"{path} lacks the columns {missing}")
+    typed = {"symbol": F.col("symbol"), "date": F.to_date("date", "yyyy-MM-dd")}
+    return raw.select(*[typed.get(c, F.col(c).cast("double")).alias(c) for c in BAR_COLUMNS])
 
 
 def history(bars: DataFrame, years: int, today: dt.date | None = None) -> DataFrame:
@@ -48,9 +62,14 @@ def history(bars: DataFrame, years: int, today: dt.date | None = None) -> DataFr
 
 
 def bulk_bars(bars: DataFrame, symbols: Sequence[str], years: int, today: dt.date | None = None) -> DataFrame:
-    """History of many symbols; both predicates reach the table scan."""
-    wanted = bars.filter(F.col("symbol").isin([alias_ticker(s) for s in symbols]))
-    return history(wanted, years, today)
+    """History of many symbols; both predicates reach the table scan.
+
+    A table may hold a future or currency under its feed name or its plain one. From here on it has the
+    plain name, which rules, gates and boards use.
+    """
+    names = dict.fromkeys([*map(alias_ticker, symbols), *symbols])
+    wanted = history(bars.filter(F.col("symbol").isin(*names)), years, today)
+    return wanted.withColumn("symbol", plain_column(F.col("symbol")))
 
 
 def bars_with_context(
@@ -60,7 +79,7 @@ def bars_with_context(
     from quotemill.operators.context import attach_context, build_context
 
     panel = bulk_bars(bars, [symbol, *CONTEXT_TICKERS], years, today)
-    own = panel.filter(F.col("symbol") == alias_ticker(symbol))
+    own = panel.filter(F.col("symbol") == symbol)
     return drop_null_close(attach_context(own, build_context(panel), params=params))
 
 

@@ -2,26 +2,62 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from quotemill.schema import POSITION_SCHEMA
 
-def write_positions(positions: DataFrame, path: str, format: str = "parquet") -> None:
-    """Position frames, one folder per signal, replaced on every run.
+def read_positions(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
+    """What `write_positions` has stored, without its bucket column."""
+    return _stored(spark, path, format, POSITION_SCHEMA).drop("bucket")
 
-    Inside a folder rows are clustered by symbol, so one symbol's frame is found by file statistics; a
-    folder per symbol would mean millions of folders on a wide panel.
+
+def _stored(spark: SparkSession, path: str, format: str, schema: T.StructType) -> DataFrame:
+    whole = T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())])
+    return spark.read.format(format).schema(whole).options(**_options(format)).load(path)
+
+
+def _options(format: str) -> dict[str, str]:
+    return {"header": "true"} if format == "csv" else {}
+
+
+def write_positions(positions: DataFrame, path: str, format: str = "parquet", buckets: int = 16) -> None:
+    """Position frames by signal and symbol bucket; replaces exactly the (symbol, signal) pairs it is given.
+
+    Folders are per signal and bucket of symbols: a folder per symbol would mean millions on a wide panel.
+    Only the folders that hold a given pair are rewritten, with the other pairs' rows as they were. `buckets`
+    must stay the same for one path.
     """
+    bucket = F.pmod(F.xxhash64("symbol"), F.lit(buckets)).cast("int")
+    new = positions.withColumn("bucket", bucket)
+    try:
+        old = _stored(positions.sparkSession, path, format, positions.schema)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    else:
+        pairs = new.select("symbol", "signal", "bucket").distinct()
+        touched = old.join(pairs.select("signal", "bucket").distinct(), ["signal", "bucket"], "left_semi")
+        new = new.unionByName(touched.join(pairs, ["symbol", "signal"], "left_anti").select(*new.columns))
     (
-        positions.repartition("symbol", "signal")
-        .sortWithinPartitions("signal", "symbol", "date")
+        new.repartition("signal", "bucket", "symbol")
+        .sortWithinPartitions("signal", "bucket", "symbol", "date")
         .write.mode("overwrite")
-        .partitionBy("signal")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("signal", "bucket")
         .format(format)
-        .options(**({"header": "true"} if format == "csv" else {}))
+        .options(**_options(format))
         .save(path)
     )
 
 
+def write_bad_dates(report: DataFrame, path: str) -> None:
+    """The bad-bar report as CSV files for whoever mends the feed, replaced on every run."""
+    report.write.mode("overwrite").csv(path, header=True)
+
+
 def write_bars(bars: DataFrame, path: str) -> None:
     """Bars clustered by symbol, so that a symbol filter skips row groups and files."""
     clustered(bars).write.mode("overwrite").parquet(path)

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from quotemill.operators import relational as R
 from quotemill.operators.context import attach_context, build_context, context_rsis
 from quotemill.operators.positions import bad_bars
-from quotemill.params import Params
 from quotemill.sources import bars as B
 from quotemill.sources.calendar import weekday_calendar
 from quotemill.sources.sinks import save_bucketed_bars, write_bars, write_positions
@@ -57,24 +56,18 @@ def test_last_arrival_wins_among_many_copies(spark):
     assert [r.open for r in kept] == [10, 11, 12]
 
 
-def test_calendar_and_session_filter_with_and_without_broadcast(spark):
+def test_calendar_and_session_filter(spark, tmp_path):
     bars = make_bars(spark, range(300))
     weekend = bars.withColumn("date", F.date_add("date", 5)).filter(F.weekday("date") >= 5)
     both = bars.unionByName(weekend)
     calendar = weekday_calendar(both)
     kept = R.keep_sessions(both, calendar)
-    small = R.keep_sessions(both, calendar, Params(max_broadcast_rows=1))
     holidays = {(1, 1), (7, 4), (12, 25)}
-    want = sorted(d for d in days(300) if (d.month, d.day) not in holidays)
-    for got in (kept, small):
-        assert sorted(r.date for r in got.collect()) == want
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        hinted = R.keep_sessions(both, calendar)._jdf.queryExecution().executedPlan().toString()
-        beyond = R.keep_sessions(both, calendar, Params(max_broadcast_rows=1))._jdf.queryExecution().executedPlan().toString()
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert "BroadcastHashJoin" in hinted and "SortMergeJoin" in beyond
+    assert sorted(r.date for r in kept.collect()) == sorted(d for d in days(300) if (d.month, d.day) not in holidays)
+    # A stored calendar has a known size, so Spark decides on the broadcast by itself, without a job.
+    calendar.write.parquet(str(tmp_path / "calendar"))
+    stored = R.keep_sessions(both, spark.read.parquet(str(tmp_path / "calendar")))
+    assert "BroadcastHashJoin" in stored._jdf.queryExecution().executedPlan().toString()
 
 
 def test_aliases_names_and_append(spark):
@@ -97,7 +90,7 @@ def test_history_starts_at_new_year_and_filters_reach_the_scan(spark, tmp_path):
     got = [r.date for r in picked.collect()]
     assert min(got) == dt.date(2024, 1, 1) and max(got) == dt.date(2025, 6, 30)
     plan = picked.select("close")._jdf.queryExecution().executedPlan().toString()
-    assert "In(symbol, [AAA,NQ=F])" in plan and "GreaterThanOrEqual(date,2024-01-01)" in plan
+    assert "In(symbol, [AAA,NQ=F,NQ])" in plan and "GreaterThanOrEqual(date,2024-01-01)" in plan
     assert "volume" not in plan.split("ReadSchema")[1]
 
 
@@ -134,6 +127,14 @@ def test_sinks(spark, tmp_path):
         write_positions(bars, path, kind)
         write_positions(bars, path, kind)
         assert spark.read.format(kind).option("header", "true").load(path).count() == 19
+        # Another rule and another symbol go beside what is there; a pair given again is replaced.
+        other = bars.withColumn("signal", F.lit("other"))
+        write_positions(other, path, kind)
+        write_positions(bars.withColumn("symbol", F.lit("ELSE")), path, kind)
+        write_positions(other.limit(5), path, kind)
+        stored = spark.read.format(kind).option("header", "true").load(path)
+        counts = {(r.signal, r.symbol == "ELSE"): r["count"] for r in stored.groupBy("signal", "symbol").count().collect()}
+        assert sorted(counts.values()) == [5, 19, 19] and counts[("other", False)] == 5
     spark.sql("DROP TABLE IF EXISTS bucketed_bars")
     save_bucketed_bars(bars.drop("signal"), "bucketed_bars", 4)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
@@ -144,3 +145,24 @@ def test_sinks(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.sql("DROP TABLE bucketed_bars")
+
+
+def test_csv_is_read_by_header(spark, tmp_path):
+    path = str(tmp_path / "x.csv")
+    (tmp_path / "x.csv").write_text("Date,Close,Volume,Open,High,Low,Adj Close\n2024-01-02,4,5,1,3,,9\n")
+    got = B.read_bars_csv(spark, path, "AAA").first()
+    assert tuple(got) == ("AAA", dt.date(2024, 1, 2), 1.0, 3.0, None, 4.0, 5.0)
+    with pytest.raises(ValueError, match="symbol"):
+        B.read_bars_csv(spark, path)
+    (tmp_path / "y.csv").write_text("symbol,date,open,high,low,close,volume\nAAA,2024-01-02,1,2,oops,4,5\n")
+    with pytest.raises(Exception, match="oops"):
+        B.read_bars_csv(spark, str(tmp_path / "y.csv")).collect()
+
+
+@pytest.mark.parametrize("held", ["NQ=F", "NQ"])
+def test_futures_have_one_name_after_loading(spark, held):
+    bars = make_bars(spark, [1, 2, 3], held).unionByName(make_bars(spark, [1, 2, 3], "AAA"))
+    got = B.bulk_bars(bars, ["NQ"], 1, dt.date(2024, 6, 30)).collect()
+    assert [r.symbol for r in got] == ["NQ"] * 3
+    names = spark.createDataFrame([("CL=F",), ("GBPUSD=X",), ("CL",), ("AB=F",)], "s string")
+    assert [r[0] for r in names.select(R.plain_column(F.col("s"))).collect()] == ["CL", "GBPUSD", "CL", "AB=F"]
