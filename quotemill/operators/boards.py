@@ -12,7 +12,6 @@ from quotemill.functions.scalars import div
 from quotemill.operators.rules import Rule, rule_universe, with_rules
 from quotemill.operators.sweeps import rule_trials, run_trials, with_kelly
 from quotemill.params import DEFAULT, Params
-from quotemill.session import broadcast_if_small
 
 # Symbols loaded for context only and left out of a board.
 SCAN_EXCLUDED = ("^VIX", "RSP", "XLI", "XLU", "XLE", "XLF")
@@ -24,17 +23,18 @@ def scan(
 ) -> DataFrame:
     """State of every eligible (symbol, rule) pair on the symbol's latest bar.
 
-    Symbols no rule may trade are dropped at the scan of the bars, before anything is computed.
+    Symbols no rule may trade are dropped at the scan of the bars, before anything is computed; pairs that
+    are not eligible are left out before the grouped pass.
     """
     spark = bars.sparkSession
     symbols = sorted({s for r in rules for s in r.symbols})
     wide = with_rules(bars.filter(F.col("symbol").isin(*symbols)), rules, params, context)
-    played = with_kelly(run_trials(wide, rule_trials(rules), params))
+    played = with_kelly(run_trials(wide, rule_trials(rules), params, eligible={r.name: set(r.symbols) for r in rules}))
     pairs = spark.createDataFrame(
         [(r.name, s, r.description, r.verdict) for r in rules for s in r.symbols],
         "signal string, symbol string, description string, verdict string",
     )
-    eligible = played.join(broadcast_if_small(pairs, params.max_broadcast_rows), ["signal", "symbol"])
+    eligible = played.join(F.broadcast(pairs), ["signal", "symbol"])
     return eligible.select(
         "symbol",
         "signal",
@@ -81,7 +81,7 @@ def rule_board(wide: DataFrame, rules: Sequence[Rule], params: Params = DEFAULT)
     """Every rule on every symbol given, with a mark whether the rule is meant for it."""
     played = run_trials(wide, rule_trials(rules), params)
     pairs = rule_universe(wide.sparkSession, rules).withColumn("_listed", F.lit(True))
-    listed = played.join(broadcast_if_small(pairs, params.max_broadcast_rows), ["signal", "symbol"], "left")
+    listed = played.join(F.broadcast(pairs), ["signal", "symbol"], "left")
     return listed.select(
         "symbol",
         "signal",

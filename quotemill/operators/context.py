@@ -11,7 +11,6 @@ from quotemill.functions.scalars import div, flag
 from quotemill.functions.smoothing import Smoothing, with_smoothings
 from quotemill.functions.windows import rolling
 from quotemill.params import CONTEXT_RSI_PERIODS, DEFAULT, LEVEL_TICKERS, RATIO_TICKERS, Params
-from quotemill.session import broadcast_if_small
 
 LEVELS = tuple(LEVEL_TICKERS)
 RATIOS = tuple(RATIO_TICKERS)
@@ -84,7 +83,6 @@ def with_context_rsis(context: DataFrame) -> DataFrame:
 def attach_context(
     bars: DataFrame, context: DataFrame, columns: Sequence[str] | None = None, params: Params = DEFAULT
 ) -> DataFrame:
-    """Left join by date of the wanted context columns; broadcast only after a size check."""
+    """Left join by date of the wanted context columns. A stored context is broadcast by Spark if its size allows."""
     wanted = [c for c in context.columns if c != "date" and (columns is None or c in columns)]
-    side = broadcast_if_small(context.select("date", *wanted), params.max_broadcast_rows)
-    return bars.join(side, "date", "left").select(*bars.columns, *wanted)
+    return bars.join(context.select("date", *wanted), "date", "left").select(*bars.columns, *wanted)

@@ -262,8 +262,8 @@ def _slope(p: Params) -> Column:
 
 _add("hurst", " ".join(f"_chunks{n}" for n in HURST_LENGTHS), _slope)
 
-# Everything the full frame holds; the exponent is costly and nobody's default.
-OPTIONAL = ("hurst", "stoch_d", "stoch_rsi", "volume_ema8")
+# Everything the full frame holds.
+OPTIONAL = ("stoch_d", "stoch_rsi", "volume_ema8")
 ALL_INDICATORS = tuple(
     n for n in (*REGISTRY, *RECURRENCES, *WEIGHTED) if not n.startswith("_") and n not in OPTIONAL
 )
@@ -335,9 +335,8 @@ def with_indicators(
 
 
 def add_all_indicators(
-    bars: DataFrame, context: DataFrame, params: Params = DEFAULT, hurst: bool = False
+    bars: DataFrame, context: DataFrame, params: Params = DEFAULT
 ) -> DataFrame:
     """The full indicator frame, with a Sell column that no rule has set yet."""
-    extra = ["hurst"] if hurst else []
-    frame = with_indicators(bars, [*ALL_INDICATORS, *extra, *CONTEXT_COLUMNS], params, context)
+    frame = with_indicators(bars, [*ALL_INDICATORS, *CONTEXT_COLUMNS], params, context)
     return frame.withColumn("sell", F.lit(False))

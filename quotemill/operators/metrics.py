@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from quotemill.functions import windows as W
 from quotemill.functions.scalars import div
 from quotemill.params import DEFAULT, Params
-from quotemill.session import broadcast_if_small
 
 KEYS = ("symbol", "signal")
 RETURN = "_r"
@@ -138,7 +137,6 @@ def treynor(
     whole = Window.partitionBy("_series")
     side = benchmark.select("date", excess.alias("_bench"), F.lit("benchmark").alias("_series"))
     side = side.select("date", "_bench", F.var_samp("_bench").over(whole).alias("_variance"))
-    side = broadcast_if_small(side, params.max_broadcast_rows)
     joined = used_returns(frame).join(side, "date", "left")
     own = F.col("daily_return") - risk_free
     beta = F.coalesce(div(F.covar_samp(own, F.col("_bench")), F.max("_variance")), F.lit(0.0))

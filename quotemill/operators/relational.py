@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quotemill.params import CURRENCIES, DEFAULT, FUTURES, Params
-from quotemill.session import broadcast_if_small
 
 
 def normalize(df: DataFrame) -> DataFrame:
@@ -41,10 +40,15 @@ def alias_column(symbol: Column) -> Column:
     )
 
 
+def plain_column(symbol: Column) -> Column:
+    """Plain name of a feed's ticker column; the inverse of `alias_column`."""
+    feed = [alias_ticker(s) for s in (*FUTURES, *CURRENCIES)]
+    return F.when(symbol.isin(*feed), F.regexp_replace(symbol, "=[FX]$", "")).otherwise(symbol)
+
+
 def keep_sessions(bars: DataFrame, calendar: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """Bars whose date is a session. The calendar is broadcast only after its size is checked."""
-    sessions = broadcast_if_small(calendar.select("date"), params.max_broadcast_rows)
-    return bars.join(sessions, "date", "left_semi").select(*bars.columns)
+    """Bars whose date is a session. Spark broadcasts the calendar if its stored size allows."""
+    return bars.join(calendar.select("date"), "date", "left_semi").select(*bars.columns)
 
 
 def keep_last_arrival(bars: DataFrame, arrival: str) -> DataFrame:

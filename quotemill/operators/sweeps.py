@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 from collections import deque
-from collections.abc import Iterator, Sequence
+from collections.abc import Collection, Iterator, Mapping, Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -169,11 +169,22 @@ def run_trials(
     trials: Sequence[Trial],
     params: Params = DEFAULT,
     axes: Sequence[Axis] = (),
+    eligible: Mapping[str, Collection[str]] | None = None,
 ) -> DataFrame:
-    """Result row per symbol and trial, from a `with_rules` frame that carries the trial columns."""
+    """Result row per symbol and trial, from a `with_rules` frame that carries the trial columns.
+
+    `eligible` names the symbols of each signal; other pairs are neither shipped nor played.
+    """
     blocks = _blocks(trials, params.runs_per_task)
     gates = {a.column: a for a in axes}
 
+    def due(number: int) -> Column:
+        """A block's number, on the symbols that any of its trials may play."""
+        if eligible is None:
+            return F.lit(number)
+        symbols = sorted({s for t in blocks[number] for s in eligible[t.signal]})
+        return F.when(F.col("symbol").isin(*symbols), F.lit(number))
+
     users: dict[str, list[int]] = {}
     for number, block in enumerate(blocks):
         for t in block:
@@ -183,7 +194,7 @@ def run_trials(
 
     block_id = F.col("_block")
     base = wide.withColumn("_track", track_change(params)).withColumn(
-        "_block", F.explode(F.array(*[F.lit(i) for i in range(len(blocks))]))
+        "_block", F.explode(F.array_compact(F.array(*[due(i) for i in range(len(blocks))])))
     )
     # A column travels only with the blocks that read it.
     shipped = base.select(
@@ -207,7 +218,9 @@ def run_trials(
                 symbol = pdf["symbol"].iloc[0]
                 first_year = pd.Timestamp(pdf["date"].iloc[0]).year
                 block = [
-                    t for t in blocks[int(pdf["_block"].iloc[0])] if _open(gates.get(t.column), symbol, first_year)
+                    t
+                    for t in blocks[int(pdf["_block"].iloc[0])]
+                    if _open(gates.get(t.column), symbol, first_year) and (eligible is None or symbol in eligible[t.signal])
                 ]
                 if not block:
                     deque(batches, maxlen=0)  # read the group to its end before leaving it

@@ -76,8 +76,6 @@ class Params:
     proxy_column: str = "soxx"
     periods_per_year: int = 252
 
-    # A one-row-per-date side is broadcast only up to this many rows; beyond it the join shuffles.
-    max_broadcast_rows: int = 200_000
     # Parameter combinations evaluated together by one sweep task.
     runs_per_task: int = 128
     # Bars a machine plays at once; bounds the bars x runs arrays a task holds.

@@ -79,15 +79,12 @@ _means = ", ".join(
     for n in HURST_LENGTHS
 )
 _pairs = ", ".join(f"(log10({n}), y{n})" for n in HURST_LENGTHS)
+_EXPONENTS = f"""SELECT symbol, date, (SELECT regr_slope(y, x) FROM (VALUES {_pairs}) AS p(x, y)) AS hurst
+  FROM (SELECT symbol, date, {_means} FROM (SELECT *, {roll("close", 100, "list")} AS l FROM bars))"""
 add(
     "ind26_hurst",
     lambda s, d: with_indicators(I.bars(s, d), ["hurst"], keep=()),
-    sql(
-        "bars",
-        f"""SELECT symbol, date, {six("h")} AS hurst FROM (
-          SELECT symbol, date, (SELECT regr_slope(y, x) FROM (VALUES {_pairs}) AS p(x, y)) AS h
-          FROM (SELECT symbol, date, {_means} FROM (SELECT *, {roll("close", 100, "list")} AS l FROM bars)))""",
-    ),
+    sql("bars", f"SELECT symbol, date, {six('hurst')} AS hurst FROM exponents", extra={"exponents": _EXPONENTS}),
 )
 _indicator("ind27_stochastic_d", "stoch_d")
 _indicator("ind28_stochastic_rsi", "stoch_rsi")
@@ -103,7 +100,8 @@ add(
         "frame_all",
         "SELECT symbol, date, "
         + _pick([*PRICE_COLUMNS, *ALL_INDICATORS, *CONTEXT_COLUMNS])
-        + ", false AS sell FROM frame_all",
+        + ", false AS sell FROM frame_all JOIN exponents USING (symbol, date)",
+        extra={"exponents": _EXPONENTS},
     ),
 )
 

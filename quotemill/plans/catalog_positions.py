@@ -32,7 +32,7 @@ from quotemill.plans.oracle_parts import (
 )
 from quotemill.plans.registry import add, log_growth
 from quotemill.session import work_folder
-from quotemill.sources.sinks import write_positions
+from quotemill.sources.sinks import read_positions, write_positions
 
 c = F.col
 TIMED, OPEN = "rule07", "open_rule"
@@ -198,9 +198,14 @@ add(
 
 
 def _stored(spark, sf):
+    """Two rules and two sets of symbols, each in a call of its own, one of them twice."""
     path = f"{work_folder(spark)}/positions-{uuid.uuid4().hex}"
-    write_positions(_frame(spark, sf, TIMED, "rule16"), path)
-    return _shown(spark.read.parquet(path))
+    early = c("symbol") < "M"
+    for rule in (TIMED, "rule16"):
+        frame = _frame(spark, sf, rule)
+        for part in (early, ~early, early):
+            write_positions(frame.filter(part), path)
+    return _shown(read_positions(spark, path))
 
 
 add("snk1_position_files", _stored, sql("ind", _FRAME_SQL, extra=_blocks([TIMED, "rule16"])))
@@ -526,7 +531,7 @@ add(
 
 def _rule_board(spark, sf):
     rules = [RU.RULES[n] for n in RU.SCOREBOARD_RULES]
-    board = BO.rule_board(_wide(spark, sf, rules), rules)
+    board = BO.rule_board(_wide(spark, sf, rules, bars=_trading_panel(spark, sf)), rules)
     return board.withColumn("pnl", log_growth_of_gain()).withColumnRenamed("pnl", "log_pnl")
 
 
@@ -538,7 +543,8 @@ def log_growth_of_gain():
 
 _BOARD_TIMED = [n for n in RU.SCOREBOARD_RULES if RU.RULES[n].days > 0]
 _BOARD_OPEN = [n for n in RU.SCOREBOARD_RULES if RU.RULES[n].days == 0]
-_SCORE = f"""SELECT symbol, signal, false AS subscribe,
+_SUBSCRIBED = ", ".join(f"('{n}', '{x}')" for n in RU.SCOREBOARD_RULES for x in RU.RULES[n].symbols)
+_SCORE = f"""SELECT symbol, signal, bool_or(row(signal, symbol) IN (SELECT row(n, x) FROM (VALUES {_SUBSCRIBED}) AS u(n, x))) AS subscribe,
   {six(log_sql(f"(({MEASURES['last_equity']} - 15000) + 15000)"))} AS log_pnl, {r6(MEASURES["max_dd"], "max_dd")},
   {MEASURES["trades"]} AS trades, {r6(MEASURES["pct_positive"], "pct_positive")}, CAST(max(days) AS BIGINT) AS days,
   CAST(max(profit) AS BIGINT) AS profit FROM @p GROUP BY 1, 2"""
@@ -548,6 +554,7 @@ add(
     sql(
         "frame_all",
         _SCORE.replace("@p", "played") + " UNION ALL " + _SCORE.replace("@p", "open_played"),
+        source="trading_panel",
         extra=_BOARD_BLOCKS
         | {
             "rows_in": rule_rows(_limits(*_BOARD_TIMED), source="frame_all"),

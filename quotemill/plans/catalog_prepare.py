@@ -21,7 +21,7 @@ from quotemill.plans.oracle_parts import flag, lag, over, r6, roll, six, sql
 from quotemill.plans.registry import add
 from quotemill.session import work_folder
 from quotemill.sources import bars as B
-from quotemill.sources.sinks import write_bars
+from quotemill.sources.sinks import write_bad_dates, write_bars
 
 c = F.col
 OHLCV = ("open", "high", "low", "close", "volume")
@@ -29,6 +29,7 @@ _OHLCV = ", ".join(r6(x, x) for x in OHLCV)
 _RAW = f"SELECT symbol, date, {_OHLCV} FROM "
 # The day that stands for today in the range sources.
 TODAY = dt.date(2001, 6, 30)
+CSV_SYMBOL = "STANDARD BURNISHED COPPER"
 
 
 # Sources and sinks.
@@ -37,15 +38,22 @@ def _context_bars(spark, sf):
 
 
 def _csv(spark: SparkSession, sf: str) -> DataFrame:
-    path = f"{work_folder(spark)}/csv-{uuid.uuid4().hex}"
-    I.raw_bars(spark, sf).write.csv(path, header=True)
-    return B.read_bars_csv(spark, path)
+    """Two deliveries: all columns in another order under other spellings, and one symbol's without its name."""
+    path, bars = f"{work_folder(spark)}/csv-{uuid.uuid4().hex}", I.raw_bars(spark, sf)
+    alone = c("symbol") == CSV_SYMBOL
+    shuffled = bars.filter(~alone).select(
+        c("date").alias("Date"), c("close").alias("Close"), c("volume"), c("symbol"), c("open").alias("OPEN"), c("low"), c("high"),
+        c("close").alias("Adj Close"),
+    )
+    shuffled.write.csv(f"{path}/many", header=True)
+    bars.filter(alone).select("date", "close", "open", "high", "low", "volume").write.csv(f"{path}/one", header=True)
+    return B.read_bars_csv(spark, f"{path}/many").unionByName(B.read_bars_csv(spark, f"{path}/one", CSV_SYMBOL))
 
 
 def _stored(spark: SparkSession, sf: str) -> DataFrame:
     path = f"{work_folder(spark)}/stored-{uuid.uuid4().hex}"
     write_bars(I.raw_panel(spark, sf), path)
-    return R.one_symbol(B.read_bars(spark, path), "QQQ")
+    return B.read_bars(spark, path)
 
 
 def deliveries(bars: DataFrame) -> DataFrame:
@@ -110,7 +118,11 @@ add("src1_context_bars", _context_bars, _context_sql("src", _QQQ.replace("@p", "
 add(
     "src2_bulk_bars",
     lambda s, d: B.bulk_bars(I.raw_panel(s, d), ["SPY", "QQQ", "AAPL", "CL"], 3, TODAY),
-    sql("raw_panel", _RAW + f"raw_panel WHERE symbol IN ('SPY', 'QQQ', 'AAPL', 'CL=F') AND {_RANGE}"),
+    sql(
+        "raw_panel",
+        f"""SELECT CASE symbol WHEN 'CL=F' THEN 'CL' ELSE symbol END AS symbol, date, {_OHLCV}
+        FROM raw_panel WHERE symbol IN ('SPY', 'QQQ', 'AAPL', 'CL=F') AND {_RANGE}""",
+    ),
 )
 add("src3_csv_bars", _csv, sql("raw_bars", _RAW + "raw_bars"))
 add(
@@ -138,7 +150,7 @@ add(
        {r6("arg_max(value / 10 + 100, row(ts, event_id))", "close")}, CAST(count(*) AS DOUBLE) AS volume
 FROM events GROUP BY 1, 2""",
 )
-add("snk1_bar_table", _stored, sql("raw_panel", _RAW + "raw_panel WHERE symbol = 'QQQ'"))
+add("snk1_bar_table", _stored, sql("raw_panel", _RAW + "raw_panel"))
 
 # Relational preparation.
 add(
@@ -151,14 +163,14 @@ _futures = ", ".join(f"'{t}'" for t in FUTURES)
 _currencies = ", ".join(f"'{t}'" for t in CURRENCIES)
 add(
     "rel3_ticker_alias",
-    lambda s, d: I.raw_panel(s, d).groupBy("symbol").agg(F.count(F.lit(1)).alias("bars")).select(
+    lambda s, d: I.panel(s, d).groupBy("symbol").agg(F.count(F.lit(1)).alias("bars")).select(
         "symbol", R.alias_column(c("symbol")).alias("feed_symbol"), "bars"
     ),
     sql(
-        "raw_panel",
+        "panel",
         f"""SELECT symbol, CASE WHEN symbol IN ({_futures}) THEN symbol || '=F'
         WHEN symbol IN ({_currencies}) THEN symbol || '=X' ELSE symbol END AS feed_symbol, count(*) AS bars
-        FROM raw_panel GROUP BY 1""",
+        FROM panel GROUP BY 1""",
     ),
 )
 add("rel4_sessions_only", I.bars, sql("bars", _RAW + "bars"))
@@ -233,6 +245,18 @@ add(
     lambda s, d: levels_and_ratios(I.panel(s, d)).select("date", *RATIOS),
     sql("context0", "SELECT date, " + ", ".join(r6(x, x) for x in RATIOS) + " FROM context0"),
 )
+_MARKET = "SELECT date, avg(close) AS spy FROM bars GROUP BY 1"
+_FAST, _SLOW = (f"avg(spy) OVER (ORDER BY date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)" for n in (50, 200))
+add(
+    "ctx3_regime_both_ways",
+    lambda s, d: with_regime(I.bars(s, d).groupBy("date").agg(F.avg("close").alias("spy"))),
+    sql(
+        "bars",
+        f"""SELECT date, {r6('spy', 'spy')},
+          CASE WHEN row_number() OVER (ORDER BY date) >= 200 AND {_FAST} > {_SLOW} THEN 1 ELSE -1 END AS spy_bull FROM market""",
+        extra={"market": _MARKET},
+    ),
+)
 add(
     "ctx3_regime",
     lambda s, d: with_regime(levels_and_ratios(I.panel(s, d))).select("date", "spy", "spy_bull"),
@@ -334,11 +358,42 @@ def _smoothed(*specs):
     return query
 
 
+_PRESENT = ~F.dayofmonth("date").isin(1, 13, 14)
+
+
+def _aged(mean: str, value: str) -> str:
+    """One step of a mean over eight bars that ages over missing values."""
+    old = "pow(7e0 / 9, r.missed + 1)"
+    moved = f"({old} * r.{mean} + 2e0 / 9 * b.{value}) / ({old} + 2e0 / 9)"
+    return f"CASE WHEN r.{mean} IS NULL THEN b.{value} WHEN b.{value} IS NULL THEN r.{mean} ELSE {moved} END"
+
+
 add(
     "win9_ema",
     _smoothed(*[Smoothing(f"ema{n}", "ema", "close", (n,)) for n in (8, 20, 100)]),
     sql("ind1", f"SELECT symbol, date, {', '.join(r6(f'ema{n}', f'ema{n}') for n in (8, 20, 100))} FROM ind1"),
 )
+add(
+    "win9_ema_gaps",
+    lambda s, d: with_smoothings(
+        I.raw_bars(s, d).select("symbol", "date", *[F.when(_PRESENT, c(x)).alias(x) for x in ("close", "volume")]),
+        [Smoothing("ema8", "ema", "close", (8,)), Smoothing("volume_ema8", "ema", "volume", (8,))],
+    ).select("symbol", "date", "ema8", "volume_ema8"),
+    sql(
+        "raw_bars",
+        f"""SELECT symbol, date, {six("CASE WHEN i >= 8 THEN e END")} AS ema8, {six("CASE WHEN i >= 8 THEN ve END")} AS volume_ema8
+        FROM aged""",
+        extra={
+            "gapped": """SELECT symbol, date, row_number() OVER (PARTITION BY symbol ORDER BY date) AS i,
+              CASE WHEN day(date) NOT IN (1, 13, 14) THEN close END AS x, CASE WHEN day(date) NOT IN (1, 13, 14) THEN volume END AS v
+              FROM raw_bars""",
+            "aged": f"""SELECT symbol, date, i, x AS e, v AS ve, 0 AS missed FROM gapped WHERE i = 1 UNION ALL
+              SELECT b.symbol, b.date, b.i, {_aged("e", "x")}, {_aged("ve", "v")},
+                CASE WHEN b.x IS NULL AND r.e IS NOT NULL THEN r.missed + 1 ELSE 0 END
+              FROM aged r JOIN gapped b ON b.symbol = r.symbol AND b.i = r.i + 1""",
+        },
+    ),
+)
 add(
     "win10_wilder",
     _smoothed(Smoothing("rsi14", "rsi", "close", (14,)), Smoothing("atr20", "atr", "close", (20,))),
@@ -476,5 +531,13 @@ def _faulty(spark, sf):
 _BAD = """SELECT symbol, date, count(*) AS copies, count(*) FILTER (day(date) = 13) AS null_closes,
   count(*) FILTER (day(date) = 7) AS crossed FROM deliveries GROUP BY 1, 2
   HAVING count(*) > 1 OR day(date) IN (7, 13)"""
-for _name in ("dq1_bad_bars", "snk2_bad_dates"):
-    add(_name, _faulty, sql("raw_bars", _BAD, extra={"deliveries": _DELIVERIES.replace("@t", "raw_bars")}))
+
+
+def _reported(spark, sf):
+    path = f"{work_folder(spark)}/bad-dates-{uuid.uuid4().hex}"
+    write_bad_dates(_faulty(spark, sf), path)
+    return spark.read.csv(path, header=True, schema="symbol string, date date, copies long, null_closes long, crossed long")
+
+
+for _name, _query in (("dq1_bad_bars", _faulty), ("snk2_bad_dates", _reported)):
+    add(_name, _query, sql("raw_bars", _BAD, extra={"deliveries": _DELIVERIES.replace("@t", "raw_bars")}))

@@ -10,17 +10,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quotemill.operators.context import build_context, with_context_rsis
-from quotemill.operators.relational import keep_sessions
+from quotemill.operators.relational import keep_sessions, plain_column
 from quotemill.session import write_table
 from quotemill.sources.bars import build_bars, order_key
 from quotemill.sources.calendar import weekday_calendar
 from quotemill.sources.sinks import clustered
 
-# The ticker each brand stands for in the panel. Brand 15 is the volatility level.
+# The feed's name of the ticker each brand stands for in the panel. Brand 15 is the volatility level.
 BRAND_TICKERS = {
     1: "SPY", 2: "RSP", 3: "QQQ", 4: "SMH", 5: "XLF", 6: "XLE", 7: "XLU", 8: "XLI", 9: "IWM", 10: "TLT",
     11: "GLD", 12: "SOXX", 13: "UVXY", 14: "SQQQ", 15: "^VIX", 16: "AAPL", 17: "NVDA", 18: "XBI", 19: "FXI",
-    20: "GDX", 21: "MSFT", 22: "INDA", 23: "CSCO", 24: "CL", 25: "NQ",
+    20: "GDX", 21: "MSFT", 22: "INDA", 23: "CSCO", 24: "CL=F", 25: "NQ=F",
 }
 VIX_BASE, VIX_SCALE = 750.0, 10.0
 
@@ -31,14 +31,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def line_bars(spark: SparkSession, sf_dir: str, symbol: str) -> DataFrame:
+def line_bars(spark: SparkSession, sf_dir: str, *symbols: str) -> DataFrame:
     """Bars from order lines: the price is the part's list price after discount and tax.
 
-    The part table is small against the lines; Spark picks the join by its size at run time.
+    Several symbol columns give the bars of each in one pass over the lines, told apart by a prefix of the
+    symbol. The part table is small against the lines; Spark picks the join by its size at run time.
     """
     lines = table(spark, sf_dir, "lineitem").join(
-        table(spark, sf_dir, "part").select("p_partkey", symbol, "p_retailprice"), F.col("l_partkey") == F.col("p_partkey")
+        table(spark, sf_dir, "part").select("p_partkey", *symbols, "p_retailprice"), F.col("l_partkey") == F.col("p_partkey")
     )
+    symbol = symbols[0]
+    if len(symbols) > 1:
+        each = [F.concat(F.lit(f"{s}|"), F.col(s)) for s in symbols]
+        lines, symbol = lines.withColumn("_symbol", F.explode(F.array(*each))), "_symbol"
     price = F.col("p_retailprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))
     # Order key and line number are not unique; the price, in its smallest unit, settles the rest.
     units = F.round(price * 100_000)
@@ -53,9 +58,13 @@ def event_bars_order() -> Column:
 
 def brand_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars by brand under ticker names, the volatility brand rescaled to a level."""
+    return as_tickers(line_bars(spark, sf_dir, "p_brand"))
+
+
+def as_tickers(bars: DataFrame) -> DataFrame:
     number = F.regexp_extract("symbol", r"(\d+)$", 1).cast("int")
     names = F.create_map(*[F.lit(v) for kv in BRAND_TICKERS.items() for v in kv])
-    bars = line_bars(spark, sf_dir, "p_brand").withColumn("symbol", F.coalesce(names[number], F.col("symbol")))
+    bars = bars.withColumn("symbol", F.coalesce(names[number], F.col("symbol")))
     level = F.col("symbol") == "^VIX"
     scaled = {
         c: F.when(level, (F.col(c) - VIX_BASE) / VIX_SCALE).otherwise(F.col(c)) for c in ("open", "high", "low", "close")
@@ -70,13 +79,21 @@ def _once(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     return spark.read.parquet(_written[key])
 
 
+def _line_bars_by(spark: SparkSession, sf_dir: str, symbol: str) -> DataFrame:
+    """Bars by one symbol column, from a table that holds both and is built in one pass over the lines."""
+    both = _once(spark, sf_dir, "line_bars", lambda: clustered(line_bars(spark, sf_dir, "p_type", "p_brand")))
+    own = both.filter(F.col("symbol").startswith(f"{symbol}|"))
+    return own.withColumn("symbol", F.substring_index("symbol", "|", -1))
+
+
 def raw_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars by part type on every date that has lines, weekends included."""
-    return _once(spark, sf_dir, "type_bars", lambda: clustered(line_bars(spark, sf_dir, "p_type")))
+    return _line_bars_by(spark, sf_dir, "p_type")
 
 
 def raw_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _once(spark, sf_dir, "brand_bars", lambda: clustered(brand_bars(spark, sf_dir)))
+    """Bars by brand under the feed's ticker names."""
+    return _once(spark, sf_dir, "brand_bars", lambda: clustered(as_tickers(_line_bars_by(spark, sf_dir, "p_brand"))))
 
 
 def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,8 +106,9 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Session bars by brand under ticker names."""
-    return keep_sessions(raw_panel(spark, sf_dir), calendar(spark, sf_dir))
+    """Session bars by brand under plain ticker names."""
+    plain = raw_panel(spark, sf_dir).withColumn("symbol", plain_column(F.col("symbol")))
+    return keep_sessions(plain, calendar(spark, sf_dir))
 
 
 def context(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -102,7 +102,8 @@ PARTS: dict[str, str] = {
   SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS i
   FROM raw_bars WHERE date IN (SELECT date FROM calendar)""",
     "panel": """
-  SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS i
+  SELECT * REPLACE (CASE symbol WHEN 'CL=F' THEN 'CL' WHEN 'NQ=F' THEN 'NQ' ELSE symbol END AS symbol),
+         row_number() OVER (PARTITION BY symbol ORDER BY date) AS i
   FROM raw_panel WHERE date IN (SELECT date FROM calendar)""",
     "trading_panel": "SELECT * FROM panel WHERE symbol <> '^VIX'",
     "closes": f"SELECT date, {_levels}, {_parts} FROM panel WHERE symbol IN ({_tickers}) GROUP BY date",

@@ -1,4 +1,4 @@
-"""Session helpers: the work folder, written tables, size-checked broadcasts, and grouped passes."""
+"""Session helpers: the work folder, written tables, and grouped passes."""
 
 from __future__ import annotations
 
@@ -11,7 +11,6 @@ from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, GroupedData, SparkSession
-from pyspark.sql import functions as F
 
 _local_folder: dict[str, str] = {}
 _shipped: set[str] = set()
@@ -27,7 +26,9 @@ def work_folder(spark: SparkSession) -> str:
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder all executors can reach")
-        shared = _local_folder.setdefault(app, tempfile.mkdtemp(prefix="quotemill-"))
+        if app not in _local_folder:
+            _local_folder[app] = tempfile.mkdtemp(prefix="quotemill-")
+        shared = _local_folder[app]
     return f"{shared.rstrip('/')}/quotemill/{app}"
 
 
@@ -38,14 +39,6 @@ def write_table(df: DataFrame, name: str) -> str:
     return path
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Hint a broadcast when at most `max_rows` rows exist; otherwise leave a shuffle join.
-
-    The count stops after `max_rows + 1` rows, so the check itself stays cheap.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in the Python workers, wherever they run; once per application."""
     app = spark.sparkContext.applicationId
@@ -59,17 +52,15 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash rows by key over the session's shuffle partitions.
+    """Hash rows by key over as many partitions as the session runs tasks, twice over.
 
     Per-series work costs far more than its bytes suggest; the explicit count keeps adaptive execution
-    from packing many series into one task because their rows are small. A local session gets no more
-    partitions than it has threads, since there every further one only waits.
+    from packing many series into one task because their rows are small. `spark.quotemill.seriesPartitions`
+    sets another count, for clusters that grow while they run.
     """
     spark = df.sparkSession
-    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if spark.sparkContext.master.startswith("local"):
-        count = min(count, spark.sparkContext.defaultParallelism)
-    return df.repartition(count, *keys)
+    count = spark.conf.get("spark.quotemill.seriesPartitions", None)
+    return df.repartition(int(count) if count else 2 * spark.sparkContext.defaultParallelism, *keys)
 
 
 def date_sorted_groups(df: DataFrame, *keys: str) -> GroupedData:

@@ -11,7 +11,7 @@ from quotemill.operators import metrics as M
 from quotemill.operators import positions as P
 from quotemill.operators import rules as RU
 from quotemill.operators import sweeps as SW
-from quotemill.params import DEFAULT
+from quotemill.params import DEFAULT, Params
 from quotemill.schema import display_name, with_display_names
 from quotemill.sources.calendar import weekday_calendar
 from tests.conftest import make_bars
@@ -50,6 +50,36 @@ def test_search_and_scan(spark, panel):
     assert found == {("SPY", "rule02"), ("QQQ", "rule02"), ("SPY", "rule08"), ("QQQ", "rule08"), ("SPY", "rule21")}
 
 
+def test_futures_by_their_plain_names_and_unknown_symbols(spark, panel):
+    calendar = weekday_calendar(panel)
+    future = panel.filter("symbol = 'QQQ'").withColumn("symbol", F.lit("NQ=F"))
+    rule = next(r for r in RU.RULES.values() if "NQ" in r.symbols and r.days)
+    got = flows.backtest(panel.unionByName(future), calendar, "NQ", rule, 1, TODAY)["positions"]
+    assert {r.symbol for r in got.select("symbol").distinct().collect()} == {"NQ"}
+    scanned = flows.scan(panel.unionByName(future), calendar, ["NQ", "QQQ"], [rule], 1, TODAY).collect()
+    assert "NQ" in {r.symbol for r in scanned}
+    with pytest.raises(ValueError, match="CL"):
+        flows.backtest(panel, calendar, "CL", rule, 1, TODAY)
+
+
+@pytest.mark.parametrize("params", [DEFAULT, Params(use_proxy=True)])
+def test_every_flow_with_and_without_proxy(spark, panel, params):
+    calendar, rule = weekday_calendar(panel), RU.RULES["rule07"]
+    got = flows.backtest(panel, calendar, "SPY", rule, 1, TODAY, params)
+    assert got["summary"].count() == 1
+    sweep = flows.hold_sweep(panel, calendar, "SPY", rule, 1, 4, TODAY, params).collect()
+    assert len(sweep) == len(SW.day_grid(rule, 4)) and {r.symbol for r in sweep} == {"SPY"}
+    rules = [RU.RULES[n] for n in ("rule02", "rule08")]
+    board = flows.rule_board(panel, calendar, "SPY", rules, 1, TODAY, params).collect()
+    assert {(r.symbol, r.signal, r.subscribe) for r in board} == {("SPY", "rule02", True), ("SPY", "rule08", True)}
+    board = flows.symbol_board(panel, calendar, ["SPY", "QQQ", "RSP"], rule, 1, TODAY, params)
+    assert {r.symbol for r in board.collect()} == {"SPY", "QQQ"}
+    latest = flows.snapshot(panel, calendar, ["SPY", "QQQ"], 1, TODAY, params).collect()
+    assert {r.symbol for r in latest} == {"SPY", "QQQ"} and all(r.spy_change_pct is not None for r in latest)
+    scanned = flows.scan(panel, calendar, ["SPY", "QQQ"], rules, 1, TODAY, params)
+    assert flows.alerts(scanned).first().message
+
+
 def test_no_trades_in_holding_and_threshold_trials(spark, panel):
     rule = RU.Rule("idle", 2, 1, (), ("close",), RU.never)
     wide = RU.with_rules(panel.filter("symbol = 'SPY'"), [rule], extra=["rsi2"])
