@@ -20,6 +20,7 @@ Repeated rows get equal results. Null ids take part. An empty table gives no row
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -67,43 +68,54 @@ def valid(kind: str, value: Column) -> Column:
     return {
         "email": F.lit(True),
         "ip": F.forall(F.split(value, r"\."), lambda p: (F.length(F.regexp_replace(p, "^0+", "")) <= 3) & (F.coalesce(p.try_cast("int"), F.lit(0)) <= 255)),
-        "card": size.between(12, 19) & luhn(value),
+        "card": F.when(size.between(12, 19), luhn(value)).otherwise(False),
         "phone": size.between(9, 15),
     }[kind]
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of `value`, which is computed once however often `use` reads it, also inside other lambdas."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def running(sizes: Column) -> Column:
     """Sum of all entries before each entry; built in parts, so that appending stays linear."""
 
     def append(total: Column, x: Column) -> Column:
         return F.concat(total, F.array(F.element_at(total, -1) + x))
 
-    parts = F.sequence(F.lit(0), F.floor((F.size(sizes) / PART)).cast("int"))
-    part = lambda c: F.slice(sizes, c * PART + 1, PART)
-    sums = F.transform(parts, lambda c: F.aggregate(part(c), F.lit(0), lambda s, x: s + x))
-    starts = F.aggregate(sums, F.array(F.lit(0)), append)
-    within = lambda c: F.aggregate(part(c), F.array(F.element_at(starts, c + 1)), append)
-    return F.flatten(F.transform(parts, lambda c: F.slice(within(c), F.lit(1), F.size(part(c)))))
+    def by_parts(all_sizes: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(all_sizes) / PART)).cast("int"))
+        parts = F.transform(numbers, lambda c: F.slice(all_sizes, c * PART + 1, PART))
+        return let(parts, from_parts)
+
+    def from_parts(parts: Column) -> Column:
+        sums = F.transform(parts, lambda p: F.aggregate(p, F.lit(0), lambda s, x: s + x))
+        starts = F.aggregate(sums, F.array(F.lit(0)), append)
+        within = F.zip_with(parts, F.slice(starts, F.lit(1), F.size(parts)), lambda p, start: F.slice(F.aggregate(p, F.array(start), append), F.lit(1), F.size(p)))
+        return F.flatten(within)
+
+    return let(sizes, by_parts)
 
 
 def places(df: DataFrame, name: str, pattern: str, gate: Column) -> DataFrame:
     """`df` with column `name`: (start, end, value) of every match in `text`, in code points, and the pieces between
     matches as `name`_gaps. Texts behind the gate only."""
-    at = F.lit(pattern)
     found, gaps = F.col(f"{name}_found"), F.col(f"{name}_gaps")
-    df = df.withColumn(f"{name}_found", F.when(gate, F.regexp_extract_all("text", at, F.lit(0))))
+    df = df.withColumn(f"{name}_found", F.when(gate, F.regexp_extract_all("text", F.lit(pattern), F.lit(0))))
     df = df.withColumn(f"{name}_gaps", F.when(F.size(found) > 0, F.split("text", pattern, -1)))
-    ends = running(F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.length(g) + F.length(m)))
-    df = df.withColumn(f"{name}_ends", F.when(F.size(found) > 0, ends))
-    spans = F.transform(
-        found,
-        lambda m, i: F.struct(
-            (F.element_at(f"{name}_ends", i + 1) + F.length(F.element_at(gaps, i + 1))).cast("long").alias("start"),
-            (F.element_at(f"{name}_ends", i + 1) + F.length(F.element_at(gaps, i + 1)) + F.length(m)).cast("long").alias("end"),
-            m.alias("value"),
-        ),
-    )
-    return df.withColumn(name, F.when(F.size(found) > 0, spans)).drop(f"{name}_found", f"{name}_ends")
+
+    def spans(matches: Column) -> Column:
+        return let(gaps, lambda pieces: between(matches, pieces))
+
+    def between(matches: Column, pieces: Column) -> Column:
+        sizes = F.zip_with(F.slice(pieces, F.lit(1), F.size(matches)), matches, lambda g, m: F.length(g) + F.length(m))
+        return let(running(sizes), lambda sums: F.transform(matches, lambda m, i: span(m, F.element_at(sums, i + 1) + F.length(F.element_at(pieces, i + 1)))))
+
+    def span(match: Column, start: Column) -> Column:
+        return F.struct(start.cast("long").alias("start"), (start + F.length(match)).cast("long").alias("end"), match.alias("value"))
+
+    return df.withColumn(name, F.when(F.size(found) > 0, let(found, spans))).drop(f"{name}_found")
 
 
 SPAN = "array<struct<start: bigint, rank: int, end: bigint, kind: string, value: string>>"
