@@ -2,8 +2,8 @@
 
 A page is parsed, forgivingly, into a tree of elements; siblings of one kind (tag, class, id, role) share a node, as
 the items of a list do. For each host, up to `sample` pages are drawn by a hash of their id. Their trees are aligned
-one after the other by simple tree matching and merged into the host's wrapper. Nodes whose text is the same on
-all sampled pages are template; nodes with varying text are slots. The article's slots are those under
+one after the other by simple tree matching and merged into the host's wrapper. Blocks whose text is the same on
+all sampled pages are template; blocks with varying text are slots. The article's slots are those under
 the element that says it is the article (or else the smallest element with most of the varying text), without
 those whose kind says that they are something else. Every page of the host is then aligned with the wrapper and
 gives the text of its article nodes; nodes that the wrapper does not know follow the node they stand in.
@@ -221,7 +221,7 @@ def text_of(blocks: list[list[tuple[Node, str]]]) -> dict[int, list[str]]:
 def induce(pages: list[str]) -> Node:
     """The wrapper of a host, from some of its pages: a tree whose nodes say whether their text is the article's."""
     wrapper = Node("html", "html")
-    texts: dict[int, list[str]] = {}  # by wrapper node, one for each page
+    texts: dict[int, list[str]] = {}  # by wrapper node that is a block, with what stands inline in it, one for each page
     sizes: dict[int, int] = {}
     different = set()
     parsed = [parse(p) for p in dict.fromkeys(pages)]
@@ -230,15 +230,20 @@ def induce(pages: list[str]) -> Node:
         different.add(" ".join(w for words in own.values() for w in words))
         pairs = align(tree, wrapper, {}, {})
 
-        def merge(node: Node, into: Node) -> None:
+        said: dict[int, list[str]] = {}
+
+        def merge(node: Node, into: Node, block: Node) -> None:
             words = own.get(id(node), [])
-            texts.setdefault(id(into), []).append(" ".join(words))
+            block = into if node.tag in BLOCKS else block
+            said.setdefault(id(block), []).extend(words)
             sizes[id(into)] = sizes.get(id(into), 0) + sum(map(len, words))
             for c in node.children.values():
                 known = pairs.get(id(c))
-                merge(c, known if known is not None and known.kind == c.kind else into.child(c.kind, c.tag))
+                merge(c, known if known is not None and known.kind == c.kind else into.child(c.kind, c.tag), block)
 
-        merge(tree, wrapper)
+        merge(tree, wrapper, wrapper)
+        for node, words in said.items():
+            texts.setdefault(node, []).append(" ".join(words))
 
     template = {i for i, t in texts.items() if len(different) >= AGREE and len(t) >= AGREE and len(set(t)) == 1 and t[0]}
 
@@ -271,10 +276,11 @@ def induce(pages: list[str]) -> Node:
             best = deeper[0]
         roots = [best]
 
-    def mark(node: Node, inside: bool) -> None:
-        node.keep = inside and id(node) not in template
+    def mark(node: Node, inside: bool, above: bool = True) -> None:
+        """Inline elements share the fate of their block."""
+        node.keep = inside and (id(node) not in template if node.tag in BLOCKS else above)
         for c in node.children.values():
-            mark(c, inside and not is_noise(c))
+            mark(c, inside and not is_noise(c), node.keep)
 
     for root in roots:
         mark(root, True)
