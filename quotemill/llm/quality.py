@@ -122,7 +122,7 @@ class Additive:
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Additive:
         mean = float(y.mean()) if len(y) else 0.5
-        if not 0 < mean < 1:
+        if not len(y) or not 0 < mean < 1:
             self.base = 50.0 if mean == 1 else -50.0 if mean == 0 else 0.0
             return self
         self.base = float(np.log(mean / (1 - mean)))
@@ -156,7 +156,7 @@ class Additive:
 
         chosen = sorted(combinations(range(x.shape[1]), 2), key=worth, reverse=True)[: self.pairs]
         self.pair_tables = {pair: np.zeros(side * side) for pair in chosen}
-        for _ in range(self.rounds // 3):
+        for _ in range(self.rounds):
             for (i, j), table in self.pair_tables.items():
                 at, total, weight = sums(i, j)
                 # A tree of depth two: the first feature is cut, then the second in either part.
