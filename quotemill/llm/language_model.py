@@ -11,7 +11,8 @@ model, settles on a bounded sample (`start_texts` segments), then makes `rounds`
 each partition runs forward and backward over segments of `SEGMENT` tokens and gives expected counts, which are summed.
 Forward passes go through many texts in step, longest first, so that those that end drop out.
 
-The `head` most frequent words are broadcast (words of up to 256 bytes, so at most 51 MB; some 4 MB in practice).
+The most frequent words, at most `head`, are broadcast (words of up to 256 bytes, so at most 51 MB; some 4 MB in
+practice).
 Rarer words are sent as distinct words of their text to meet their count, so no frequent word is ever a join key.
 
 Defined results: null texts are empty and consist of the end alone. Without training texts, counts are 0 and every
@@ -92,8 +93,15 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame, count_texts: int, head: int, own: int) -> Vocabulary:
-    top = counts.where(F.length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(head).toPandas()
-    words, n = [bytes(w) for w in top["word"]], top["n"].to_numpy(dtype=np.int64)
+    # Bins of counts, fine enough and bounded in number, tell how far down the head can reach; ties stay together.
+    rank = F.when(F.col("n") < 1024, F.col("n")).otherwise(1024 + F.floor(16 * F.log2(F.col("n") / 1024))).cast("long")
+    short = counts.where(F.length("word") <= LONGEST).withColumn("rank", rank)
+    bins = sorted(((r["rank"], r["count"]) for r in short.groupBy("rank").count().collect()), reverse=True)
+    reach, taken = [r for r, _ in bins], np.cumsum([c for _, c in bins])
+    fit = int(np.searchsorted(taken, head, side="right"))
+    top = short.where(F.col("rank") >= reach[fit - 1]).select("word", "n").toArrow() if fit else None
+    pairs = sorted(zip(top["word"].to_pylist(), top["n"].to_pylist(), strict=True), key=lambda p: (-p[1], p[0])) if fit else []
+    words, n = [w for w, _ in pairs], np.array([c for _, c in pairs], dtype=np.int64)
     own = min(own, len(words))
     by_class = counts.groupBy(suffix_class_column(F.col("word")).alias("c")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).toPandas()
     tokens, distinct = np.zeros(SUFFIXES, dtype=np.int64), np.zeros(SUFFIXES, dtype=np.int64)
@@ -304,9 +312,9 @@ def baum_welch(train: DataFrame, chain: Chain, prior: np.ndarray) -> Chain:
 
     names = [f"s{s}" for s in range(states)]
     schema = "row int, " + ", ".join(f"{s} double" for s in names)
-    summed = train.select("classes").mapInPandas(count, schema).groupBy("row").agg(*[F.sum(s).alias(s) for s in names]).toPandas()
+    summed = train.select("classes").mapInPandas(count, schema).groupBy("row").agg(*[F.sum(s).alias(s) for s in names]).toArrow()
     counts = np.zeros((len(prior) + states + 1, states))
-    counts[summed["row"].to_numpy(dtype=int)] = summed[names].to_numpy()
+    counts[summed["row"].to_numpy()] = np.stack([summed[s].to_numpy() for s in names], axis=1)
     return Chain.of(counts, prior)
 
 
