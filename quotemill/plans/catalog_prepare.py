@@ -358,7 +358,9 @@ def _smoothed(*specs):
     return query
 
 
-_PRESENT = ~F.dayofmonth("date").isin(1, 13, 14)
+def _with_gaps(column: str):
+    """A column, missing on single days and on pairs of days."""
+    return F.when(~F.dayofmonth("date").isin(1, 13, 14), c(column)).alias(column)
 
 
 def _aged(mean: str, value: str) -> str:
@@ -376,7 +378,7 @@ add(
 add(
     "win9_ema_gaps",
     lambda s, d: with_smoothings(
-        I.raw_bars(s, d).select("symbol", "date", *[F.when(_PRESENT, c(x)).alias(x) for x in ("close", "volume")]),
+        I.raw_bars(s, d).select("symbol", "date", *[_with_gaps(x) for x in ("close", "volume")]),
         [Smoothing("ema8", "ema", "close", (8,)), Smoothing("volume_ema8", "ema", "volume", (8,))],
     ).select("symbol", "date", "ema8", "volume_ema8"),
     sql(
