@@ -7,8 +7,9 @@ fill windows of its size end to end, and the gap that is left in its last window
 tier. So only the very last window of a group can have padding. Windows are dealt to step groups of `step_tokens`
 tokens each; windows are powers of two in falling order, so step groups are equal.
 
-Word pieces are cached: white space always ends a token of this vocabulary, so a text's ids are those of its
-white-space separated chunks, put together. The cache is emptied when it reaches `CACHE` chunks.
+The ids of chunks are cached. White space always ends a token of this vocabulary, and so does the step from a letter to
+a stop; it also lowers all letters. So a text's ids are those of its lowered chunks, cut at white space and before a
+closing stop or comma, put together.
 
 Defined results: null and empty texts give the closing id alone, as one piece. Repeated rows are packed each on
 its own; within a group they are told apart by their order. Null ids are packed. An empty table gives no rows.
@@ -18,7 +19,9 @@ A group holds whole documents only; its memory is bounded by `group_chars` plus
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,12 +33,20 @@ from pyspark.sql import types as T
 from quotemill.llm.common import partitions, texts
 
 TIERS = (2048, 1024, 512, 256)
-CACHE = 200_000
+CACHE = 250_000
+#: A stop or comma that ends a word, alone.
+STOP = re.compile(rb"(?<=[a-z])[.,](?=[\x20\x09-\x0D]|\Z)")
 #: Longest chunk that is worth a place in the cache.
 LONG_CHUNK = 64
+#: A word of lower-case letters that no normalisation changes.
+PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]{1,64}")
+# The character that stands for each byte in byte-level vocabularies: printable Latin-1 characters for
+# themselves, the others, in order, from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 END = 1
 #: Bytes of text encoded at a time; a longer text is encoded on its own.
-PART = 4 << 20
+PART = 2 << 20
 STEP_TOKENS = 8 * 2048
 
 PIECES = T.StructType(
@@ -54,7 +65,11 @@ def vocabulary() -> str:
 
 
 class Encoder:
-    """Texts to ids, little-endian 16-bit, through a cache of chunks."""
+    """Texts to ids, little-endian 16-bit, through a cache of chunks.
+
+    The cache has two generations: what is used moves to the young one; when that is full, it becomes the old
+    one, and what was not used since is forgotten.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -63,27 +78,60 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of this vocabulary do not fit 16 bits")
-        self.cache: dict[bytes, bytes] = {}
-
-    def _encode(self, chunks: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u2").tobytes() for e in found]
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _encode(self, chunks: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Chunk and ids of each. A plain word is one token before merges, so the model alone will do."""
+        rest = []
+        for chunk in chunks:
+            text = chunk.decode("utf-8", "replace")
+            if PLAIN.fullmatch(text):
+                pieces = self.tokenizer.model.tokenize(chunk.decode("latin-1").translate(BYTE_CHARS))
+                yield chunk, array("H", [p.id for p in pieces]).tobytes()
+            else:
+                rest.append((chunk, text))
+        for at in range(0, len(rest), 4096):
+            part = rest[at : at + 4096]
+            found = self.tokenizer.encode_batch_fast([t for _, t in part], add_special_tokens=False)
+            for (chunk, _), e in zip(part, found, strict=True):
+                yield chunk, array("H", e.ids).tobytes()
+
+    def _ids(self, chunks: set[bytes]) -> dict[bytes, bytes]:
+        known, missing = {}, []
+        if len(self.young) > CACHE:
+            self.young, self.old = {}, self.young
+        for chunk in chunks:
+            ids = self.young.get(chunk)
+            if ids is None:
+                ids = self.old.get(chunk)
+                if ids is None:
+                    missing.append(chunk)
+                    continue
+                self.young[chunk] = ids
+            known[chunk] = ids
+        for chunk, ids in self._encode(missing):
+            known[chunk] = ids
+            if len(chunk) <= LONG_CHUNK:
+                self.young[chunk] = ids
+        return known
 
     def batch(self, raws: list[bytes]) -> list[bytes]:
         """Ids of each text with the closing id."""
-        end = np.array([END], dtype="<u2").tobytes()
-        split = [raw.split() for raw in raws]
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        # What is new in these texts; long chunks are looked up here and not kept.
-        new = list({c for chunks in split for c in chunks}.difference(self.cache))
-        extra: dict[bytes, bytes] = {}
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for chunk, ids in zip(part, self._encode(part), strict=True):
-                (self.cache if len(chunk) <= LONG_CHUNK else extra)[chunk] = ids
-        known = self.cache | extra if extra else self.cache
-        return [b"".join([known[c] for c in chunks]) + end for chunks in split]
+        end = array("H", [END]).tobytes()
+        split = [STOP.sub(rb" \g<0>", raw.lower()).split() for raw in raws]
+        known = self._ids(set().union(*split))
+        return [b"".join(map(known.__getitem__, chunks)) + end for chunks in split]
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One encoder for each worker process, so that its cache serves all tasks of the worker."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def by_size(pdf: pd.DataFrame, limit: int) -> Iterator[pd.DataFrame]:
@@ -98,11 +146,11 @@ def tokenised(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or vocabulary()
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(path)
+        own = encoder(path)
         for pdf in batches:
             pdf["doc_id"] = pdf["doc_id"].astype("Int64")
             for part in by_size(pdf, PART):
-                yield pd.DataFrame({"doc_id": part["doc_id"], "tokens": encoder.batch(list(part["raw"]))})
+                yield pd.DataFrame({"doc_id": part["doc_id"], "tokens": own.batch(list(part["raw"]))})
 
     return texts(docs).mapInPandas(encode, "doc_id long, tokens binary")
 
