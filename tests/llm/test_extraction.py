@@ -77,6 +77,51 @@ def test_latent_candidates_hold_what_exact_cosine_finds(spark, small):
     assert exact > 10 and found >= 0.9 * exact
 
 
+def test_thousands_of_items_are_found(spark, small):
+    """More pieces than the space has directions: every span of a document leaks into it."""
+    rng = np.random.default_rng(3)
+    docs = [(r.doc_id, r.text.split()) for r in small.collect() if r.text and len(r.text.split()) > 70]
+    items, want = [], set()
+    for i in range(2000):
+        doc_id, tokens = docs[rng.integers(len(docs))]
+        n = int(rng.integers(15, 60))
+        at = int(rng.integers(len(tokens) - n))
+        item = decontaminate.Item(i, " ".join(tokens[at : at + n]))
+        if len(item.tokens) >= decontaminate.LEAST and len(item.pieces) == 1:
+            items.append((i, " ".join(tokens[at : at + n])))
+            want.add((doc_id, i))
+    assert len(want) > 1800
+    got = decontaminate.decontaminate(small, spark.createDataFrame(items, "item_id long, text string"))
+    assert want <= {(r.doc_id, r.item_id) for r in got.collect()}
+
+
+def test_shared_words_find_all_that_brute_force_finds():
+    rng = np.random.default_rng(4)
+
+    def text(n):
+        return [b"w%d" % int(x) for x in rng.zipf(1.3, n) % 400]
+
+    pieces = [text(int(rng.integers(5, 65))) for _ in range(300)]
+    shared = decontaminate.Shared(pieces, 0.6, rng.integers(0, 50, decontaminate.WIDTH).astype(float))
+    least = 0
+    for _ in range(20):
+        tokens = text(150)
+        for q in rng.integers(len(pieces), size=4):
+            at = int(rng.integers(len(tokens)))
+            tokens[at:at] = [w for w in pieces[q] if rng.random() < 0.75]
+        want = set()
+        for block in range(-(-len(tokens) // decontaminate.BLOCK)):
+            passage = tokens[block * decontaminate.BLOCK : (block + decontaminate.SPAN) * decontaminate.BLOCK]
+            for q, piece in enumerate(pieces):
+                if decontaminate.common(decontaminate.places(piece), len(piece), passage) >= 0.6 * len(piece):
+                    want.add((block, q))
+        got = set(zip(*(x.tolist() for x in shared.passages(tokens))))
+        assert want <= got
+        least += len(want)
+    assert least > 50
+    assert not len(shared.passages([])[0])
+
+
 def test_common_subsequence():
     a, b = list("abcbdab"), list("bdcaba")
     assert decontaminate.common(decontaminate.places(a), len(a), b) == 4
