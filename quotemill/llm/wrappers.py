@@ -7,6 +7,9 @@ all sampled pages are template; blocks with varying text are slots. The article'
 the element that says it is the article (or else the smallest element with most of the varying text), without
 those whose kind says that they are something else. Every page of the host is then aligned with the wrapper and
 gives the text of its article nodes; nodes that the wrapper does not know follow the node they stand in.
+A layout of the host may be absent from its sample. A page of which the wrapper takes nothing, or less than it holds in
+nodes that the wrapper has never seen, gives its own article, too, found on the page alone; what the wrapper knows as
+template stays out.
 
 The sample of a host is cut by a rank that each task bounds before its shuffle; wrappers reach pages through
 a salted lookup, so a host with a third of all pages is split over all partitions.
@@ -67,12 +70,12 @@ _HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none", re.
 class Node:
     """An element, or siblings of one kind together."""
 
-    __slots__ = ("kind", "tag", "children", "order", "keep")
+    __slots__ = ("kind", "tag", "children", "order", "keep", "fixed")
 
     def __init__(self, kind: str, tag: str):
         self.kind, self.tag = kind, tag
         self.children: dict[str, Node] = {}
-        self.keep = False
+        self.keep = self.fixed = False
 
     def child(self, kind: str, tag: str) -> Node:
         node = self.children.get(kind)
@@ -282,6 +285,8 @@ def induce(pages: list[str]) -> Node:
         for c in node.children.values():
             mark(c, inside and not is_noise(c), node.keep)
 
+    for node in wrapper.walk():
+        node.fixed = id(node) in template
     for root in roots:
         mark(root, True)
     if not any(n.keep and sizes.get(id(n)) for n in wrapper.walk()):
@@ -292,38 +297,56 @@ def induce(pages: list[str]) -> Node:
 
 
 def dump(node: Node) -> list:
-    return [node.kind, int(node.keep), [dump(c) for c in node.children.values()]]
+    return [node.kind, node.keep + 2 * node.fixed, [dump(c) for c in node.children.values()]]
 
 
 def load(data: list) -> Node:
     node = Node(data[0], data[0].split(".")[0])
-    node.keep = bool(data[1])
+    node.keep, node.fixed = bool(data[1] & 1), bool(data[1] & 2)
     for c in data[2]:
         node.children[c[0]] = load(c)
     return node
 
 
-def extract(page: str, wrapper: Node, plans: dict[str, list[bool]]) -> str:
-    """The article's blocks, by the wrapper. `plans` remembers the alignment of each shape of tree."""
+#: What a wrapper says of a node: the article's; template or something else; left out though it may hold an article;
+#: never seen.
+KEPT, OTHER, LEFT, UNSEEN = range(4)
+
+
+def extract(page: str, wrapper: Node, plans: dict[str, list[tuple[int, bool]]]) -> str:
+    """The article's blocks, by the wrapper, and by the page itself where the wrapper does not hold its article.
+
+    `plans` remembers the alignment of each shape of tree: what each node is, and whether it is template.
+    """
     tree, blocks = parse(page)
     shape = tree.shape()
     if shape not in plans:
         pairs = align(tree, wrapper, {}, {})
-        keep: list[bool] = []
+        plan: list[tuple[int, bool]] = []
 
-        def decide(node: Node, above: bool) -> None:
+        def decide(node: Node, above: bool, noisy: bool) -> None:
             known = pairs.get(id(node))
+            noisy = noisy or is_noise(node)
             mine = known.keep if known is not None else above and not is_noise(node)
-            keep.append(mine)
+            fixed = known is not None and known.fixed
+            plan.append((KEPT if mine else OTHER if noisy or fixed else LEFT if known is not None else UNSEEN, fixed))
             for c in node.children.values():
-                decide(c, mine)
+                decide(c, mine, noisy)
 
-        decide(tree, False)
+        decide(tree, False, False)
         if len(plans) < 10_000:
-            plans[shape] = keep
+            plans[shape] = plan
     else:
-        keep = plans[shape]
-    kept = {id(node) for node, mine in zip(tree.walk(), keep, strict=True) if mine}
+        plan = plans[shape]
+    nodes = list(tree.walk())
+    kept = {id(node) for node, (what, _) in zip(nodes, plan, strict=True) if what == KEPT}
+    letters, said = [0] * 4, text_of(blocks)
+    for node, (what, _) in zip(nodes, plan, strict=True):
+        letters[what] += sum(map(len, said.get(id(node), ())))
+    if letters[UNSEEN] > letters[KEPT] or letters[LEFT] and not letters[KEPT]:
+        # Alone, a page's wrapper is its own tree.
+        own = zip(nodes, plan, induce([page]).walk(), strict=True)
+        kept |= {id(node) for node, (_, fixed), mine in own if mine.keep and not fixed}
     lines = (" ".join("".join(part for node, part in block if id(node) in kept).split()) for block in blocks)
     return "\n".join(line for line in lines if line)
 

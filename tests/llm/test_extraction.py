@@ -161,6 +161,23 @@ def test_given_pages(spark):
         assert r.text == "\n".join(b for b in blocks if b)
 
 
+def test_layouts_absent_from_the_sample_keep_their_article(spark):
+    layouts = ['div class="post-content"', "article", 'section class="guide"', "main", 'div id="review"', 'td class="cell"']
+
+    def page(i, tag):
+        name = tag.split(" ")[0]
+        head = '<div class="site">The same line everywhere</div><nav>home</nav>'
+        return f"<body>{head}<{tag}><h1>{f'Title {i} ' * 15}</h1><p>{f'words number {i} ' * 9}</p></{name}><footer>end</footer>"
+
+    rows = [(i, "http://big.example/", page(i, layouts[0] if i % 50 else layouts[1 + i // 50 % 5])) for i in range(400)]
+    rows += [(i, "http://mixed.example/", page(i, layouts[i == 403])) for i in range(400, 412)]
+    rows += [(i, None, page(i, f'div class="{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}box"')) for i in range(500, 540)]
+    got = {r.page_id: r.text for r in wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, url, _ in rows:
+        assert f"{f'Title {i} ' * 15}".strip() + f"\nwords number {i} " in got[i] and got[i].count(f"number {i}") == 9
+        assert url is None or "same line" not in got[i]
+
+
 def test_tree_matching_and_deep_pages():
     a, b = (wrappers.parse(p)[0] for p in ("<div><p>1<p>2<ul><li>3</ul></div>", "<div><h1>0</h1><p>1</p></div><i>x</i>"))
     assert wrappers.match(a, b, {}) == 3  # html, div, p
