@@ -58,6 +58,7 @@ def _family(label: str, name: str, keyword: str, versions: tuple[str, ...], bare
     yield _rule(label, NOTICE, 0.95, keyword, rf"(?:released|distributed|available|provided|licen[cs]ed|covered) (?:under|by) {GAP}{name}")
     yield _rule(label, NAMED, 0.8, keyword, rf"{name} {LICENSE}")
     yield _rule(label, NAMED, 0.75, keyword, rf"{LICENSE}d? (?:is |under |under the )?{name}")
+    yield _rule(label, NOTICE + 10, 1.0, "spdx", rf"spdx {LICENSE} identifier {name}")
     if bare:
         yield _rule(label, HINT, bare, keyword, name)
     for version in versions:

@@ -344,3 +344,9 @@ def test_rules_suppress_and_gate(spark):
         assert sorted((a, b, r.label) for a, b, r in licenses.rule_matches(line, gate)) == plain_matches(line)
     docs = spark.createDataFrame(list(enumerate(NOTICES)), "doc_id long, text string")
     assert {r.doc_id: r.labels for r in licenses.scan(docs).collect()} == dict(enumerate(NOTICES.values()))
+
+
+@pytest.mark.parametrize("name, label", [("MIT", "mit"), ("ISC", "isc"), ("X11", "mit"), ("Zlib", "zlib"), ("OpenSSL", "openssl"), ("BSD-3-Clause", "bsd-3-clause"), ("Apache-2.0", "apache-2.0")])
+def test_identifiers_name_a_license_without_a_version(name, label):
+    line = (b" " + b" ".join(licenses.words(f"// SPDX-License-Identifier: {name} */".encode())) + b" ").decode("latin-1")
+    assert [r.label for _, _, r in licenses.rule_matches(line, licenses.automaton())] == [label]
