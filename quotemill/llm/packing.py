@@ -1,8 +1,8 @@
 """Hierarchical multi-length packing of tokenised documents.
 
 Every document is tokenised once, as it is read, and routed to the smallest context size (tier) that holds it;
-longer ones go to the longest tier. Documents are dealt by a hash of their id into groups of about
-`group_chars` characters. Within a group the tiers are packed from long to short: a tier's documents, in id order,
+longer ones go to the longest tier. Documents are dealt by a hash of their id and text, and of their
+number if rows repeat, into groups of about `group_chars` characters. Within a group the tiers are packed from long to short: a tier's documents, in id order,
 fill windows of its size end to end, and the gap that is left in its last window is filled from the next shorter
 tier. So only the very last window of a group can have padding. Windows are dealt to step groups of `step_tokens`
 tokens each; windows are powers of two in falling order, so step groups are equal.
@@ -26,6 +26,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -142,17 +144,28 @@ def by_size(pdf: pd.DataFrame, limit: int) -> Iterator[pd.DataFrame]:
 
 
 def tokenised(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, tokens: 16-bit ids) of every row."""
+    """(doc_id, tokens: 16-bit ids, salt: a number that spreads rows of one id) of every row."""
     path = path or vocabulary()
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = encoder(path)
+        seen: dict[int, int] = {}
+        task = TaskContext.get().partitionId()
+
+        def salt(key: int | None, raw: bytes) -> int:
+            # Rows that are equal throughout are told apart by their task and their number in it; as any of them may
+            # take any of their salts, a task that runs again deals out the same rows.
+            own_ = xxhash.xxh64_intdigest(raw, 0 if key is pd.NA else key & (1 << 63) - 1)
+            n = seen[own_] = seen.get(own_, -1) + 1
+            return (xxhash.xxh64_intdigest(f"{own_} {task} {n}") if n else own_) >> 1
+
         for pdf in batches:
             pdf["doc_id"] = pdf["doc_id"].astype("Int64")
             for part in by_size(pdf, PART):
-                yield pd.DataFrame({"doc_id": part["doc_id"], "tokens": own.batch(list(part["raw"]))})
+                raws = list(part["raw"])
+                yield pd.DataFrame({"doc_id": part["doc_id"], "tokens": own.batch(raws), "salt": [salt(i, raw) for i, raw in zip(part["doc_id"].tolist(), raws, strict=True)]})
 
-    return texts(docs).mapInPandas(encode, "doc_id long, tokens binary")
+    return texts(docs).mapInPandas(encode, "doc_id long, tokens binary, salt long")
 
 
 def layout(counts: np.ndarray, tiers: tuple[int, ...] = TIERS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -227,7 +240,7 @@ def pack(
         raise ValueError("tiers are falling powers of two")
     total = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     groups = max(1, -(-total // group_chars))
-    dealt = tokenised(docs, path).withColumn("grp", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
+    dealt = tokenised(docs, path).withColumn("grp", F.pmod(F.xxhash64("doc_id", "salt"), F.lit(groups))).drop("salt")
 
     def fill(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, tokens = [], []

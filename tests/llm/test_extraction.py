@@ -234,6 +234,19 @@ def test_packing(request, name, chars):
     assert padding <= 2048 * len(groups)
 
 
+def test_rows_without_an_id_of_their_own_are_dealt_over_groups(spark):
+    rows = [(None, f"some words of text {i} " * 20) for i in range(300)] + [(7, "the same words again " * 20)] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    got = packing.pack(docs, group_chars=1 << 13).collect()
+    check_pieces(docs, got)
+    tokens = Counter()
+    for r in got:
+        tokens[r.doc_id, r.sequence_id >> 32] += r.length
+    for key in (None, 7):
+        sizes = [n for (i, _), n in tokens.items() if i == key]
+        assert len(sizes) > 15 and max(sizes) < 0.2 * sum(sizes)
+
+
 def test_tiers_are_filled_from_shorter_ones():
     counts = np.array([3000, 1500, 700, 300, 100, 100])
     starts, sizes, tier = packing.layout(counts)
