@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quotemill.llm import (
+    bpe,
     decontaminate,
     exact_dedup,
     language,
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": lambda spark, d: pii.find_pii(table(spark, d, "documents")).drop("found"),
     "op9_licenses": lambda spark, d: licenses.scan(table(spark, d, "documents")).drop("matches"),
     "op10_tree_merge": lambda spark, d: exact_dedup.exact_dedup(table(spark, d, "documents")),
+    "op11_prefix_bpe": lambda spark, d: bpe.round_trip(table(spark, d, "documents")),
 }
 
 CHECKS: dict[str, str] = {
