@@ -13,6 +13,7 @@ from quotemill.llm import (
     language,
     language_model,
     licenses,
+    negatives,
     packing,
     pii,
     quality,
@@ -33,8 +34,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_licenses": lambda spark, d: licenses.scan(table(spark, d, "documents")).drop("matches"),
     "op10_tree_merge": lambda spark, d: exact_dedup.exact_dedup(table(spark, d, "documents")),
     "op11_prefix_bpe": lambda spark, d: bpe.round_trip(table(spark, d, "documents")),
+    "op13_hard_negatives": lambda spark, d: negatives.shifted(table(spark, d, "embeddings")),
 }
 
 CHECKS: dict[str, str] = {
     "op10_tree_merge": exact_dedup.EXACT_DEDUP_SQL,
+    "op13_hard_negatives": negatives.NEGATIVES_SQL,
 }
