@@ -33,6 +33,7 @@ import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,7 +49,7 @@ BASE, NONE = -1, 1 << 60
 #: Entries of one generation of the caches, and the longest word in bytes that is worth one.
 CACHE, LONG = 250_000, 64
 #: Pair tests that are remembered at a time.
-PAIRS = 2_000_000
+PAIRS = 300_000
 #: Bytes of text encoded at a time; a longer text is encoded on its own.
 PART = 2 << 20
 # The file's split pattern for texts of ASCII alone, in lower case; white space is the space and 9 to 13.
@@ -130,42 +131,40 @@ class PrefixEncoder:
             if sound[token]:
                 self.automaton.add_word(name, (len(name), token))
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
 
     def word(self, symbols: str) -> list[int]:
         """Ids of one word, a string of symbols."""
-        size = len(symbols)
         single = self.automaton.get(symbols, None)
         if single is not None:
             return [single[1]]
-        last: list = [None] * size
-        pairs, compatible = self.pairs, self.merges.compatible
+        # Token and width of what ends each prefix; -1 while there is none.
+        last, widths = [-1] * len(symbols), [1] * len(symbols)
+        pairs = self.pairs
         if len(pairs) > PAIRS:
             pairs.clear()
         for end, (width, token) in self.automaton.iter(symbols):
-            if last[end] is not None:
+            if last[end] >= 0:
                 continue
-            if width > end:
-                last[end] = (width, token)
-                continue
-            before = last[end - width]
-            if before is None:
-                continue
-            pair = (before[1], token)
-            fits = pairs.get(pair)
-            if fits is None:
-                fits = pairs[pair] = compatible(*pair)
-            if fits:
-                last[end] = (width, token)
-        out, end = [], size - 1
+            start = end - width
+            if start >= 0:
+                before = last[start]
+                if before < 0:
+                    continue
+                pair = before << 32 | token
+                fits = pairs.get(pair)
+                if fits is None:
+                    fits = pairs[pair] = self.merges.compatible(before, token)
+                if not fits:
+                    continue
+            last[end] = token
+            widths[end] = width
+        out, end = [], len(symbols) - 1
         while end >= 0:
-            if last[end] is None:
-                # A symbol that the vocabulary lacks gives no token.
-                end -= 1
-                continue
-            width, token = last[end]
-            out.append(token)
-            end -= width
+            # A symbol that the vocabulary lacks gives no token.
+            if last[end] >= 0:
+                out.append(last[end])
+            end -= widths[end]
         return out[::-1]
 
 
@@ -183,8 +182,8 @@ class Encoder:
         self.split = re.compile("|".join(f"({re.escape(x)})" for x in sorted(special, key=len, reverse=True)) or "(?!)")
         self.bytes_split = re.compile("|".join(re.escape(x) for x in special).encode() or b"(?!)")
         self.prefixes = PrefixEncoder(model["model"]["vocab"], model["model"]["merges"])
-        self.young: dict[bytes, np.ndarray] = {}
-        self.old: dict[bytes, np.ndarray] = {}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def _mark(self, symbols: str) -> str:
         return symbols[:-1] + chr(ord(symbols[-1]) + FINAL)
@@ -207,7 +206,7 @@ class Encoder:
                     ids += word(self._mark(symbols))
         return ids
 
-    def _known(self, chunks: Iterable[bytes]) -> dict[bytes, np.ndarray]:
+    def _known(self, chunks: Iterable[bytes]) -> dict[bytes, bytes]:
         if len(self.young) > CACHE:
             self.young, self.old = {}, self.young
         young, old, known = self.young, self.old, {}
@@ -246,25 +245,27 @@ def _lists(rows: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(rows), np.int32)))
 
 
-def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, ids) of every row: the ids of its whole text."""
+def encode(docs: DataFrame, path: str | None = None, decoded: bool = False) -> DataFrame:
+    """(doc_id, ids) of every row: the ids of its whole text; with `decoded`, also the `text` that they decode to.
+
+    Results leave in batches of about PART bytes of text, so that a task holds few of them.
+    """
     path = path or vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
+        own, names = encoder(path), _names(path)
         for batch in batches:
-            raws = batch.column("raw").to_pylist()
-            for _, part in pd.DataFrame({"at": range(len(raws))}).groupby(_blocks(raws), sort=False):
-                at = part["at"].to_numpy()
-                ids = _lists(own.batch([raws[i] for i in at]))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at)), ids], ["doc_id", "ids"])
-
-    return texts(docs).mapInArrow(run, "doc_id long, ids array<int>")
-
+            raws = batch.column("raw")
+            sizes = pc.fill_null(pc.binary_length(raws), 0).to_numpy(zero_copy_only=False)
+            ends = np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // PART, append=-1)) + 1
+            for begin, end in zip([0, *ends[:-1]], ends, strict=True):
+                ids = own.batch(raws.slice(begin, end - begin).to_pylist())
+                out = {"doc_id": batch.column("doc_id").slice(begin, end - begin), "ids": _lists(ids)}
+                if decoded:
+                    out["text"] = pa.array([" ".join(names[np.frombuffer(x, np.int32)]) for x in ids], pa.string())
+                yield pa.RecordBatch.from_pydict(out)
 
-def _blocks(raws: list[bytes]) -> np.ndarray:
-    """The number of the run of about PART bytes that each text belongs to."""
-    return np.cumsum([len(x) for x in raws]) // PART if raws else np.empty(0, int)
+    return texts(docs).mapInArrow(run, "doc_id long, ids array<int>" + ", text string" * decoded)
 
 
 def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
@@ -298,7 +299,7 @@ def _names(path: str) -> np.ndarray:
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     """One row per document: doc_id, n_tokens, and SHA-256 of the decimal ids and of the decoded text."""
-    rows = decode(encode(docs, path), path)
+    rows = encode(docs, path, decoded=True)
     decimal = F.array_join(F.col("ids").cast("array<string>"), " ")
     return rows.select(
         "doc_id",

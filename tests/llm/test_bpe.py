@@ -88,6 +88,8 @@ def test_round_trip(request, name, library):
     got = [tuple(r) for r in bpe.round_trip(docs).collect()]
     key = lambda row: tuple(map(str, row))
     assert sorted(got, key=key) == sorted(want, key=key)
+    for r in bpe.decode(bpe.encode(docs)).collect():
+        assert r.text == library.decode(r.ids, skip_special_tokens=False)
 
 
 def test_null_ids_decode_to_nothing(spark):
