@@ -18,6 +18,7 @@ from quotemill.llm import (
     pii,
     quality,
     simhash,
+    spelling,
     wrappers,
 )
 from quotemill.llm.common import table
@@ -34,6 +35,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_licenses": lambda spark, d: licenses.scan(table(spark, d, "documents")).drop("matches"),
     "op10_tree_merge": lambda spark, d: exact_dedup.exact_dedup(table(spark, d, "documents")),
     "op11_prefix_bpe": lambda spark, d: bpe.round_trip(table(spark, d, "documents")),
+    "op12_spelling": lambda spark, d: spelling.variants(table(spark, d, "documents")),
     "op13_hard_negatives": lambda spark, d: negatives.shifted(table(spark, d, "embeddings")),
 }
 
