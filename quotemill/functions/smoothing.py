@@ -31,6 +31,11 @@ class Smoothing:
         return ("high", "low", "close") if self.kind == "atr" else (self.source,)
 
 
+def _number(x: float | None) -> float | None:
+    """A plain double, or None for a missing one, as a state column holds it."""
+    return None if x is None or np.isnan(x) else float(x)
+
+
 class _Ewm:
     """y = a*x + (1-a)*y', seeded with the first value.
 
@@ -55,8 +60,16 @@ class _Ewm:
             self.missed += len(x)
         return y
 
+    def dump(self) -> tuple:
+        return (None if self.last is None else float(self.last), self.missed)
+
+    def load(self, last: float | None, missed: int) -> None:
+        self.last, self.missed = last, missed
+
 
 class _Ema:
+    STATE = "seen long, last double, missed long"
+
     def __init__(self, spec: Smoothing):
         (n,) = spec.periods
         self.source, self.n, self.seen = spec.source, n, 0
@@ -67,10 +80,19 @@ class _Ema:
         self.seen, y = _mask_head(y, self.seen, self.n - 1)
         return y
 
+    def dump(self) -> tuple:
+        return (self.seen, *self.ewm.dump())
+
+    def load(self, seen, *ewm) -> None:
+        self.seen = seen
+        self.ewm.load(*ewm)
+
 
 class _Rsi:
     """Starts at the first present value; a missing value moves neither average."""
 
+    STATE = "seen long, previous double, up double, up_missed long, down double, down_missed long"
+
     def __init__(self, spec: Smoothing):
         (n,) = spec.periods
         self.source, self.n, self.seen = spec.source, n, 0
@@ -96,10 +118,20 @@ class _Rsi:
         self.seen, out[start:] = _mask_head(y, self.seen, self.n - 1)
         return out
 
+    def dump(self) -> tuple:
+        return (self.seen, _number(self.previous), *self.up.dump(), *self.down.dump())
+
+    def load(self, seen, previous, up, up_missed, down, down_missed) -> None:
+        self.seen, self.previous = seen, np.nan if previous is None else previous
+        self.up.load(up, up_missed)
+        self.down.load(down, down_missed)
+
 
 class _Atr:
     """Mean of the first n true ranges, then Wilder smoothing."""
 
+    STATE = "head array<double>, previous double, last double, missed long"
+
     def __init__(self, spec: Smoothing):
         (self.n,) = spec.periods
         self.head: list[float] = []
@@ -123,10 +155,23 @@ class _Atr:
             out[take:] = self.ewm(span[take:])
         return out
 
+    def dump(self) -> tuple:
+        return ([_number(x) for x in self.head], _number(self.previous), *self.ewm.dump())
+
+    def load(self, head, previous, *ewm) -> None:
+        self.head = [np.nan if x is None else x for x in head]
+        self.previous = np.nan if previous is None else previous
+        self.ewm.load(*ewm)
+
 
 class _MacdHist:
     """Fast minus slow EMA, less its own EMA, which starts at the first slow value."""
 
+    STATE = (
+        "seen long, signal_seen long, fast double, fast_missed long, slow double, slow_missed long, "
+        "signal double, signal_missed long"
+    )
+
     def __init__(self, spec: Smoothing):
         fast, self.slow_n, self.signal_n = spec.periods
         self.source, self.seen, self.signal_seen = spec.source, 0, 0
@@ -142,6 +187,15 @@ class _MacdHist:
         out[start:] = line[start:] - signal
         return out
 
+    def dump(self) -> tuple:
+        return (self.seen, self.signal_seen, *self.fast.dump(), *self.slow.dump(), *self.signal.dump())
+
+    def load(self, seen, signal_seen, fast, fast_missed, slow, slow_missed, signal, signal_missed) -> None:
+        self.seen, self.signal_seen = seen, signal_seen
+        self.fast.load(fast, fast_missed)
+        self.slow.load(slow, slow_missed)
+        self.signal.load(signal, signal_missed)
+
 
 def _mask_head(y: np.ndarray, seen: int, hide: int) -> tuple[int, np.ndarray]:
     """Blank the outputs of a series' first `hide` rows, given `seen` rows in earlier batches."""
@@ -159,6 +213,11 @@ class Smoother:
     def __init__(self, specs: Sequence[Smoothing]):
         self.steps = {s.name: _KINDS[s.kind](s) for s in specs}
 
+    @staticmethod
+    def state_schema(spec: Smoothing) -> str:
+        """The typed fields that `dump` gives and `load` takes for one recurrence."""
+        return _KINDS[spec.kind].STATE
+
     def push(self, pdf: pd.DataFrame) -> dict[str, np.ndarray]:
         return {name: step(pdf) for name, step in self.steps.items()}
 

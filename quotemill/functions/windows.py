@@ -6,7 +6,9 @@ trading calendar, whatever share of the raw records its symbol holds.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -18,6 +20,23 @@ NEGLIGIBLE = 1e-17
 
 
 _specs: dict[tuple, WindowSpec] = {}
+_noted: list[list[int]] = []
+
+
+@contextmanager
+def reaches() -> Iterator[list[int]]:
+    """Collects how many rows back each window expression built inside looks."""
+    found: list[int] = []
+    _noted.append(found)
+    try:
+        yield found
+    finally:
+        _noted.remove(found)
+
+
+def _note(rows: int) -> None:
+    for found in _noted:
+        found.append(rows)
 
 
 def ordered(keys: Sequence[str] = KEYS, rows: int | None = None) -> WindowSpec:
@@ -31,6 +50,7 @@ def ordered(keys: Sequence[str] = KEYS, rows: int | None = None) -> WindowSpec:
 
 
 def lag(c, k: int = 1, keys: Sequence[str] = KEYS) -> Column:
+    _note(k)
     return F.lag(c, k).over(ordered(keys))
 
 
@@ -44,6 +64,7 @@ def pct_change(c: Column, k: int = 1) -> Column:
 
 def rolling(c: Column, n: int, agg: Callable[[Column], Column], keys: Sequence[str] = KEYS) -> Column:
     """Aggregate of the last n rows, NULL until n values are present."""
+    _note(n - 1)
     frame = ordered(keys, n)
     return F.when(F.count(c).over(frame) == n, agg(c).over(frame))
 
@@ -84,6 +105,15 @@ def mean_abs_deviation(values: Column, n: int) -> Column:
     return F.aggregate(F.transform(values, lambda x: F.abs(x - mean)), zero, lambda acc, x: acc + x) / n
 
 
+def ewm_reach(span: int) -> int:
+    """Rows back whose weight can still change a double in `with_ewm`."""
+    decay, reach, rows = 1.0 - 2.0 / (span + 1), 1, 0
+    while decay**reach > NEGLIGIBLE:
+        rows += max(k * reach for k in range(1, 8) if decay ** (k * reach) > NEGLIGIBLE)
+        reach *= 8
+    return rows
+
+
 def with_ewm(df: DataFrame, columns: dict[str, str], span: int, keys: Sequence[str] = KEYS) -> DataFrame:
     """Weighted means with weights normalised by their sum; `columns` maps output names to input names.
 

@@ -295,6 +295,25 @@ def closure(names: Iterable[str]) -> dict[str, int]:
     return depth
 
 
+def reach(names: Iterable[str], params: Params = DEFAULT) -> int:
+    """Rows back that any of the columns looks, through all it rests on; recurrences and context count as given."""
+    rows: dict[str, int] = {}
+    for name in sorted(depth := closure(names), key=depth.get):
+        with W.reaches() as found:
+            if name in REGISTRY:
+                REGISTRY[name].build(params)
+            elif name in WEIGHTED:
+                found.append(W.ewm_reach(WEIGHTED[name][1]))
+        rows[name] = max(found, default=0) + max((rows[n] for n in _needs(name) if name not in RECURRENCES), default=0)
+    return max(rows.values(), default=0)
+
+
+def recurrences(names: Iterable[str]) -> list[Smoothing]:
+    """The recurrences that the columns rest on."""
+    depth = closure(names)
+    return [s for n, s in RECURRENCES.items() if n in depth]
+
+
 def with_indicators(
     bars: DataFrame,
     names: Sequence[str],
@@ -304,7 +323,7 @@ def with_indicators(
 ) -> DataFrame:
     """Bars plus the named indicators and context columns, and nothing else that is not needed.
 
-    Recurrences run first on the few bar columns they read; window columns follow level by level on
+    Recurrences run first on the few bar columns they read, unless the bars bring them along; window columns follow level by level on
     one sorted exchange by symbol; context columns are joined by date at the end.
     """
     names = list(dict.fromkeys(names))
@@ -313,7 +332,7 @@ def with_indicators(
     if unknown:
         raise ValueError(f"unknown columns: {unknown}")
     base = [c for c in bars.columns if c in ("symbol", "date") or c in keep or c in depth]
-    df = with_smoothings(bars.select(*base), [s for n, s in RECURRENCES.items() if n in depth])
+    df = with_smoothings(bars.select(*base), [s for s in recurrences(names) if s.name not in bars.columns])
     if any(depth.values()):
         df = spread(df, "symbol")
 

@@ -70,6 +70,22 @@ class _Machine:
         self.previous_close = close[-1]
         return self._finish(out, close)
 
+    def dump(self) -> list[tuple]:
+        """Each run's place after the last bar, as plain values: the fields in order, then whether that bar bought."""
+        was_buy = getattr(self, "was_buy", np.zeros(len(self.hold), bool))
+        rows = zip(*[getattr(self, f).tolist() for f in FIELDS], was_buy.tolist(), strict=True)
+        at = FIELDS.index("entry_day")
+        return [tuple(None if i == at and v == NO_DAY else v for i, v in enumerate(row)) for row in rows]
+
+    def load(self, rows: Sequence[tuple], previous_close: float | None, was_one_day: bool) -> None:
+        """Go on from what `dump` gave, and the last bar's close and one-day flag."""
+        columns = list(zip(*rows, strict=True))
+        for f, values in zip(FIELDS, columns, strict=False):
+            kept = [NO_DAY if v is None and f == "entry_day" else v for v in values]
+            setattr(self, f, np.array(kept, getattr(self, f).dtype))
+        self.previous_close = np.nan if previous_close is None else previous_close
+        self.started, self.was_one_day, self.was_buy = True, was_one_day, np.array(columns[-1], bool)
+
     def _count(self, won) -> None:
         self.days_in_trade = np.where(self.hold, self.days_in_trade + 1, 0)
         self.profitable_closes = np.where(self.hold, self.profitable_closes + won, 0)

@@ -52,10 +52,10 @@ def play(wide: DataFrame, rules: Sequence[Rule], open_ended: bool, params: Param
     return _play(wide, {open_ended: list(rules)}, params)
 
 
-def kernel_input(wide: DataFrame, rules: Sequence[Rule], params: Params) -> DataFrame:
-    """The columns a machine reads: prices, the tracked change, and a rule pair per run."""
+def kernel_input(wide: DataFrame, rules: Sequence[Rule], params: Params, *keep: str) -> DataFrame:
+    """The columns a machine reads: prices, the tracked change, and a rule pair per run; and those to keep."""
     flags = [f"{side}_{r.name}" for r in rules for side in ("buy", "sell")]
-    return wide.select("symbol", "date", "close", track_change(params).alias("track_change"), "one_day_buy", *flags)
+    return wide.select("symbol", "date", "close", track_change(params).alias("track_change"), "one_day_buy", *flags, *keep)
 
 
 def matrix(pdf: pd.DataFrame, names: Sequence[str]) -> np.ndarray:

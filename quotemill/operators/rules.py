@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quotemill.functions import windows as W
 from quotemill.functions.scalars import div, truth
-from quotemill.operators.indicators import with_indicators
+from quotemill.operators.indicators import reach, with_indicators
 from quotemill.params import DEFAULT, Params
 
 _c = F.col
@@ -193,6 +193,23 @@ SCOREBOARD_RULES = tuple(f"rule{i:02d}" for i in (*range(1, 22), 23, 24)) + ("op
 SYMBOL_BOARD_RULE = "rule11"
 
 
+def rule_columns(rules: Sequence[Rule], params: Params = DEFAULT) -> set[str]:
+    """Columns that the rules, the one-day buy of open-ended ones and the tracked change read."""
+    names = {n for r in rules for n in r.needs} | {"close", "pct_change"}
+    names |= set(ONE_DAY_BUY_NEEDS) if any(r.days == 0 for r in rules) else set()
+    return names | ({params.proxy_column} if params.use_proxy else set())
+
+
+def rule_reach(rules: Sequence[Rule], params: Params = DEFAULT) -> int:
+    """Rows before a bar that decide its flags and tracked change, given its recurrences and context."""
+    with W.reaches() as found:
+        for r in rules:
+            r.buy(params), r.sell(params)
+        one_day_buy(params)
+        W.pct_change(F.col(params.proxy_column))
+    return max(found) + reach(rule_columns(rules, params), params)
+
+
 def with_rules(
     bars: DataFrame,
     rules: Sequence[Rule],
@@ -205,10 +222,8 @@ def with_rules(
     Also carries close, the leveraged change, the one-day-buy flag where an open-ended rule is
     present, and any extra indicator columns asked for.
     """
+    names = rule_columns(rules, params) | set(extra)
     open_ended = any(r.days == 0 for r in rules)
-    names = {n for r in rules for n in r.needs} | {"close", "pct_change"} | set(extra)
-    names |= set(ONE_DAY_BUY_NEEDS) if open_ended else set()
-    names |= {params.proxy_column} if params.use_proxy else set()
     df = with_indicators(bars, sorted(names), params, context, keep=())
     conditions = {f"buy_{r.name}": truth(r.buy(params)) for r in rules}
     conditions |= {f"sell_{r.name}": truth(r.sell(params)) for r in rules}

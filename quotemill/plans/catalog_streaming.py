@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from quotemill.functions.smoothing import Smoothing
 from quotemill.operators import rules as RU
 from quotemill.plans import inputs as I
-from quotemill.plans.catalog_positions import TIMED, _blocks
+from quotemill.plans.catalog_positions import OPEN, TIMED, _blocks
 from quotemill.plans.oracle_parts import log_growth as log_sql
-from quotemill.plans.oracle_parts import r6, six, sql
+from quotemill.plans.oracle_parts import needs_context, r6, rule_source, six, sql
 from quotemill.plans.registry import add, log_growth
 from quotemill.session import work_folder
 from quotemill.streaming.bars import drain, stream_bar_table, stream_bars
-from quotemill.streaming.monitor import flagged, stream_monitor
+from quotemill.streaming.monitor import read_monitor, run_monitor
 from quotemill.streaming.smoothing import stream_smoothings
 
 c = F.col
@@ -61,16 +61,22 @@ add(
 )
 
 
-def _stream_ema(spark, sf_dir):
-    """Bars arrive in three deliveries; each run goes on from the state of the one before."""
-    bars = spark.read.parquet(_drained_bars(spark, sf_dir))
-    source, out = _fresh(spark, "delivered"), _fresh(spark, "stream-ema")
-    specs = [Smoothing("ema8", "ema", "close", (8,)), Smoothing("rsi2", "rsi", "close", (2,))]
+def _delivered(spark, bars: DataFrame):
+    """Writes the bars in three deliveries, oldest first; yields the stream over them after each."""
+    source = _fresh(spark, "delivered")
     first, last = bars.agg(F.min("date"), F.max("date")).first()
     cuts = [first + (last - first) * k / 3 for k in (1, 2)]
-    for part in (c("date") < cuts[0], c("date").between(cuts[0], cuts[1]), c("date") > cuts[1]):
+    for part in (c("date") < cuts[0], (c("date") >= cuts[0]) & (c("date") <= cuts[1]), c("date") > cuts[1]):
         bars.filter(part).write.mode("append").parquet(source)
-        drain(stream_smoothings(stream_bar_table(spark, source), specs), out, out + "-checkpoint")
+        yield stream_bar_table(spark, source)
+
+
+def _stream_ema(spark, sf_dir):
+    """Bars arrive in three deliveries; each run goes on from the state of the one before."""
+    out = _fresh(spark, "stream-ema")
+    specs = [Smoothing("ema8", "ema", "close", (8,)), Smoothing("rsi2", "rsi", "close", (2,))]
+    for stream in _delivered(spark, spark.read.parquet(_drained_bars(spark, sf_dir))):
+        drain(stream_smoothings(stream, specs), out, out + "-checkpoint")
     return spark.read.parquet(out).select("symbol", "date", "ema8", "rsi2")
 
 
@@ -92,26 +98,28 @@ add(
 )
 
 
-def _monitored(spark, sf_dir):
-    """Flagged bars arrive in two deliveries; the second run resumes from the first one's state."""
-    rules = [RU.RULES[TIMED], RU.RULES["rule16"]]
-    source, out = _fresh(spark, "flags"), _fresh(spark, "monitor")
-    flags = flagged(RU.with_rules(I.bars(spark, sf_dir), rules), rules)
-    first = F.year("date") < 1999
-    for part in (flags.filter(first), flags.filter(~first)):
-        part.write.mode("append").parquet(source)
-        stream = stream_monitor(spark.readStream.schema(flags.schema).parquet(source), rules, False)
-        drain(stream, out, out + "-checkpoint")
-    return spark.read.parquet(out).withColumn("log_equity", log_growth("equity")).drop("equity")
-
-
-add(
-    "str3_stream_monitor",
-    _monitored,
-    sql(
-        "ind",
-        f"""SELECT symbol, signal, date, tin AS buy_now, hold AS holding, tout AS sell_now, {r6("trade_pnl", "trade_pnl")},
-          {six(log_sql("equity"))} AS log_equity FROM played""",
-        extra=_blocks([TIMED, "rule16"]),
-    ),
-)
+def _monitored(spark, sf_dir, *names):
+    """Raw bars arrive in three deliveries; each run goes on from the state of the one before."""
+    rules = [RU.RULES[n] for n in names]
+    folder = _fresh(spark, "monitor")
+    context = I.context(spark, sf_dir) if needs_context(*names) else None
+    for stream in _delivered(spark, I.bars(spark, sf_dir)):
+        run_monitor(stream, rules, folder, context=context)
+    return read_monitor(spark, folder).withColumn("log_equity", log_growth("equity")).drop("equity")
+
+
+for _name, _rules in (
+    ("str3_stream_monitor", (TIMED, "rule16")),
+    ("str3_stream_monitor_open", (OPEN,)),
+    ("str3_stream_monitor_context", ("rule09", "rule11")),
+):
+    add(
+        _name,
+        lambda s, d, rules=_rules: _monitored(s, d, *rules),
+        sql(
+            rule_source(*_rules),
+            f"""SELECT symbol, signal, date, tin AS buy_now, hold AS holding, tout AS sell_now, {r6("trade_pnl", "trade_pnl")},
+              {six(log_sql("equity"))} AS log_equity FROM played""",
+            extra=_blocks(_rules, open_ended=OPEN in _rules),
+        ),
+    )

@@ -7,17 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from quotemill.functions.smoothing import Smoother, Smoothing
-from quotemill.streaming.stateful import carry
+from quotemill.functions.smoothing import Smoothing
+from quotemill.streaming.stateful import Recurrences, carry
 
 
-def stream_smoothings(bars: DataFrame, specs: Sequence[Smoothing]) -> DataFrame:
+def stream_smoothings(bars: DataFrame, specs: Sequence[Smoothing], arrival: str | None = None) -> DataFrame:
     """The batch recurrences over a bar stream; each symbol's running values are its state."""
-    specs = list(specs)
     schema = T.StructType(bars.schema.fields + [T.StructField(s.name, T.DoubleType()) for s in specs])
-    columns = bars.columns
-
-    def step(smoother: Smoother, pdf):
-        return pdf[columns].assign(**smoother.push(pdf))
-
-    return carry(bars, lambda: Smoother(specs), step, schema)
+    return carry(bars, Recurrences(specs, arrival), schema)

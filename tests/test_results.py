@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ from quotemill.operators import rules as RU
 from quotemill.operators import sweeps as SW
 from quotemill.params import DEFAULT, Params
 from quotemill.streaming.bars import drain, stream_bar_table
-from quotemill.streaming.monitor import firing, flagged, stream_monitor
+from quotemill.streaming.monitor import firing, read_monitor, run_monitor
 from quotemill.streaming.smoothing import stream_smoothings
 from tests.conftest import days, make_bars
 
@@ -180,22 +181,52 @@ def test_stream_equals_batch_over_a_restart_and_drops_late_bars(spark, bars, tmp
 
 
 def test_stream_monitor_equals_batch(spark, bars, tmp_path):
-    rules = [RU.RULES["open_rule"]]
-    flags = flagged(RU.with_rules(bars, rules), rules)
-    source, out = str(tmp_path / "flags"), str(tmp_path / "out")
-    cut = days(260)[90]
-    for part in (F.col("date") < cut, F.col("date") >= cut):
-        flags.filter(part).write.mode("append").parquet(source)
-        stream = stream_monitor(spark.readStream.schema(flags.schema).parquet(source), rules, True)
-        drain(stream, out, out + "-checkpoint")
-    got = spark.read.parquet(out)
-    batch = P.positions(RU.with_rules(bars, rules), rules)
-    a = got.orderBy("symbol", "date").select("symbol", "date", "buy_now", "holding", "sell_now", "equity").collect()
-    b = batch.orderBy("symbol", "date").select("symbol", "date", "trade_in", "hold", "trade_out", "equity").collect()
+    """Raw bars in four deliveries, a late one and a repeated one among them; rules of both machines."""
+    rules = [RU.RULES["open_rule"], RU.RULES["rule13"], RU.RULES["rule16"]]
+    source, folder, cuts = str(tmp_path / "bars"), str(tmp_path / "monitor"), [days(260)[k] for k in (90, 91, 250)]
+    parts = [F.col("date") < cuts[0], F.col("date").between(cuts[0], cuts[1]), F.col("date") > cuts[2], F.col("date") <= cuts[1]]
+    missed = ~(F.col("date") > cuts[1]) | (F.col("date") > cuts[2])
+    for part in parts:
+        bars.filter(part).write.mode("append").parquet(source)
+        run_monitor(stream_bar_table(spark, source), rules, folder)
+        run_monitor(stream_bar_table(spark, source), rules, folder)
+    got = read_monitor(spark, folder)
+    batch = P.positions(RU.with_rules(bars.filter(missed), rules), rules)
+    a = got.orderBy("symbol", "signal", "date").select("symbol", "signal", "date", "buy_now", "holding", "sell_now", "trade_pnl", "equity").collect()
+    b = batch.orderBy("symbol", "signal", "date").select("symbol", "signal", "date", "trade_in", "hold", "trade_out", "trade_pnl", "equity").collect()
     assert [tuple(r) for r in a] == [tuple(r) for r in b]
     assert firing(got).count() == batch.filter("trade_in OR trade_out").count()
 
 
+def test_stream_monitor_without_bars(spark, bars, tmp_path):
+    source = str(tmp_path / "bars")
+    bars.limit(0).write.parquet(source)
+    run_monitor(stream_bar_table(spark, source), [RU.RULES["rule16"]], str(tmp_path / "monitor"))
+    assert read_monitor(spark, str(tmp_path / "monitor")).collect() == []
+
+
+def test_recurrence_state_is_typed():
+    """What a recurrence dumps are plain values of its declared fields, and loading them changes nothing."""
+    from quotemill.functions.smoothing import Smoother
+
+    rng = np.random.default_rng(2)
+    close = np.where(rng.random(90) < 0.1, np.nan, 100 + rng.normal(0, 1, 90).cumsum())
+    bars = pd.DataFrame({"close": close, "high": close + 1, "low": close - 1, "volume": 1.0})
+    specs = [Smoothing("e", "ema", "close", (8,)), Smoothing("r", "rsi", "close", (5,)), Smoothing("a", "atr", "close", (20,)), Smoothing("m", "macd_hist", "close", (12, 26, 9))]
+    whole = Smoother(specs).push(bars)
+    for cut in (1, 7, 19, 20, 45):
+        first, second = Smoother(specs), Smoother(specs)
+        parts = [first.push(bars[:cut])]
+        for spec in specs:
+            state = first.steps[spec.name].dump()
+            assert len(state) == Smoother.state_schema(spec).count(",") + 1
+            assert all(x is None or type(x) in (int, float, list) for x in state)
+            second.steps[spec.name].load(*state)
+        parts.append(second.push(bars[cut:].reset_index(drop=True)))
+        for name, values in whole.items():
+            np.testing.assert_array_equal(np.concatenate([p[name] for p in parts]), values)
+
+
 def test_log_scale(spark):
     from quotemill.plans.registry import log_growth
 
