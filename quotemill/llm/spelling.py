@@ -5,12 +5,12 @@ words. Both are tables: a node is a 61-bit hash of its prefix, kept where prefix
 (node, label, child), its label being all that lies between two such nodes, so that a word of a hundred thousand letters
 has as few levels as there are branches on its way.
 
-The frontier is a table of states (word, position, node, edits). Each round joins it with the edge table: a state without
-an edit follows its own word, or leaves it by one replaced, inserted or deleted code point where another edge begins, if the
-rest of that edge's label fits; a state with an edit goes on only where the label fits. States that end with one edit
-on a node where a word ends are neighbours. Two words one edit apart share at least half of the shorter one either before the edit or
-after it, so each trie is entered half way down: the crowded nodes near the root, where every word would meet every
-letter, are never joined. A node that many words pass is dealt out over as many salts as its words ask for.
+The frontier is a table of states (word, position, node); each has spent its edit. A word's own nodes are known, so
+its first states leave them by one replaced, inserted or deleted code point where another edge begins, if the rest of that
+edge's label fits. Each round joins the frontier with the edge table and goes one edge further where the label and the
+code point after it fit. States that end on a node where a word ends are neighbours. Two words one edit apart share at
+least half of the shorter one either before the edit or after it, so each trie is entered half way down: the crowded
+nodes near the root, where every word would meet every letter, are never joined. A node that many words pass is dealt out over as many salts as its words ask for.
 
 Hashes of prefixes may collide; that only adds states. Neighbours are verified letter by letter and must be
 words. Forms are the most frequent near words; roots follow them by pointer doubling.
@@ -23,18 +23,20 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quotemill.llm.common import attach, stored, texts
+from quotemill.llm.common import stored, texts
 
 #: Runs of A to Z and U+00C0 to U+00FF in lower-cased UTF-8.
 RUN = re.compile(rb"(?:[a-z]+|(?:\xc3[\x80-\xbf])+)+")
-#: Distinct words that a task counts before it passes them on.
+#: Distinct words that a task counts, and prefixes that it lists, before it passes them on.
 HELD = 200_000
 #: One in this many runs loses a code point.
 DAMAGE = 199
@@ -49,8 +51,8 @@ def runs(raw: bytes) -> Counter:
     return Counter(RUN.findall(raw.lower()))
 
 
-def word_counts(docs: DataFrame, damage: bool = True) -> DataFrame:
-    """(word, n) of all words; counts are summed in the task before they are shuffled."""
+def word_counts(docs: DataFrame, damage: bool = True, least: int = 1) -> DataFrame:
+    """(word, n) of all words of `least` code points or more; counts are summed in the task before they are shuffled."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: Counter = Counter()
@@ -66,64 +68,76 @@ def word_counts(docs: DataFrame, damage: bool = True) -> DataFrame:
                         total[(text[:at] + text[at + 1 :]).encode()] += found.pop(run)
                 total.update(found)
                 if len(total) > HELD:
-                    yield _frame(total)
+                    yield frame(total)
                     total = Counter()
         if total:
-            yield _frame(total)
-
-    return texts(docs).mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+            yield frame(total)
 
+    def frame(total: Counter) -> pd.DataFrame:
+        rows = [(text, n) for word, n in total.items() if len(word) >= least and len(text := word.decode()) >= least]
+        return pd.DataFrame({"word": pd.Series([r[0] for r in rows], dtype=object), "n": pd.Series([r[1] for r in rows], dtype="int64")})
 
-def _frame(total: Counter) -> pd.DataFrame:
-    return pd.DataFrame({"word": [w.decode() for w in total], "n": list(total.values())})
+    return texts(docs).mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def start(size: Column | int, reverse: Column | int):
-    """Depth at which a search enters a trie: half of the word, rounded up forwards and down backwards."""
+def start(size: Column | int, way: Column | int):
+    """Depth at which a search enters a trie: half of the word, rounded up forwards (way 0) and down backwards (1)."""
     if isinstance(size, int):
-        return (size + 1 - reverse) // 2
-    return F.floor((size + 1 - reverse) / 2).cast("int")
+        return (size + 1 - way) // 2
+    return F.floor((size + 1 - way) / 2).cast("int")
 
 
 def paths(words: DataFrame, least: int) -> DataFrame:
-    """(way, wid, depth, node, next): the prefixes of every word, forwards and reversed, that a search can reach.
+    """(wid, depth, node, next): the prefixes of every word, forwards and reversed, that a search can reach.
 
-    Words one shorter begin their search one letter higher up. `next` is empty where the word ends.
+    Words one shorter begin their search one letter higher up. A node's lowest bit is its way. `next` is the code point
+    that follows, 0 where the word ends.
     """
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows: list[tuple] = []
+            wids, depths, nodes, nexts = (array(kind) for kind in "qiqi")
+
+            def frame() -> pd.DataFrame:
+                return pd.DataFrame({"wid": np.array(wids), "depth": np.array(depths), "node": np.array(nodes), "next": np.array(nexts)})
+
             for wid, word in zip(pdf["wid"].tolist(), pdf["word"], strict=True):
                 for way, text in enumerate((word, word[::-1])):
                     first = start(max(len(text) - 1, least), way)
-                    h = way + 1
-                    for depth, sign in enumerate(text):
+                    h = 0
+                    for depth, code in enumerate([*map(ord, text), 0]):
                         if depth >= first:
-                            rows.append((way, wid, depth, h, sign))
-                        h = (h * FACTOR + ord(sign)) % MODULUS
-                    rows.append((way, wid, len(text), h, ""))
-                if len(rows) > 100_000:
-                    yield pd.DataFrame(rows, columns=columns)
-                    rows = []
-            if rows:
-                yield pd.DataFrame(rows, columns=columns)
+                            wids.append(wid)
+                            depths.append(depth)
+                            nodes.append(2 * h + way)
+                            nexts.append(code)
+                        h = (h * FACTOR + code) % MODULUS
+                if len(wids) > HELD:
+                    yield frame()
+                    wids, depths, nodes, nexts = (array(kind) for kind in "qiqi")
+            if wids:
+                yield frame()
 
-    columns = ["way", "wid", "depth", "node", "next"]
-    return words.select("wid", "word").mapInPandas(walk, "way int, wid long, depth int, node long, next string")
+    return words.select("wid", "word").mapInPandas(walk, "wid long, depth int, node long, next int")
 
 
 def routes(words: DataFrame, least: int) -> DataFrame:
-    """(way, wid, text, size, nodes): each word's nodes of the trie, from the top: depth, node, salts, and whether a word ends."""
+    """(way, text, size, nodes), two rows a word: its nodes of the trie, from the top: depth, node, salts, the code points
+    that follow (a bit each, modulo 64), whether a word ends.
+
+    A node that many words pass has as many rows to join as words; the join splits it, as it needs none of them together.
+    """
     steps = paths(words, least)
-    kinds = steps.groupBy("way", "node", "next").agg(F.count(F.lit(1)).alias("n"))
-    ends = F.max(F.col("next") == "")
-    nodes = kinds.groupBy("way", "node").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n"), ends.alias("ends"))
-    nodes = nodes.where((F.col("kinds") > 1) | F.col("ends")).select("way", "node", "ends", F.ceil(F.col("n") / PER_SALT).cast("int").alias("salts"))
-    met = attach(steps.drop("next"), nodes, ["way", "node"], F.col("wid"))
-    held = met.groupBy("wid", "way").agg(F.sort_array(F.collect_list(F.struct("depth", "node", "salts", "ends"))).alias("nodes"))
-    text = F.when(F.col("way") == 1, F.reverse("word")).otherwise(F.col("word"))
-    return held.join(words.select("wid", "word"), "wid").select("way", "wid", text.alias("text"), F.length("word").alias("size"), "nodes")
+    first, last = F.min("next").alias("first"), F.max("next").alias("last")
+    signs = F.expr("bit_or(shiftleft(1L, next % 64))").alias("signs")
+    nodes = steps.groupBy("node").agg(first, last, signs, F.count(F.lit(1)).alias("n"))
+    nodes = nodes.where((F.col("first") < F.col("last")) | (F.col("first") == 0))
+    nodes = nodes.select("node", "signs", (F.col("first") == 0).alias("ends"), F.ceil(F.col("n") / PER_SALT).cast("int").alias("salts"))
+    met = steps.join(nodes, "node").groupBy("wid").agg(F.collect_list(F.struct("depth", "node", "salts", "signs", "ends")).alias("nodes"))
+    way = F.explode(F.array(F.lit(0), F.lit(1))).alias("way")
+    both = words.select("wid", "word").join(met, "wid").select("word", "nodes", way)
+    own = F.sort_array(F.filter("nodes", lambda n: F.pmod(n.node, F.lit(2)) == F.col("way")))
+    return both.select("way", _word(F.col("word")).alias("text"), F.length("word").alias("size"), own.alias("nodes"))
 
 
 def _word(text: Column) -> Column:
@@ -131,43 +145,56 @@ def _word(text: Column) -> Column:
 
 
 def edges(routes: DataFrame) -> DataFrame:
-    """(way, node, salt, label, child, salts, ending): ending is the word that ends at the child, if any."""
+    """(node, salt, label, child, salts, signs, ending), and the label's first code point, width and tail.
+
+    salts, signs and ending (the word that ends there, if any) are the child's.
+    """
     pairs = F.expr("transform(sequence(1, size(nodes) - 1), i -> struct(nodes[i - 1] AS top, nodes[i] AS low))")
     each = routes.where(F.size("nodes") > 1).select("way", "text", F.explode(pairs).alias("e"))
     label = F.expr("substring(text, e.top.depth + 1, e.low.depth - e.top.depth)")
     ending = F.when(F.col("e.low.ends"), _word(F.expr("substring(text, 1, e.low.depth)")))
     distinct = each.select(
-        "way", F.col("e.top.node").alias("node"), F.col("e.top.salts").alias("own"), label.alias("label"), F.col("e.low.node").alias("child"),
-        F.col("e.low.salts").alias("salts"), ending.alias("ending"),
+        F.col("e.top.node").alias("node"), F.col("e.top.salts").alias("own"), label.alias("label"), F.col("e.low.node").alias("child"),
+        F.col("e.low.salts").alias("salts"), F.col("e.low.signs").alias("signs"), ending.alias("ending"),
     ).distinct()
-    return distinct.withColumn("salt", F.explode(F.expr("sequence(0, own - 1)"))).drop("own")
-
-
-def step(frontier: DataFrame, edge_table: DataFrame) -> DataFrame:
-    """All states one edge further: way, text, size, place, node, salt, edits, ending."""
-    met = frontier.drop("ending").join(edge_table, ["way", "node", "salt"])
-    width, place = F.length("label"), F.col("place")
-    inside = place < F.col("size")
-
-    def to(edits: int, moved: Column) -> Column:
-        return F.struct((place + moved).cast("int").alias("place"), F.lit(edits).alias("edits"))
-
-    exact = F.expr("substring(text, place + 1, length(label)) = label")
-    replaced = F.expr("substring(text, place + 2, length(label) - 1) = substring(label, 2)") & inside
-    inserted = F.expr("substring(text, place + 1, length(label) - 1) = substring(label, 2)")
-    deleted = F.expr("substring(text, place + 2, length(label)) = label")
-    fresh = (F.col("edits") == 0) & ~exact
-    after = F.filter(
-        F.array(
-            F.when(exact, F.struct((place + width).cast("int").alias("place"), F.col("edits").alias("edits"))),
-            F.when(fresh & replaced, to(1, width)),
-            F.when(fresh & inserted, to(1, width - 1)),
-            F.when(fresh & deleted, to(1, width + 1)),
-        ),
-        lambda x: x.isNotNull(),
+    parts = {"sign": F.ascii("label"), "width": F.length("label"), "tail": F.expr("substring(label, 2)")}
+    return distinct.withColumns(parts).withColumn("salt", F.explode(F.expr("sequence(0, own - 1)"))).drop("own")
+
+
+def _moved(met: DataFrame, *moves: tuple[str, str]) -> DataFrame:
+    """States one edge further: where a condition holds, at the place that goes with it, if the text may go on there.
+
+    It may if the child has an edge for its next code point or, at the text's end, if a word ends there.
+    """
+
+    def to(fits: str, place: str) -> Column:
+        bit = f"shiftright(signs, ascii(substring(text, {place} + 1, 1)) % 64) & 1 = 1"
+        return F.when(F.expr(f"{fits} AND if({place} < size, {bit}, ending IS NOT NULL)"), F.expr(place))
+
+    place = F.explode(F.array_compact(F.array(*[to(*m) for m in moves]))).alias("place")
+    return met.select("way", "text", "size", place, F.col("child").alias("node"), _salt("salts"), "ending")
+
+
+def depart(ways: DataFrame, edge_table: DataFrame) -> DataFrame:
+    """The frontier's first states: every way to leave a word's own path by one edit at an edge that is not its own."""
+    entered = F.filter("nodes", lambda n: n.depth >= start(F.col("size"), F.col("way")))
+    own = ways.select("way", "text", "size", F.explode(entered).alias("at"))
+    own = own.select("way", "text", "size", F.col("at.depth").alias("place"), F.col("at.node").alias("node"), F.col("at.salts").alias("salts"))
+    own = own.select("*", _salt("salts"), F.expr("substring(text, place + 1)").alias("rest"), F.expr("substring(text, place + 2)").alias("beyond"))
+    met = own.drop("salts").join(edge_table, ["node", "salt"]).where("sign <> ascii(rest)")
+    return _moved(
+        met,
+        ("place < size AND startswith(beyond, tail)", "place + width"),  # a code point replaced
+        ("startswith(rest, tail)", "place + width - 1"),  # one inserted
+        ("startswith(beyond, label)", "place + width + 1"),  # one deleted
     )
-    moved = met.where(exact | (fresh & (replaced | inserted | deleted))).withColumn("to", F.explode(after))
-    return moved.select("way", "text", "size", F.col("to.place").alias("place"), F.col("child").alias("node"), _salt("salts"), F.col("to.edits").alias("edits"), "ending")
+
+
+def follow(frontier: DataFrame, edge_table: DataFrame) -> DataFrame:
+    """The states one edge further along their texts; the edit is spent."""
+    rest = F.expr("substring(text, place + 1)")
+    met = frontier.drop("ending").select("*", rest.alias("rest"), F.expr("ascii(substring(text, place + 1, 1))").alias("sign"))
+    return _moved(met.join(edge_table, ["node", "salt", "sign"]), ("startswith(rest, label)", "place + width"))
 
 
 def _salt(salts: str) -> Column:
@@ -181,17 +208,11 @@ def neighbours(words: DataFrame, least: int = 6) -> DataFrame:
     # Where the word but its last code point is a word, too, the edit comes after all edges.
     shorter = ways.where(F.expr("exists(nodes, n -> n.depth = size - 1 AND n.ends)"))
     found = [shorter.select(_word(F.col("text")).alias("word"), _word(F.expr("substring(text, 1, size - 1)")).alias("near"))]
-    entry = F.element_at(F.filter("nodes", lambda n: n.depth >= start(F.col("size"), F.col("way"))), 1)
-    frontier = ways.withColumn("at", entry).select(
-        "way", "text", "size", F.col("at.depth").alias("place"), F.col("at.node").alias("node"), F.col("at.salts").alias("salts"), F.lit(0).alias("edits")
-    )
-    frontier = frontier.withColumn("salt", _salt("salts")).drop("salts")
-    while not frontier.isEmpty():
-        states = stored(step(frontier, table))
-        done = (F.col("edits") == 1) & (F.col("place") == F.col("size")) & F.col("ending").isNotNull()
+    states = stored(depart(ways, table))
+    while not states.isEmpty():
+        done = (F.col("place") == F.col("size")) & F.col("ending").isNotNull()
         found.append(states.where(done).select(_word(F.col("text")).alias("word"), F.col("ending").alias("near")))
-        # With its edit spent, a state has nothing left to match beyond its word.
-        frontier = states.where((F.col("edits") == 0) | (F.col("place") < F.col("size")))
+        states = stored(follow(states.where("place < size"), table))
     pairs = found[0]
     for part in found[1:]:
         pairs = pairs.unionByName(part)
@@ -215,7 +236,7 @@ def variants(docs: DataFrame, least: int = 6, frequent: int = 5, ratio: int = 5,
     Words have at least `least` code points and `frequent` occurrences; a form occurs at least `ratio` times as often.
     `damage` deletes a code point of some runs first, as a test of the grouping.
     """
-    counted = word_counts(docs, damage).where((F.col("n") >= frequent) & (F.length("word") >= least))
+    counted = word_counts(docs, damage, least).where(F.col("n") >= frequent)
     words = stored(counted.withColumn("wid", F.monotonically_increasing_id()))
     known = words.select(F.col("word").alias("near"), F.col("n").alias("near_n"))
     best = F.min(F.struct((-F.col("near_n")).alias("n"), F.col("near").alias("word")))
