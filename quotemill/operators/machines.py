@@ -6,6 +6,7 @@ come in date order and in batches, so nothing but the last bar's state outlives
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -190,9 +191,17 @@ class TimedMachine(_Machine):
 class OpenMachine(_Machine):
     """Leaves on a sell, on the stop, or after a lone one-day buy; results add up bar by bar.
 
-    The first bar only sets the starting state. A one-day buy keeps a position across an exit.
+    The first bar only sets the starting state. A one-day buy keeps a position across an exit, so a hold ends with the
+    first bar that has an exit and no one-day buy. Holds are jumped over one by one: the next bar with a sell, with a full
+    limit, and after a lone one-day buy are looked up; the running result is summed up to the nearest of them, in
+    growing steps, to see whether the stop comes first.
     """
 
+    #: Bars of a hold that are first tried against the stop.
+    REACH = 64
+    #: Above so many runs, a bar played for all of them at once costs less than their holds one by one.
+    MANY = 20
+
     def __init__(self, runs, params):
         super().__init__(runs, params)
         self.started = False
@@ -200,6 +209,29 @@ class OpenMachine(_Machine):
         self.was_one_day = False
         self.limited = self.days > 0
 
+    def advance(self, close, track, day, buy, sell, one_day) -> dict[str, np.ndarray]:
+        n, runs = buy.shape
+        if runs > self.MANY:
+            return super().advance(close, track, day, buy, sell, one_day)
+        out = {f: np.zeros((n, runs), getattr(self, f).dtype) for f in FIELDS}
+        out["entry_day"][:] = NO_DAY
+        first = 0 if self.started else 1
+        if first:
+            for f in FIELDS:
+                out[f][0] = getattr(self, f)
+            self.started, self.was_buy, self.was_one_day = True, buy[0].copy(), bool(one_day[0])
+        before = np.concatenate([[self.previous_close], close[:-1]])
+        wins = {True: np.cumsum(close > before), False: np.cumsum(close < before)}
+        free = np.flatnonzero(~one_day).tolist()
+        for k in range(runs):
+            self._play(k, first, close, track, day, buy[:, k], sell[:, k], one_day, wins[bool(self.is_long[k])], free, out)
+        growth = np.where(out["hold"], 1 + track[:, None], 1.0)
+        out["equity"] = np.multiply.accumulate(np.vstack([self.equity, growth]), axis=0)[1:]
+        for f in FIELDS:
+            setattr(self, f, out[f][-1].copy())
+        self.previous_close, self.was_buy, self.was_one_day = close[-1], buy[-1].copy(), bool(one_day[-1])
+        return out
+
     def _bar(self, close, track, day, buy, sell, one_day, won, growth):
         if self.started:
             was_hold = self.hold
@@ -219,6 +251,80 @@ class OpenMachine(_Machine):
             self.equity = np.where(self.hold, self.equity * (1 + track), self.equity)
         self.started, self.was_buy, self.was_one_day = True, buy, bool(one_day)
 
+    def _play(self, k, first, close, track, day, buy, sell, one_day, wins, free, out) -> None:
+        """All holds of one run, from bar `first` on."""
+        n = len(close)
+        entries = np.flatnonzero(buy | one_day).tolist()
+        sells = np.flatnonzero(sell & ~one_day).tolist()
+        column = {f: out[f][:, k] for f in FIELDS}
+        limits = (int(self.days[k]), int(self.profit[k])) if self.limited[k] else None
+        # What the bar before leaves behind: the entry that holds on, and days, won closes and result up to it.
+        entry, entry_day = float(self.trade_entry[k]), int(self.entry_day[k])
+        i = first
+        if (self.hold[k] and not self.trade_out[k]) or self.trade_in[k] or self.was_one_day:
+            lone = self.was_one_day and not self.hold[k] and not self.was_buy[k]
+            carried = (int(self.days_in_trade[k]), int(self.profitable_closes[k]), float(self.trade_pnl[k]))
+            i, entry, entry_day = self._hold(first, n, lone, carried, entry, entry_day, close, track, day, sell, one_day, wins, free, sells, limits, column)
+        while i < n and (at := bisect_left(entries, i)) < len(entries):
+            e = entries[at]
+            # On the bar after an exit the old entry still stands, and no new one is noted.
+            stale = e == i and i > first and column["hold"][i - 1] and entry != 0 or e == i == first and entry != 0
+            entry, entry_day = (0.0, NO_DAY) if stale else (float(close[e]), int(day[e]))
+            column["trade_in"][e] = True
+            column["trade_entry"][e], column["entry_day"][e] = entry, entry_day
+            if e + 1 >= n:
+                return
+            lone = bool(one_day[e]) and not buy[e]
+            i, entry, entry_day = self._hold(e + 1, n, lone, (0, 0, 0.0), entry, entry_day, close, track, day, sell, one_day, wins, free, sells, limits, column)
+
+    def _hold(self, b, n, lone, carried, entry, entry_day, close, track, day, sell, one_day, wins, free, sells, limits, column):
+        """Fill one hold that starts with bar b; returns the bar after it, and the entry that its last bar shows."""
+        if b >= n:
+            return b, entry, entry_day
+        days, ups, result = carried
+        won_before = int(wins[b - 1]) if b else 0
+        bound = [sells[at] if (at := bisect_left(sells, b)) < len(sells) else n]
+        if lone and not one_day[b]:
+            bound.append(b)
+        if limits is not None:
+            full = min(b + max(limits[0] - days - 1, 0), max(b, int(np.searchsorted(wins, won_before + limits[1] - ups))))
+            bound.append(free[at] if (at := bisect_left(free, full)) < len(free) else n)
+        end, stop = min(bound), -self.params.stop_loss
+        # The running result, summed in order, in growing steps up to the nearest other exit.
+        results, at, last, step = [], b, result, self.REACH
+        while at < n and at <= end:
+            upto = min(at + step, end + 1, n)
+            part = np.cumsum(np.concatenate([[last], track[at:upto]]))[1:]
+            results.append(part)
+            below = np.flatnonzero((part < stop) & ~one_day[at:upto])
+            if len(below):
+                end = at + int(below[0])
+                break
+            at, last, step = upto, part[-1], step * 4
+        stop_bar = min(end + 1, n)
+        span = slice(b, stop_bar)
+        pnl = np.concatenate(results)[: stop_bar - b]
+        held = days + np.arange(1, stop_bar - b + 1)
+        up = ups + wins[span] - won_before
+        left = sell[span] | (pnl < stop)
+        if lone:
+            left[0] = True
+        if limits is not None:
+            left |= (held >= limits[0]) | (up >= limits[1])
+        shown, shown_day = np.full(stop_bar - b, entry), np.full(stop_bar - b, entry_day)
+        if entry == 0:
+            # An entry that is still missing is noted at the first one-day buy of the hold.
+            for x in np.flatnonzero(one_day[span]).tolist():
+                shown[x:], shown_day[x:] = close[b + x], day[b + x]
+                if close[b + x] != 0:
+                    break
+        column["hold"][span] = True
+        column["trade_out"][span] = left
+        column["days_in_trade"][span], column["profitable_closes"][span] = held, up
+        column["trade_entry"][span], column["entry_day"][span] = shown, shown_day
+        column["trade_pnl"][span] = pnl
+        return stop_bar, float(shown[-1]), int(shown_day[-1])
+
 
 def machine_for(runs: Sequence[Run], params: Params, open_ended: bool) -> _Machine:
     return (OpenMachine if open_ended else TimedMachine)(runs, params)

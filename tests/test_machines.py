@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from quotemill.operators.machines import Curve, OpenMachine, Run, Tally, TimedMachine
+from quotemill.operators.machines import NO_DAY, Curve, OpenMachine, Run, Tally, TimedMachine
 from quotemill.params import DEFAULT, Params
 
 FLAT = Params(leverage=1.0)
@@ -163,6 +163,66 @@ def test_entry_days_before_1970(machine):
     assert np.isnat(dates[0]) and (dates[1:4] == np.datetime64("1969-12-31")).all() and np.isnat(dates[-1])
 
 
+class OpenLoop:
+    """The open-ended machine bar by bar, as its definition reads."""
+
+    def __init__(self, run, params):
+        self.run, self.params = run, params
+        self.p = dict(hold=False, trade_in=False, trade_out=False, days_in_trade=0, profitable_closes=0, trade_entry=0.0,
+                      entry_day=NO_DAY, trade_pnl=0.0, equity=params.start_capital, buy=False, odb=False, close=np.nan)
+        self.started = False
+
+    def bar(self, close, track, day, buy, sell, odb):
+        p, s = self.p, {}
+        if not self.started:
+            s = {**p}
+        else:
+            s["hold"] = h = (p["hold"] and not p["trade_out"]) or p["trade_in"] or p["odb"]
+            s["trade_in"] = (buy or odb) and not h
+            won = close > p["close"] if self.run.is_long else close < p["close"]
+            s["days_in_trade"] = p["days_in_trade"] + 1 if h else 0
+            s["profitable_closes"] = p["profitable_closes"] + won if h else 0
+            opens = (s["trade_in"] or odb) and p["trade_entry"] == 0
+            s["trade_entry"] = close if opens else p["trade_entry"] if h else 0.0
+            s["entry_day"] = day if opens else p["entry_day"] if h else NO_DAY
+            s["trade_pnl"] = p["trade_pnl"] + track if h else 0.0
+            full = self.run.days > 0 and (s["days_in_trade"] >= self.run.days or s["profitable_closes"] >= self.run.profit)
+            s["trade_out"] = (sell and h) or (p["odb"] and not p["hold"] and not p["buy"]) or s["trade_pnl"] < -self.params.stop_loss or full
+            s["equity"] = p["equity"] * (1 + track) if h else p["equity"]
+        self.started = True
+        self.p = {**s, "buy": buy, "odb": odb, "close": close}
+        return self.p
+
+
+@pytest.mark.parametrize("many", [0, 20])
+@pytest.mark.parametrize("seed", range(24))
+def test_open_machine_equals_its_definition(seed, many):
+    """Hold by hold, and bar by bar for all runs at once."""
+    rng = np.random.default_rng(seed)
+    n = 400
+    runs = [Run(d, p, long) for d, p in ((0, 0), (1, 3), (5, 2), (30, 1), (3, 100)) for long in (True, False)]
+    close = np.round(100 * np.cumprod(1 + rng.normal(0, 0.02, n)), 1)
+    if seed % 5 == 0:
+        close[rng.integers(0, n, 4)] = 0.0
+    if seed % 7 == 0:
+        close[rng.integers(0, n, 3)] = np.nan
+    with np.errstate(divide="ignore", invalid="ignore"):
+        track = np.nan_to_num(np.concatenate([[np.nan], close[1:] / close[:-1] - 1]), nan=np.nan, posinf=0.5) * 3
+    buy = rng.random((n, len(runs))) < (0.02, 0.3, 0.9)[seed % 3]
+    sell = rng.random((n, len(runs))) < (0.0, 0.05, 0.4)[seed // 3 % 3]
+    one_day, day = rng.random(n) < (0.0, 0.1, 0.6)[seed // 2 % 3], np.arange(n) - 70
+    machine = OpenMachine(runs, DEFAULT)
+    machine.REACH, machine.MANY = 3, many
+    cuts = (0, 1, 50, 53, 54, n)
+    parts = [machine.advance(close[a:b], track[a:b], day[a:b], buy[a:b], sell[a:b], one_day[a:b]) for a, b in zip(cuts, cuts[1:])]
+    for k, run in enumerate(runs):
+        loop = OpenLoop(run, DEFAULT)
+        want = [loop.bar(close[i], track[i], day[i], buy[i, k], sell[i, k], one_day[i]) for i in range(n)]
+        for field in parts[0]:
+            got = np.concatenate([p[field][:, k] for p in parts])
+            np.testing.assert_array_equal(got, np.array([w[field] for w in want], got.dtype), err_msg=f"{field} {run}")
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_trades_equal_the_bar_loop(seed):
     rng = np.random.default_rng(seed)
