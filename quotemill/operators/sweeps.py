@@ -1,13 +1,13 @@
 """Parameter sweeps: many runs of one rule per symbol, reduced to one result row per run.
 
-Bars are shipped once per symbol and block of runs, never once per run. The block number is part of
-the grouping key, so one symbol's grid spreads over as many tasks as it has blocks.
+Bars are shipped once per symbol, never once per run. Timed runs step from trade to trade over tables that all runs of
+the symbol share (`walks`), so a symbol's whole grid is one small task. Runs of the open-ended machine are
+dealt into blocks; the block number is then part of the grouping key, and one symbol's grid spreads over its blocks.
 """
 
 from __future__ import annotations
 
 import math
-from collections import deque
 from collections.abc import Collection, Iterator, Mapping, Sequence
 from dataclasses import dataclass, replace
 
@@ -22,6 +22,7 @@ from quotemill.operators.machines import Run, Tally, machine_for
 from quotemill.operators.metrics import kelly_of
 from quotemill.operators.positions import day_number, is_open_ended, track_change
 from quotemill.operators.rules import Rule
+from quotemill.operators.walks import Flags, Series, walk
 from quotemill.params import DEFAULT, NO_VOLUME_SYMBOLS, Params
 from quotemill.session import date_sorted_groups, pieces
 
@@ -193,9 +194,11 @@ def run_trials(
                     users[column].append(number)
 
     block_id = F.col("_block")
-    base = wide.withColumn("_track", track_change(params)).withColumn(
-        "_block", F.explode(F.array_compact(F.array(*[due(i) for i in range(len(blocks))])))
-    )
+    base = wide.withColumn("_track", track_change(params))
+    if len(blocks) == 1:
+        base = base.withColumn("_block", due(0)).where(block_id.isNotNull())
+    else:
+        base = base.withColumn("_block", F.explode(F.array_compact(F.array(*[due(i) for i in range(len(blocks))]))))
     # A column travels only with the blocks that read it.
     shipped = base.select(
         "symbol",
@@ -211,53 +214,93 @@ def run_trials(
     )
 
     def play(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        machine = tally = symbol = None
-        block: list[Trial] = []
-        for pdf in pieces(batches, params.bars_per_step):
-            if machine is None:
-                symbol = pdf["symbol"].iloc[0]
-                first_year = pd.Timestamp(pdf["date"].iloc[0]).year
-                block = [
-                    t
-                    for t in blocks[int(pdf["_block"].iloc[0])]
-                    if _open(gates.get(t.column), symbol, first_year) and (eligible is None or symbol in eligible[t.signal])
-                ]
-                if not block:
-                    deque(batches, maxlen=0)  # read the group to its end before leaving it
-                    return
-                runs = [Run(t.days, t.profit, t.is_long) for t in block]
-                machine = machine_for(runs, params, is_open_ended(block[0].days))
-                tally = Tally(len(block), params)
-            buy, sell = _conditions(pdf, block)
-            one_day = pdf["one_day_buy"].to_numpy(bool)
-            close, track = pdf["_close"].to_numpy(float), pdf["_track"].to_numpy(float)
-            tally.push(machine.advance(close, track, day_number(pdf), buy, sell, one_day))
-        if tally is not None:
+        # A series is bounded by the calendar.
+        bars = pd.concat(list(batches), ignore_index=True)
+        symbol, first_year = bars["symbol"].iloc[0], pd.Timestamp(bars["date"].iloc[0]).year
+        block = [
+            t
+            for t in blocks[int(bars["_block"].iloc[0])]
+            if _open(gates.get(t.column), symbol, first_year) and (eligible is None or symbol in eligible[t.signal])
+        ]
+        for part, result in _results(bars, block, params):
             yield pd.DataFrame(
                 {
                     "symbol": symbol,
-                    "signal": [t.signal for t in block],
-                    "side": [t.side for t in block],
-                    "indicator": [t.column for t in block],
-                    "condition": [t.condition for t in block],
-                    "value": [t.value for t in block],
-                    "days": [t.days for t in block],
-                    "profit": [t.profit for t in block],
-                    **tally.result(),
+                    "signal": [t.signal for t in part],
+                    "side": [t.side for t in part],
+                    "indicator": [t.column for t in part],
+                    "condition": [t.condition for t in part],
+                    "value": [t.value for t in part],
+                    "days": [t.days for t in part],
+                    "profit": [t.profit for t in part],
+                    **result,
                 }
             )
 
     return date_sorted_groups(shipped, "symbol", "_block").applyInPandas(play, TRIAL_SCHEMA)
 
 
-def _blocks(trials: Sequence[Trial], size: int) -> list[list[Trial]]:
-    """Trials of one machine each, neighbours sharing a column, so that a block reads few of them."""
-    blocks: list[list[Trial]] = []
+def _results(bars: pd.DataFrame, block: Sequence[Trial], params: Params) -> Iterator[tuple[list[Trial], dict]]:
+    """Trials of one symbol with their result columns, a bounded number of runs at a time."""
+    close, track = bars["_close"].to_numpy(float), bars["_track"].to_numpy(float)
+    series = {side: Series(close, track, side) for side in {t.is_long for t in block}}
+    walked: dict[tuple, list[Trial]] = {}
+    played = []
+    for t in block:
+        if t.days > 0 and t.profit > 0 and series[t.is_long].walkable:
+            walked.setdefault((t.signal, t.is_long), []).append(t)
+        else:
+            played.append(t)
+    for (signal, is_long), trials in walked.items():
+        base = {side: bars[f"{side}_{signal}"].to_numpy(bool) for side in ("buy", "sell")}
+        for i in range(0, len(trials), params.runs_per_walk):
+            part = trials[i : i + params.runs_per_walk]
+            runs = [Run(t.days, t.profit, t.is_long) for t in part]
+            yield part, walk(series[is_long], runs, *_flags(bars, base, part), params)
     for open_ended in (False, True):
-        group = [t for t in trials if is_open_ended(t.days) == open_ended]
-        group.sort(key=lambda t: (t.signal, t.column or "", t.condition or "", t.value or 0.0))
-        blocks += [group[i : i + size] for i in range(0, len(group), size)]
-    return blocks
+        rest = [t for t in played if is_open_ended(t.days) == open_ended]
+        for i in range(0, len(rest), params.runs_per_task):
+            yield _machine_results(bars, rest[i : i + params.runs_per_task], open_ended, params)
+
+
+def _machine_results(bars: pd.DataFrame, part: list[Trial], open_ended: bool, params: Params) -> tuple[list[Trial], dict]:
+    """The same by a machine, in pieces of bars."""
+    machine, tally = machine_for([Run(t.days, t.profit, t.is_long) for t in part], params, open_ended), Tally(len(part), params)
+    for pdf in pieces([bars], params.bars_per_step):
+        buy, sell = _conditions(pdf, part)
+        close, track = pdf["_close"].to_numpy(float), pdf["_track"].to_numpy(float)
+        tally.push(machine.advance(close, track, day_number(pdf), buy, sell, pdf["one_day_buy"].to_numpy(bool)))
+    return part, tally.result()
+
+
+def _flags(bars: pd.DataFrame, base: Mapping[str, np.ndarray], part: Sequence[Trial]) -> tuple[Flags, Flags]:
+    """Where each trial may enter and must leave."""
+    n, count = len(bars), len(part)
+    met: dict[str, np.ndarray] = {}
+    for side in ("buy", "sell"):
+        at = [(k, t) for k, t in enumerate(part) if t.column and (t.side == "sell") == (side == "sell")]
+        if not at:
+            continue
+        # A narrowed buy lists the rule's own bars only; a widened sell may be any bar.
+        rows = np.flatnonzero(base["buy"]) if side == "buy" else np.arange(n)
+        own = np.ones(len(rows), bool) if side == "buy" else base["sell"]
+        table = np.repeat(own[:, None], count, axis=1)
+        values = {c: bars[c].to_numpy(float)[rows] for c in {t.column for _, t in at}}
+        for k, t in at:
+            hit = values[t.column] >= t.value if t.condition == "more" else values[t.column] <= t.value
+            table[:, k] = own & hit if side == "buy" else own | hit
+        met[side] = table
+    buys = Flags(n, base["buy"], met.get("buy"), count)
+    sells = Flags(n, np.ones(n, bool) if "sell" in met else base["sell"], met.get("sell"), count)
+    return buys, sells
+
+
+def _blocks(trials: Sequence[Trial], size: int) -> list[list[Trial]]:
+    """All timed trials as one block; open-ended ones in blocks of `size`, neighbours sharing a column."""
+    key = lambda t: (t.signal, t.column or "", t.condition or "", t.value or 0.0)
+    timed = sorted((t for t in trials if not is_open_ended(t.days)), key=key)
+    rest = sorted((t for t in trials if is_open_ended(t.days)), key=key)
+    return [b for b in (timed, *[rest[i : i + size] for i in range(0, len(rest), size)]) if b]
 
 
 def _open(axis: Axis | None, symbol: str, first_year: int) -> bool:

@@ -76,8 +76,9 @@ class Params:
     proxy_column: str = "soxx"
     periods_per_year: int = 252
 
-    # Parameter combinations evaluated together by one sweep task.
+    # Open-ended runs played together by one sweep task, and timed runs walked together; bounds their tables.
     runs_per_task: int = 128
+    runs_per_walk: int = 1024
     # Bars a machine plays at once; bounds the bars x runs arrays a task holds.
     bars_per_step: int = 2048
 

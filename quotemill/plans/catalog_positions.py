@@ -14,7 +14,7 @@ from quotemill.operators import positions as P
 from quotemill.operators import rules as RU
 from quotemill.operators import sweeps as SW
 from quotemill.operators.indicators import with_indicators
-from quotemill.params import DEFAULT, Params
+from quotemill.params import DEFAULT, NO_VOLUME_SYMBOLS, Params
 from quotemill.plans import inputs as I
 from quotemill.plans.oracle_parts import (
     MEASURES,
@@ -373,21 +373,25 @@ add(
 
 
 def _axis_trials(rule: str, axes, side: str, source: str) -> dict[str, str]:
-    """Blocks giving one row per bar and threshold trial, every axis value in both directions."""
+    """Blocks giving one row per bar and threshold trial, every axis value in both directions, where the axis' gates are open."""
     columns = sorted({a.column for a in axes})
-    grid = ", ".join(f"('{a.column}', {v!r}e0)" for a in axes for v in a.values())
+    gate = lambda a: f"{'NULL' if a.first_year is None else a.first_year}, {a.needs_volume}"
+    grid = ", ".join(f"('{a.column}', {v!r}e0, {gate(a)})" for a in axes for v in a.values())
     long = " UNION ALL ".join(
         f"SELECT symbol, i, '{col}' AS indicator, CAST({col} AS DOUBLE) AS x FROM {source}" for col in columns
     )
     met = "coalesce(CASE WHEN condition = 'more' THEN x >= value ELSE x <= value END, false)"
     buy, sell = (f"buy AND {met}", "sell") if side == "buy" else ("buy", f"sell OR {met}")
+    silent = ", ".join(f"'{s}'" for s in NO_VOLUME_SYMBOLS)
     return {
         "rows_in": rule_rows(_limits(rule), source=source),
         "trials": f"""SELECT *, row_number() OVER (ORDER BY indicator, condition, value) AS run FROM
-          (VALUES {grid}) AS g(indicator, value), (VALUES ('less'), ('more')) AS d(condition)""",
+          (VALUES {grid}) AS g(indicator, value, first_year, needs_volume), (VALUES ('less'), ('more')) AS d(condition)""",
         "values_in": long,
+        "starts": f"SELECT symbol, year(min(date)) AS start_year FROM {source} GROUP BY 1",
         "trial_rows": f"""SELECT symbol, run, i, date, close, track, {buy} AS buy, {sell} AS sell, odb, days, profit
-          FROM rows_in JOIN values_in USING (symbol, i) JOIN trials USING (indicator)""",
+          FROM rows_in JOIN values_in USING (symbol, i) JOIN trials USING (indicator) JOIN starts USING (symbol)
+          WHERE (first_year IS NULL OR start_year >= first_year) AND NOT (needs_volume AND symbol IN ({silent}))""",
     }
 
 
@@ -423,7 +427,7 @@ def _search(spark, sf, side: str):
 
 
 for _name, _rule, _side in (("swp4_wide_buy_search", TIMED, "buy"), ("swp4_wide_sell_search", "rule20", "sell")):
-    _axes = [a for a in SW.search_axes(_side) if a.first_year is None]
+    _axes = SW.search_axes(_side)
     add(
         _name,
         lambda s, d, side=_side: _sweep_shown(_search(s, d, side), *_TRIAL_COLUMNS),
@@ -436,6 +440,30 @@ for _name, _rule, _side in (("swp4_wide_buy_search", TIMED, "buy"), ("swp4_wide_
             extra=_axis_trials(_rule, _axes, _side, "frame_all") | _trial_blocks(),
         ),
     )
+# Axes behind gates, open and closed ones, on a panel that has symbols without volume.
+_GATED_AXES = [
+    SW.Axis("vfi10", -8, 8, 4, needs_volume=True),
+    SW.Axis("rsi2_breadth", 10, 90, 20, first_year=2003),
+    SW.Axis("rsi14_breadth", 20, 80, 20, first_year=1992),
+]
+
+
+def _gated(spark, sf):
+    rule = RU.RULES[TIMED]
+    wide = _wide(spark, sf, [rule], extra=[a.column for a in _GATED_AXES], bars=I.panel(spark, sf).filter(c("symbol") != "^VIX"))
+    return SW.run_trials(wide, SW.threshold_grid(rule, _GATED_AXES), DEFAULT, _GATED_AXES)
+
+
+add(
+    "swp4_gated_axes",
+    lambda s, d: _sweep_shown(_gated(s, d), *_TRIAL_COLUMNS),
+    sql(
+        "frame_all",
+        f"SELECT symbol, 'buy' AS side, indicator, condition, {r6('value', 'value')}, {_RESULT_COLUMNS} FROM results JOIN trials USING (run)",
+        source="trading_panel",
+        extra=_axis_trials(TIMED, _GATED_AXES, "buy", "frame_all") | _trial_blocks(),
+    ),
+)
 add(
     "swp5_best_trials",
     lambda s, d: _sweep_shown(SW.top_per(_day_sweep(s, d), 5, "symbol"), "days", "profit"),
