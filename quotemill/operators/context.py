@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quotemill.functions.scalars import div, flag
 from quotemill.functions.smoothing import Smoothing, with_smoothings
-from quotemill.functions.windows import rolling
+from quotemill.functions.windows import rolling_mean
 from quotemill.params import CONTEXT_RSI_PERIODS, DEFAULT, LEVEL_TICKERS, RATIO_TICKERS, Params
 
 LEVELS = tuple(LEVEL_TICKERS)
@@ -47,7 +47,7 @@ def levels_and_ratios(panel: DataFrame) -> DataFrame:
 
 def with_regime(context: DataFrame) -> DataFrame:
     """+1 while the 50-session mean of SPY is above the 200-session mean, -1 otherwise."""
-    fast, slow = (rolling(F.col("spy"), n, F.avg, keys=("_series",)) for n in (50, 200))
+    fast, slow = (rolling_mean(F.col("spy"), n, keys=("_series",)) for n in (50, 200))
     return context.withColumn("_series", F.lit("spy")).withColumn("spy_bull", flag(fast > slow)).drop("_series")
 
 

@@ -9,8 +9,6 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
-from functools import reduce
-from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,23 +45,10 @@ def _recur(name: str, kind: str, source: str, *periods: int) -> None:
     RECURRENCES[name] = Smoothing(name, kind, source, periods)
 
 
-# Frames up to this long are summed directly; longer even ones are built from equal parts.
-DIRECT_FRAME = 16
-
-
 def _sum(source: str, n: int) -> str:
-    """Register the rolling sum of a column over n rows; returns its name.
-
-    Spark walks a whole frame anew for every row. A long sum is therefore put together from the short
-    sums that end a part-length apart, which is NULL, as it must be, until n values exist.
-    """
-    part = n
-    while part > DIRECT_FRAME and part % 2 == 0:
-        part //= 2
-    base, name = f"_sum{part}_{source}", f"_sum{n}_{source}"
-    _add(base, source, lambda p: W.rolling_sum(_c(source), part))
-    if part < n:
-        _add(name, base, lambda p: reduce(add, [_c(base), *[W.lag(base, k) for k in range(part, n, part)]]))
+    """Register the rolling sum of a column over n rows; returns its name."""
+    name = f"_sum{n}_{source}"
+    _add(name, source, lambda p: W.rolling_sum(_c(source), n))
     return name
 
 
@@ -72,6 +57,16 @@ def _mean(name: str, source: str, n: int) -> None:
     _add(name, total, lambda p: _c(total) / n)
 
 
+def _rolled(kind: str, source: str, n: int) -> str:
+    """Register a rolling extreme or deviation with the short frames that it is put together from; returns its name."""
+    rolled = W.Rolled(kind, source, n)
+    for part, (needs, build) in rolled.stretches().items():
+        _add(part, needs, lambda p, build=build: build())
+    name = f"_{kind}_{n}_{source}"
+    _add(name, " ".join(rolled.stretches()), lambda p: rolled.column())
+    return name
+
+
 # Bar shape and change.
 _add("pct_change", "close", lambda p: W.pct_change(_c("close")) * p.leverage)
 _add("adjusted_change", "close", lambda p: W.pct_change(_c("close")))
@@ -105,10 +100,10 @@ _add(
 # Moving averages, bands and their gaps.
 for _n in (10, 20, 50, 100, 200):
     _mean(f"sma{_n}", "close", _n)
-_add("_close_spread", "close", lambda p: W.rolling(_c("close"), 20, F.stddev_pop))
+_spread20 = _rolled("std_pop", "close", 20)
 _mean("bb_middle", "close", 20)
-_add("bb_upper", "bb_middle _close_spread", lambda p: _c("bb_middle") + _c("_close_spread") * 2)
-_add("bb_lower", "bb_middle _close_spread", lambda p: _c("bb_middle") - _c("_close_spread") * 2)
+_add("bb_upper", f"bb_middle {_spread20}", lambda p: _c("bb_middle") + _c(_spread20) * 2)
+_add("bb_lower", f"bb_middle {_spread20}", lambda p: _c("bb_middle") - _c(_spread20) * 2)
 for _n in (8, 20, 100):
     _recur(f"ema{_n}", "ema", "close", _n)
 for _a, _b in (
@@ -175,17 +170,17 @@ _add(
     "_typical _typical_before",
     lambda p: F.coalesce(F.ln("_typical") - F.ln("_typical_before"), F.lit(0.0)),
 )
-_add("_log_spread", "_log_move", lambda p: W.rolling_std(_c("_log_move"), 30))
+_log_spread = _rolled("std", "_log_move", 30)
 for _n in (10, 20, 40, 80):
     _mean(f"_volume_mean{_n}", "volume", _n)
 
     def _signed(p: Params, n: int = _n) -> Column:
-        cutoff = _c("_log_spread") * 0.2 * _c("close")
+        cutoff = _c(_log_spread) * 0.2 * _c("close")
         move = _c("_typical") - _c("_typical_before")
         capped = clip_above(_c("volume"), _c(f"_volume_mean{n}") * 2.5)
         return F.when(move > cutoff, capped).when(move < -cutoff, -capped).otherwise(F.lit(0.0))
 
-    _add(f"_signed{_n}", f"_typical _typical_before _log_spread close volume _volume_mean{_n}", _signed)
+    _add(f"_signed{_n}", f"_typical _typical_before {_log_spread} close volume _volume_mean{_n}", _signed)
     _flow = _sum(f"_signed{_n}", _n)
     _add(
         f"_flow{_n}",
@@ -227,15 +222,15 @@ HURST_WINDOW = 100
 HURST_LENGTHS = (10, 17, 31, 56, 100)
 _add("_step", "close", lambda p: W.diff(_c("close")))
 for _n in HURST_LENGTHS:
+    _parts = [_rolled("max", "close", _n), _rolled("min", "close", _n), _rolled("std", "_step", _n - 1)]
 
-    def _rescaled(p: Params, n: int = _n) -> Column:
+    def _rescaled(p: Params, parts: list[str] = _parts) -> Column:
         # Trailing range over trailing step deviation; flat chunks count as missing.
-        ratio = div(
-            W.rolling_max(_c("close"), n) - W.rolling_min(_c("close"), n), W.rolling_std(_c("_step"), n - 1)
-        )
+        high, low, spread = parts
+        ratio = div(_c(high) - _c(low), _c(spread))
         return F.when(ratio != 0, ratio)
 
-    _add(f"_rescaled{_n}", "close _step", _rescaled)
+    _add(f"_rescaled{_n}", " ".join(_parts), _rescaled)
 
     def _chunk_mean(p: Params, n: int = _n) -> Column:
         # Chunks start at the oldest bar of the window; each is a trailing ratio some rows back.

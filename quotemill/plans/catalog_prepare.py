@@ -315,6 +315,53 @@ _window(
     lambda: {"std_5": W.rolling_std(c("close"), 5), "std_30": W.rolling_std(c("close"), 30)},
     {"std_5": roll("close", 5, "stddev_samp"), "std_30": roll("close", 30, "stddev_samp")},
 )
+_LONG = {
+    **{f"{kind}_{n}": W.Rolled(kind, x, n) for kind, x in (("min", "low"), ("max", "high")) for n in (17, 200)},
+    **{f"std_{n}": W.Rolled("std", "close", n) for n in (31, 100)},
+}
+add(
+    "win4_long_extremes_and_deviations",
+    lambda s, d: W.with_rolling(I.bars(s, d), _LONG).select("symbol", "date", *_LONG),
+    sql(
+        "bars",
+        "SELECT symbol, date, "
+        + ", ".join(r6(roll(r.source, r.n, {"std": "stddev_samp"}.get(r.kind, r.kind)), n) for n, r in _LONG.items())
+        + " FROM bars",
+    ),
+)
+_GAPPED = {"sum_17": "volume", "mean_55": "close", "mean_20": "close"}
+
+
+def _long_with_gaps(spark, sf):
+    """Values missing on single days, some closer to each other than the windows are long."""
+    here = ~(F.dayofyear("date") % 47).isin(0, 9)
+    bars = I.raw_bars(spark, sf).withColumns({x: F.when(here, c(x)) for x in ("low", "high", "close", "volume")})
+    sums = {n: (W.rolling_sum if n.startswith("sum") else W.rolling_mean)(c(x), int(n.split("_")[1])) for n, x in _GAPPED.items()}
+    long = {"min_20": W.Rolled("min", "low", 20), "max_33": W.Rolled("max", "high", 33), "std_18": W.Rolled("std", "close", 18)}
+    return W.with_rolling(bars.withColumns(sums), long).select("symbol", "date", *sums, *long)
+
+
+add(
+    "win5_long_windows_gaps",
+    _long_with_gaps,
+    sql(
+        "raw_bars",
+        "SELECT symbol, date, "
+        + ", ".join(
+            r6(roll(x, n, agg), name)
+            for name, x, n, agg in (
+                ("sum_17", "volume", 17, "sum"), ("mean_55", "close", 55, "avg"), ("mean_20", "close", 20, "avg"),
+                ("min_20", "low", 20, "min"), ("max_33", "high", 33, "max"), ("std_18", "close", 18, "stddev_samp"),
+            )
+        )
+        + " FROM gapped",
+        extra={
+            "gapped": "SELECT symbol, date, row_number() OVER (PARTITION BY symbol ORDER BY date) AS i, "
+            + ", ".join(f"CASE WHEN dayofyear(date) % 47 NOT IN (0, 9) THEN {x} END AS {x}" for x in ("low", "high", "close", "volume"))
+            + " FROM raw_bars"
+        },
+    ),
+)
 add(
     "win7_rolling_apply",
     lambda s, d: I.bars(s, d)

@@ -3,13 +3,15 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from quotemill.functions import windows as W
 from quotemill.operators import rules as RU
-from quotemill.operators.indicators import ALL_INDICATORS, closure, with_indicators
+from quotemill.operators.indicators import ALL_INDICATORS, RECURRENCES, closure, with_indicators
 from quotemill.params import DEFAULT
+from quotemill.schema import BAR_COLUMNS
 from tests.conftest import make_bars
 
 CLOSES = [10.0, 11.0, 12.0, 11.0, 10.0, 10.0, 13.0, 14.0, 15.0, 16.0, 15.0, 14.0]
@@ -43,7 +45,7 @@ def test_long_sums_equal_direct_windows(spark):
     closes = (100 + np.cumsum(np.random.default_rng(2).normal(0, 1, 260))).tolist()
     bars = make_bars(spark, closes)
     built = with_indicators(bars, ["sma20", "sma50", "sma100", "sma200"], keep=())
-    direct = bars.withColumns({f"sma{n}": W.rolling_mean(F.col("close"), n) for n in (20, 50, 100, 200)})
+    direct = bars.withColumns({f"sma{n}": W.rolling(F.col("close"), n, F.avg) for n in (20, 50, 100, 200)})
     for n in (20, 50, 100, 200):
         a = [r[0] for r in built.orderBy("date").select(f"sma{n}").collect()]
         b = [r[0] for r in direct.orderBy("date").select(f"sma{n}").collect()]
@@ -51,6 +53,46 @@ def test_long_sums_equal_direct_windows(spark):
         assert [x for x in a if x] == pytest.approx([x for x in b if x], rel=1e-12)
 
 
+@pytest.mark.parametrize("n", [2, 16, 17, 30, 101, 200])
+def test_long_windows_equal_pandas(spark, n):
+    """With missing values, flat stretches and large numbers."""
+    rng = np.random.default_rng(n)
+    closes = 1e4 + np.cumsum(rng.normal(0, 1, 420)).round(2)
+    closes[230:] = closes[230]
+    gaps = [None if k in (3, 60, 75) else float(x) for k, x in enumerate(closes)]
+    bars = make_bars(spark, closes.tolist()).orderBy("date")
+    days_of = [r.date for r in bars.select("date").collect()]
+    frame = spark.createDataFrame([("AAA", d, x) for d, x in zip(days_of, gaps)], "symbol string, date date, x double")
+    kinds = {"min": "min", "max": "max", "std": "std"}
+    got = W.with_rolling(frame.withColumns({"sum": W.rolling_sum(F.col("x"), n), "mean": W.rolling_mean(F.col("x"), n)}), {k: W.Rolled(k, "x", n) for k in kinds})
+    rows = got.orderBy("date").collect()
+    want = pd.Series(gaps, dtype=float).rolling(n)
+    for kind in ("sum", "mean", "min", "max"):
+        expected = getattr(want, kind)().tolist()
+        assert [r[kind] is None for r in rows] == [math.isnan(x) for x in expected]
+        assert [r[kind] for r in rows if r[kind] is not None] == pytest.approx([x for x in expected if not math.isnan(x)], rel=1e-13)
+    # A slow, two-pass deviation: pandas' own rolls on.
+    for k, r in enumerate(rows):
+        part = gaps[max(0, k - n + 1) : k + 1]
+        if len(part) < n or None in part:
+            assert r["std"] is None
+        else:
+            assert r["std"] == pytest.approx(np.std(part, ddof=1), rel=1e-9, abs=1e-11)
+
+
+def test_reach_covers_what_decides_a_flag(spark):
+    """Flags of the last bar are the same from the last `rule_reach` bars before it as from all of them."""
+    closes = (100 + np.cumsum(np.random.default_rng(9).normal(0, 1, 300))).tolist()
+    bars = make_bars(spark, closes)
+    for name in ("rule02", "rule13", "rule14"):
+        rule = RU.RULES[name]
+        whole = with_indicators(bars, sorted(set(rule.needs) | {"pct_change", "volume", "high", "low", "open"} | set(rule.needs)), keep=BAR_COLUMNS)
+        smoothed = [c for c in whole.columns if c in RECURRENCES]
+        tail = whole.orderBy(F.desc("date")).limit(RU.rule_reach([rule]) + 1).select(*BAR_COLUMNS, *smoothed)
+        last = [RU.with_rules(x, [rule]).orderBy(F.desc("date")).first() for x in (bars, tail)]
+        assert last[0] == last[1]
+
+
 def test_weighted_mean_against_a_loop(spark):
     closes = (100 + np.cumsum(np.random.default_rng(4).normal(0, 1, 150))).tolist()
     for span in (3, 19):
