@@ -19,8 +19,9 @@ from quotemill.functions.scalars import div
 KEYS: tuple[str, ...] = ("symbol",)
 # Weights below this share of the newest one cannot change a double.
 NEGLIGIBLE = 1e-17
-# Frames up to this long are walked directly; longer ones are put together.
-DIRECT_FRAME = 16
+# Sums over more rows are differences of running sums; extremes and deviations over more are put together. As measured:
+# a running sum costs as much as a frame of some 16 rows, a lookup of an earlier row as much as 6 rows of a frame.
+DIRECT_FRAME, DIRECT_ROLLED, LOOKUP = 16, 64, 6
 # Values are split at multiples of 1 / FINE for exact sums.
 FINE = float(1 << 20)
 
@@ -120,7 +121,7 @@ class Rolled:
     """A long rolling extreme or deviation of a column, put together from short frames that end some rows apart.
 
     `kind` is min, max, std (of a sample) or std_pop. The n rows are `count` stretches of `size` rows and one of `rest`;
-    each is aggregated once per row, in a frame of its own, and looked up where it ends. So a row costs some 2 * sqrt(n) reads.
+    each is aggregated once per row, in a frame of its own, and looked up where it ends. So a row costs some 5 * sqrt(n) reads.
     Deviations combine the stretches' variances and the distances of their means from the newest one's, so nothing large
     cancels.
     """
@@ -131,7 +132,7 @@ class Rolled:
 
     @property
     def size(self) -> int:
-        return self.n if self.n <= DIRECT_FRAME else math.isqrt(self.n - 1) + 1
+        return self.n if self.n <= DIRECT_ROLLED else math.isqrt(LOOKUP * self.n - 1) + 1
 
     @property
     def count(self) -> int:

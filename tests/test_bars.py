@@ -11,7 +11,8 @@ from quotemill.operators.context import attach_context, build_context, context_r
 from quotemill.operators.positions import bad_bars
 from quotemill.sources import bars as B
 from quotemill.sources.calendar import weekday_calendar
-from quotemill.sources.sinks import save_bucketed_bars, write_bars, write_positions
+from quotemill.sources import sinks
+from quotemill.sources.sinks import read_positions, save_bucketed_bars, write_bars, write_positions
 from tests.conftest import days, make_bars
 
 
@@ -126,15 +127,21 @@ def test_sinks(spark, tmp_path):
         path = str(tmp_path / kind)
         write_positions(bars, path, kind)
         write_positions(bars, path, kind)
-        assert spark.read.format(kind).option("header", "true").load(path).count() == 19
+        assert read_positions(spark, path).count() == 19
         # Another rule and another symbol go beside what is there; a pair given again is replaced.
         other = bars.withColumn("signal", F.lit("other"))
         write_positions(other, path, kind)
         write_positions(bars.withColumn("symbol", F.lit("ELSE")), path, kind)
         write_positions(other.limit(5), path, kind)
-        stored = spark.read.format(kind).option("header", "true").load(path)
+        stored = read_positions(spark, path)
+        assert stored.dtypes == bars.dtypes
         counts = {(r.signal, r.symbol == "ELSE"): r["count"] for r in stored.groupBy("signal", "symbol").count().collect()}
         assert sorted(counts.values()) == [5, 19, 19] and counts[("other", False)] == 5
+        assert read_positions(spark, path, ["other"]).select("signal").distinct().collect() == [("other",)]
+        with pytest.raises(ValueError, match="buckets"):
+            write_positions(bars, path, kind, buckets=4)
+        with pytest.raises(ValueError, match="columns"):
+            write_positions(bars.drop("open"), path, kind)
     spark.sql("DROP TABLE IF EXISTS bucketed_bars")
     save_bucketed_bars(bars.drop("signal"), "bucketed_bars", 4)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
@@ -147,6 +154,54 @@ def test_sinks(spark, tmp_path):
         spark.sql("DROP TABLE bucketed_bars")
 
 
+def test_a_write_that_dies_leaves_the_old_results(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "results")
+    bars = make_bars(spark, [float(x) for x in range(1, 20)]).withColumn("signal", F.lit("a b/ü"))
+    assert read_positions(spark, path).collect() == []
+    write_positions(bars, path)
+    old = sorted(map(tuple, read_positions(spark, path).collect()))
+    broken = bars.withColumn("close", F.when(F.col("close") < 10, F.raise_error(F.lit("gone")).cast("double")).otherwise(0.0))
+    with pytest.raises(Exception, match="gone"):
+        write_positions(broken, path)
+    assert sorted(map(tuple, read_positions(spark, path).collect())) == old
+
+    # Dead after the rows are written, before the switch; the next write and the clean-up see nothing of it.
+    monkeypatch.setattr(sinks.Manifest, "switch", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        write_positions(bars.withColumn("close", F.lit(0.0)), path)
+    monkeypatch.undo()
+    assert sorted(map(tuple, read_positions(spark, path).collect())) == old
+    write_positions(bars.withColumn("signal", F.lit("other")), path)
+    reader = read_positions(spark, path)
+    writes = lambda: sorted(x.name for x in (tmp_path / "results" / "data").iterdir())
+    assert len(writes()) == 4
+    sinks.forget_old(spark, path)
+    assert len(writes()) == 2 and reader.count() == 38
+
+    # Two writes built on one version: the second is refused.
+    manifest = sinks.Manifest(spark, path)
+    version, state = manifest.current()
+    manifest.switch(version, state)
+    with pytest.raises(RuntimeError, match="came first"):
+        manifest.switch(version, {"folders": {}})
+    assert manifest.current() == (version + 1, state)
+
+
+def test_the_sink_computes_its_frame_once(spark, tmp_path):
+    path, seen = str(tmp_path / "results"), spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    bars = make_bars(spark, [float(x) for x in range(1, 20)]).withColumn("signal", F.lit("r"))
+    for k in (1, 2):
+        write_positions(bars.mapInPandas(count, bars.schema), path)
+        assert seen.value == 19 * k
+    assert read_positions(spark, path).count() == 19
+
+
 def test_csv_is_read_by_header(spark, tmp_path):
     path = str(tmp_path / "x.csv")
     (tmp_path / "x.csv").write_text("Date,Close,Volume,Open,High,Low,Adj Close\n2024-01-02,4,5,1,3,,9\n")

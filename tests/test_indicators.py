@@ -53,7 +53,7 @@ def test_long_sums_equal_direct_windows(spark):
         assert [x for x in a if x] == pytest.approx([x for x in b if x], rel=1e-12)
 
 
-@pytest.mark.parametrize("n", [2, 16, 17, 30, 101, 200])
+@pytest.mark.parametrize("n", [2, 16, 17, 64, 65, 101, 200])
 def test_long_windows_equal_pandas(spark, n):
     """With missing values, flat stretches and large numbers."""
     rng = np.random.default_rng(n)
