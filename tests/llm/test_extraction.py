@@ -61,10 +61,12 @@ def test_latent_candidates_hold_what_exact_cosine_finds(spark, small):
     latent = np.array([v @ space[t] for t, v in queries])
     found = exact = 0
     for r in raws.collect():
-        ids = terms.of(decontaminate.words(bytes(r.raw)))
+        tokens = decontaminate.words(bytes(r.raw))
+        ids = terms.of(tokens)
         if not len(ids):
             continue
-        vectors, size = decontaminate.project(ids, space * idf[:, None], idf)
+        every = np.arange(-(-len(tokens) // decontaminate.BLOCK))
+        vectors, size = decontaminate.project(tokens, every, terms, space * idf[:, None], idf)
         near = vectors @ latent.T >= decontaminate.COSINE * np.maximum(size, 1e-9)[:, None]
         for b in range(len(size)):
             t, v = decontaminate._row(ids[b * decontaminate.BLOCK : (b + decontaminate.SPAN) * decontaminate.BLOCK], idf)
@@ -77,6 +79,35 @@ def test_latent_candidates_hold_what_exact_cosine_finds(spark, small):
     assert exact > 10 and found >= 0.9 * exact
 
 
+def test_leaks_equal_brute_force(spark, small):
+    """Every passage against every piece by the common subsequence alone, without an index, a space or a cosine."""
+    items = [decontaminate.Item(r.item_id, r.text) for r in table(spark, SMALL, "benchmark").collect()]
+    got = {(r.doc_id, r.item_id): r.matched for r in decontaminate.decontaminate(small, table(spark, SMALL, "benchmark")).collect()}
+    sure, likely = set(), {}
+    for r in small.collect():
+        tokens = decontaminate.words((r.text or "").encode())
+        for item in items:
+            masks, own = [decontaminate.places(p) for p in item.pieces], set(item.tokens)
+            if sum(w in own for w in set(tokens)) < 0.3 * len(own):
+                continue
+            best = [
+                max((decontaminate.common(m, len(p), tokens[at : at + 96]) for at in range(0, len(tokens), 32)), default=0)
+                for m, p in zip(masks, item.pieces)
+            ]
+            covered = sum(best) / len(item.tokens)
+            if covered >= decontaminate.SURE:
+                sure.add((r.doc_id, item.item_id))
+            if covered >= decontaminate.LIKELY:
+                likely[r.doc_id, item.item_id] = sum(best)
+    assert sure and sure <= set(got)
+    assert all(likely.get(k) == matched for k, matched in got.items())
+
+
+def test_long_answers_count_whole():
+    item = decontaminate.Item(1, "Short question? " + " ".join(f"a{k}" for k in range(200)))
+    assert len(item.answer) == 200
+
+
 def test_thousands_of_items_are_found(spark, small):
     """More pieces than the space has directions: every span of a document leaks into it."""
     rng = np.random.default_rng(3)
