@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quotemill.llm.common import BLANKS, partitions
+from quotemill.llm.common import BLANKS, partitions, stored
 
 KEY = ["__digest", "__check", "__size"]
 
@@ -66,19 +66,23 @@ def merge_runs(keyed: DataFrame, runs: int, fan_in: int) -> DataFrame:
     return level.drop("__run")
 
 
-def resolved(docs: DataFrame, fan_in: int = 8) -> DataFrame:
-    """`docs`, all columns, with __best (the winner) and __count of its group; partitioned by leaf run and digest."""
-    runs = run_count(docs, fan_in)
-    keyed = with_digest(docs, runs)
-    winners = merge_runs(keyed, runs, fan_in)
-    leaves = keyed.select("__run", *KEY).distinct().join(winners, KEY)
-    return keyed.join(leaves, ["__run", *KEY])
+def leaf_winners(digests: DataFrame, runs: int, fan_in: int) -> DataFrame:
+    """The winner and the count of every digest at every leaf that holds it."""
+    winners = merge_runs(digests, runs, fan_in)
+    return digests.select("__run", *KEY).distinct().join(winners, KEY)
+
+
+def digest_rows(docs: DataFrame, runs: int) -> DataFrame:
+    """The digest key, length, leaf run and id of every row, stored: texts are read and hashed once for all rounds."""
+    return stored(with_digest(docs.select("doc_id", "text"), runs).drop("text"))
 
 
 def exact_dedup(docs: DataFrame, fan_in: int = 8) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
+    runs = run_count(docs, fan_in)
+    digests = digest_rows(docs, runs)
     keep = F.col("__best.id")
-    return resolved(docs.select("doc_id", "text"), fan_in).select(
+    return digests.join(leaf_winners(digests, runs, fan_in), ["__run", *KEY]).select(
         "doc_id",
         keep.alias("keep_id"),
         F.col("__count").alias("group_size"),
@@ -92,7 +96,9 @@ def keep_one(docs: DataFrame, fan_in: int = 8) -> DataFrame:
 
     Repeats of the winner lie in one partition, sorted by the key, so the last step moves no rows.
     """
-    rows = resolved(docs, fan_in)
+    runs = run_count(docs, fan_in)
+    found = leaf_winners(digest_rows(docs, runs), runs, fan_in)
+    rows = with_digest(docs, runs).join(found, ["__run", *KEY])
     won = F.col("doc_id").cast("long").eqNullSafe(F.col("__best.id")) & (F.col("__chars") == -F.col("__best.chars"))
     return rows.where(won).dropDuplicates(["__run", *KEY]).select(*docs.columns)
 

@@ -5,11 +5,12 @@ of that family apart. Families are told apart by machines of the same kind. The
 to three letters, word bounds included, over the whole text, square-rooted and scaled to length one.
 
 Every machine is fitted in a task of its own on at most about `per_language` texts of each of its languages, drawn
-by a hash of the id in the same share everywhere (the bound is in expectation). At most `max_languages` languages
-are learned, the most frequent ones. Prediction reads the text alone.
+by a hash of the id in the same share everywhere (the bound is in expectation). Every language that has a text with a
+letter is learned, so the model grows with the number of languages, and with the square of those of one family. Prediction
+reads the text alone.
 
 Defined results: a null text, a text without letters, and any text when no language could be learned give `und`
-with score 0. Ties between languages go to the first in alphabetical order. Rows with a null id are never learned
+with score 0; in the last case `keep_known` keeps all texts that have a letter, since nothing speaks against them. Ties between languages go to the first in alphabetical order. Rows with a null id are never learned
 from and count as not held out. Repeated rows get equal results; an empty table gives no rows.
 """
 
@@ -28,7 +29,7 @@ from quotemill.session import ship_package
 
 UNKNOWN = "und"
 WIDTH = 1 << 12
-#: Characters looked at together; longer texts are counted in pieces that overlap by two.
+#: Characters looked at together; longer texts are counted piece by piece, to the same counts.
 PIECE = 1 << 20
 STEEPNESS = 4.0
 
@@ -60,27 +61,40 @@ def letters() -> np.ndarray:
 
 def features(text: str | None) -> np.ndarray | None:
     """The feature vector of a whole text, or None if it has no letter."""
-    counts, seen, low = np.zeros(WIDTH, dtype=np.int64), False, text or ""
-    for at in range(0, len(low), PIECE):
-        codes = np.frombuffer(low[max(0, at - 2) : at + PIECE].lower().encode("utf-32-le", "replace"), dtype="<u4")
+    counts, low = np.zeros(WIDTH, dtype=np.int64), (text or "").lower()
+    # The last two codes so far, and how many there are; a text begins with a gap.
+    last, known, in_word, seen = np.zeros(2, dtype=np.uint32), 1, False, False
+    for at in range(0, len(low) + 1, PIECE):
+        codes = np.frombuffer(low[at : at + PIECE].encode("utf-32-le", "replace"), dtype="<u4")
         is_letter = letters()[codes]
-        if not is_letter.any():
-            continue
-        seen = True
+        seen = seen or bool(is_letter.any())
         codes = np.where(is_letter, codes, 0).astype(np.uint32)
         # One gap between words, and one at either end.
-        codes = np.concatenate(([0], codes[is_letter | np.concatenate(([False], is_letter[:-1]))], [0])).astype(np.uint32)
+        codes = codes[is_letter | np.concatenate(([in_word], is_letter[:-1]))[: len(codes)]]
+        in_word = bool(is_letter[-1]) if len(is_letter) else in_word
+        if at + PIECE > len(low):
+            codes = np.append(codes, np.uint32(0))
+        if not at:
+            counts += _counted(np.zeros(1, dtype=np.uint32) * np.uint32(0x9E3779B1))
+        codes = np.concatenate((last[2 - known :], codes)).astype(np.uint32)
         one = codes * np.uint32(0x9E3779B1)
         two = (one[:-1] ^ (one[:-1] >> np.uint32(15))) * np.uint32(0x85EBCA6B) + codes[1:] * np.uint32(0xC2B2AE35)
         three = (two[:-1] ^ (two[:-1] >> np.uint32(13))) * np.uint32(0x27D4EB2F) + codes[2:] * np.uint32(0x165667B1)
-        for h in (one, two, three):
-            counts += np.bincount((h ^ (h >> np.uint32(16))) & np.uint32(WIDTH - 1), minlength=WIDTH)
+        # Only what ends behind the codes that were carried over is new.
+        for h in (one[known:], two[known - 1 :], three[max(0, known - 2) :]):
+            counts += _counted(h)
+        known = min(2, len(codes))
+        last[2 - known :] = codes[len(codes) - known :]
     if not seen:
         return None
     root = np.sqrt(counts).astype(np.float32)
     return root / np.linalg.norm(root)
 
 
+def _counted(h: np.ndarray) -> np.ndarray:
+    return np.bincount((h ^ (h >> np.uint32(16))) & np.uint32(WIDTH - 1), minlength=WIDTH)
+
+
 def fit_machine(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, rounds: int = 300) -> np.ndarray:
     """Weights and offset of a linear support vector machine (squared hinge, classes weighted alike), y in -1, 1."""
     x = np.hstack([x.astype(np.float32), np.ones((len(x), 1), dtype=np.float32)])
@@ -134,13 +148,12 @@ class Model:
         return out
 
 
-def fit(learnable: DataFrame, per_language: int = 600, max_languages: int = 100, least: int = 3) -> Model:
+def fit(learnable: DataFrame, per_language: int = 600) -> Model:
     """Fit on rows (doc_id, text, lang), all of which may be learned from."""
     spark = learnable.sparkSession
     ship_package(spark)
     rows = learnable.where("doc_id IS NOT NULL AND lang IS NOT NULL")
-    sizes = rows.groupBy("lang").count().where(F.col("count") >= least).orderBy(F.desc("count"), "lang").limit(max_languages)
-    sizes = {r["lang"]: r["count"] for r in sizes.collect()}
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
         return Model({}, [])
     share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, per_language / n)))])
@@ -198,6 +211,8 @@ def language_id(docs: DataFrame, per_language: int = 600) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, per_language: int = 600) -> DataFrame:
-    """The rows of `docs`, all columns, whose language is not `und`."""
+    """The rows of `docs`, all columns, whose language is not `und`; without a label to learn from, those with a letter."""
     model = fit(learnable(docs), per_language)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     return docs.withColumn("__guess", predictor(model, docs)).where(F.col("__guess.lang") != UNKNOWN).select(*docs.columns)

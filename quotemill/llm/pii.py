@@ -138,8 +138,9 @@ def with_base(docs: DataFrame) -> DataFrame:
     df = df.withColumn("base", F.array_sort(F.concat(*KINDS))).drop(*KINDS)
     df = places(df, "instance", INSTANCE, numeric | F.contains(F.col("text"), F.lit("@")))
     gap = lambda i: F.element_at("instance_gaps", i)
-    before = lambda i, n: F.lower(F.regexp_extract(F.right(gap(i), F.lit(80)), rf"((?:[^{SPACE}]+[{SPACE}]+){{{n}}})$", 1))
-    after = lambda i: F.lower(F.regexp_extract(F.left(gap(i), F.lit(60)), rf"^[{SPACE}]+([^{SPACE}]+)", 1))
+    # The gap is read backwards, so that its last words are found from its start, however long it is.
+    before = lambda i, n: F.lower(F.reverse(F.regexp_extract(F.reverse(gap(i)), rf"^((?:[{SPACE}]++[^{SPACE}]++){{{n}}})", 1)))
+    after = lambda i: F.lower(F.regexp_extract(gap(i), rf"^[{SPACE}]++([^{SPACE}]++)", 1))
     contexts = F.transform(
         "instance",
         lambda s, i: F.struct(

@@ -18,6 +18,8 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
+from operator import eq
 from itertools import combinations
 
 import numpy as np
@@ -33,8 +35,6 @@ FEATURES = (
     "byte_entropy", "ends_signed", "sentence_words",
 )
 THRESHOLD = 0.3
-#: Words whose counts are held at a time; shares are averaged over such runs, weighted by their words.
-RUN = 1 << 18
 
 _UPPER = np.arange(65, 91)
 _DIGIT = np.arange(48, 58)
@@ -51,17 +51,13 @@ def features(raw: bytes) -> list[float]:
     some = share[share > 0]
     words = raw.split()
     n = len(words)
-    distinct = top = repeats = same = capitals = signed = 0.0
-    for at in range(0, n, RUN):
-        run = words[at : at + RUN]
-        counts = Counter(run)
-        distinct += len(counts)
-        top += max(counts.values())
-        repeats += sum(a == b for a, b in zip(run, run[1:]))
-        lengths = np.fromiter(map(len, run), np.int64, len(run))
-        same += float((lengths[1:] == lengths[:-1]).sum())
-        capitals += sum(map(bytes.isupper, run))
-        signed += sum(not (w[-1] in b".," or 48 <= w[-1] <= 57 or 65 <= w[-1] <= 90 or 97 <= w[-1] <= 122 or w[-1] >= 128) for w in run)
+    counts = Counter(words)
+    distinct, top = float(len(counts)), float(max(counts.values(), default=0))
+    repeats = float(sum(map(eq, words, islice(words, 1, None))))
+    lengths = np.fromiter(map(len, words), np.int64, n)
+    same = float((lengths[1:] == lengths[:-1]).sum())
+    capitals = float(sum(map(bytes.isupper, words)))
+    signed = float(sum(not (w[-1] in b".," or 48 <= w[-1] <= 57 or 65 <= w[-1] <= 90 or 97 <= w[-1] <= 122 or w[-1] >= 128) for w in words))
     lines = [x for x in raw.split(b"\n") if x]
     count = max(n, 1)
     stops = max(int(hist[46]), 1)

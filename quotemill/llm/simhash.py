@@ -148,12 +148,13 @@ def keep_one(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
     Whole texts are moved once, with their fingerprint, and only those whose fingerprint has the component's first id.
     """
     prints = stored(with_fingerprint(docs.select("doc_id", "text"), words).select("doc_id", "__fp"))
-    kept = attach(prints, _grouped(prints, radius), ["__fp"], F.col("doc_id"))
+    grouped = stored(_grouped(prints, radius))
+    kept = attach(prints, grouped, ["__fp"], F.col("doc_id"))
     gone = kept.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
     again = prints.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("__gone"))
     rest = docs.join(gone.unionByName(again).distinct(), docs.doc_id.eqNullSafe(F.col("__gone")), "left_anti")
     # Ids that occur on several rows are settled by row: one per id and fingerprint.
     repeats = docs.join(again, docs.doc_id.eqNullSafe(F.col("__gone")), "left_semi")
-    repeats = attach(with_fingerprint(repeats, words), _grouped(prints, radius), ["__fp"], F.col("doc_id"))
+    repeats = attach(with_fingerprint(repeats, words), grouped, ["__fp"], F.col("doc_id"))
     repeats = repeats.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).dropDuplicates(["doc_id", "__fp"])
     return rest.unionByName(repeats.select(*docs.columns))

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -339,6 +340,16 @@ def test_contexts_find_unseen_numbers(spark):
     assert all(got[i].spans == "" for i in range(21, 28)) and got[0].n_phone == 1
 
 
+def test_contexts_reach_over_long_gaps(spark):
+    """Long neighbours and runs of white space are read whole, and cost no more than their length."""
+    long, wide = "x" * 300, " " * 500
+    texts = [f"{long} hotline{wide}+1 (555) 100-{i:04d}{wide}now" for i in range(20)] + [f"{long} hotline{wide}555-867-5309{wide}now"]
+    texts.append("a" * 200_000 + " 1 " + "b " * 50_000 + "2")
+    got = {r.doc_id: r for r in pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    at = texts[20].index("555-867")
+    assert got[20].spans == f"phone:{at}:{at + 12}" and got[21].spans == ""
+
+
 def test_personal_data_is_native(spark, small):
     rows = pii.with_base(small)
     assert not re.search("Python|Pandas|Arrow", rows._jdf.queryExecution().executedPlan().toString())
@@ -380,6 +391,19 @@ NOTICES = {
 }
 
 
+def test_many_matches_in_one_text(spark):
+    """Work grows with the matches, not with their square."""
+    n = 80_000
+    text = "cc by all rights reserved " * (n // 2)
+    start = time.perf_counter()
+    row = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string").coalesce(1)).first()
+    assert time.perf_counter() - start < 20
+    assert (row.n_words, row.n_base, row.first_word, row.last_word) == (n // 2 * 5, n, 0, n // 2 * 5 - 3)
+    small = " " + "cc by all rights reserved " * 30
+    assert [(a, b, r.label) for a, b, r in licenses.rule_matches(small, licenses.automaton())] == plain_matches(small)
+    assert [(m.start, m.end) for m in row.matches[:2]] == [(0, 2), (2, 5)]
+
+
 def test_rules_suppress_and_gate(spark):
     gate = licenses.automaton()
     assert len(licenses.RULES) > 300

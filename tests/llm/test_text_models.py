@@ -40,12 +40,63 @@ def test_language_id_of_odd_rows(odd, none):
     assert {r.lang_pred for r in language.language_id(unlabelled).collect()} == {"und"}
 
 
-def test_features_do_not_depend_on_pieces(monkeypatch):
-    text = "Der Wolf, ÜBER alles; " * 50 + "…"
-    whole = language.features(text)
-    monkeypatch.setattr(language, "PIECE", 97)
-    cut = language.features(text)
-    assert np.corrcoef(whole, cut)[0, 1] > 0.99
+@pytest.mark.parametrize("piece", [1, 2, 3, 7, 64])
+def test_features_do_not_depend_on_pieces(monkeypatch, piece):
+    texts = ["", "a", "ab", "Straße, 12 ÉTÉ!  x", "word " * 40, "12 !!", " a b  c ", "ΟΔΟΣ ΣΑΣ", "".join(chr(97 + i * i % 26) + " " * (i % 3) for i in range(64))]
+    whole = [language.features(t) for t in texts]
+    monkeypatch.setattr(language, "PIECE", piece)
+    for text, want in zip(texts, whole):
+        got = language.features(text)
+        assert (got is None) == (want is None) == (not any(map(str.isalpha, text)))
+        if want is not None:
+            np.testing.assert_array_equal(got, want)
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    """More than a hundred languages with a single text each, in eleven families."""
+    signs = "abcdefghijklmnopqrstuvwxyz"
+    codes = [f"{a}{b}x" for a in signs[:11] for b in signs[:10]]
+    monkeypatch.setattr(language, "FAMILY_OF", {code: code[0] for code in codes})
+    rows = [(i, f"{code} {code[::-1]} " * 5, code) for i, code in enumerate(codes)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == sorted(codes)
+    got = [lang for lang, _ in model.predict([t for _, t, _ in rows])]
+    assert sum(a == c for a, (_, _, c) in zip(got, rows)) >= 0.9 * len(rows)
+
+
+def test_nothing_to_learn_keeps_what_has_letters(spark):
+    rows = [(i, f"plain words {i}", None) for i in range(50)] + [(90, "12 !!", None), (91, "", None), (92, None, None), (93, "ж", None)]
+    kept = language.keep_known(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert {r.doc_id for r in kept.collect()} == {*range(50), 93}
+
+
+def test_machines_separate_and_vote():
+    """A machine against its loss by small steps in every direction; the vote against sums written out."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(0, 1, (60, 5)).astype(np.float32)
+    y = np.where(x @ np.array([1, -2, 0.5, 0, 0]) + 0.3 * rng.normal(0, 1, 60) > 0, 1, -1).astype(np.float32)
+    w = language.fit_machine(x, y, rounds=3000).astype(float)
+
+    def loss(v):
+        full = np.hstack([x, np.ones((60, 1))])
+        share = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y < 0).sum())
+        return 0.5e-3 * v @ v + (share * np.maximum(0, 1 - y * (full @ v)) ** 2).sum()
+
+    for k in range(6):
+        for step in (-0.01, 0.01):
+            moved = w.copy()
+            moved[k] += step
+            assert loss(moved) > loss(w)
+    model = language.Model({}, ["de", "en", "nl"])
+    margin = {("language", "de", "en"): 1.0, ("language", "de", "nl"): -0.2, ("language", "en", "nl"): 0.4}
+    odds = {k: 1 / (1 + np.exp(-4 * v)) for k, v in margin.items()}
+    total = {
+        "de": odds["language", "de", "en"] + odds["language", "de", "nl"],
+        "en": 1 - odds["language", "de", "en"] + odds["language", "en", "nl"],
+        "nl": 2 - odds["language", "de", "nl"] - odds["language", "en", "nl"],
+    }
+    name = max(total, key=total.get)
+    assert model.choose("language", ["de", "en", "nl"], margin) == (name, pytest.approx(total[name] / 2))
 
 
 def test_families_come_first():
@@ -77,6 +128,17 @@ def test_quality_of_odd_rows(spark, odd, none):
     assert quality.quality(none, labels).count() == 0
 
 
+def test_features_of_long_texts_are_those_of_short_ones():
+    """Counts over a whole text, whatever its length, against their plain definitions."""
+    words = [b"w%d" % (i * i % 1000) for i in range(280_000)]
+    found = dict(zip(quality.FEATURES, quality.features(b" ".join(words)), strict=True))
+    assert found["distinct"] == len(set(words)) / len(words)
+    assert found["top_word"] == max(Counter(words).values()) / len(words)
+    assert found["repeat_next"] == sum(a == b for a, b in zip(words, words[1:])) / len(words)
+    assert found["same_length"] == sum(len(a) == len(b) for a, b in zip(words, words[1:])) / len(words)
+    assert dict(zip(quality.FEATURES, quality.features(b""), strict=True))["distinct"] == 0
+
+
 def test_additive_model_learns_shapes_and_pairs():
     rng = np.random.default_rng(2)
     x = rng.random((4000, 4))
