@@ -53,7 +53,7 @@ def test_latent_candidates_hold_what_exact_cosine_finds(spark, small):
     """Recall of the index: pieces of items against all passages, by brute-force TF-IDF cosine."""
     items = [decontaminate.Item(r.item_id, r.text) for r in table(spark, SMALL, "benchmark").collect()]
     raws = decontaminate.texts(small)
-    frequency, count, sample = decontaminate.statistics(raws, 2000)
+    frequency, count, sample, *_ = decontaminate.statistics(raws, 2000)
     idf = decontaminate.weights(frequency, count)
     terms = decontaminate.Terms()
     pieces = [terms.of(p) for i in items for p in i.pieces]
@@ -104,6 +104,19 @@ def test_leaks_equal_brute_force(spark, small):
     assert all(likely.get(k) == matched for k, matched in got.items())
 
 
+def test_statistics_count_documents(spark, small, monkeypatch):
+    """Counts settled many times over are the plain ones."""
+    raws, vocabulary = decontaminate.texts(small), frozenset([b"the", b"of", b"absent"])
+    texts = [decontaminate.words(bytes(r.raw)) for r in raws.collect()]
+    monkeypatch.setattr(decontaminate, "HELD", 50)
+    frequency, count, _, seen, _ = decontaminate.statistics(raws, 100, vocabulary)
+    each, terms = Counter(w for t in texts for w in set(t)), decontaminate.Terms()
+    want = np.zeros(decontaminate.WIDTH)
+    np.add.at(want, terms.of(list(each)), list(each.values()))
+    assert count == len(texts) and (frequency == want).all()
+    assert seen(b"the") == each[b"the"] > 0 and seen(b"absent") == 0
+
+
 def test_long_answers_count_whole():
     item = decontaminate.Item(1, "Short question? " + " ".join(f"a{k}" for k in range(200)))
     assert len(item.answer) == 200
@@ -134,7 +147,9 @@ def test_shared_words_find_all_that_brute_force_finds():
         return [b"w%d" % int(x) for x in rng.zipf(1.3, n) % 400]
 
     pieces = [text(int(rng.integers(5, 65))) for _ in range(300)]
-    shared = decontaminate.Shared(pieces, 0.6, rng.integers(0, 50, decontaminate.WIDTH).astype(float))
+    seen = rng.integers(0, 50, 400).tolist()
+    shared = decontaminate.Shared(pieces, 0.6, lambda w: seen[int(w[1:])], [text(96) for _ in range(50)])
+    assert len(set(shared.least.tolist())) > 2
     least = 0
     for _ in range(20):
         tokens = text(150)
