@@ -15,6 +15,7 @@ from quotemill.plans.oracle_parts import log_growth as log_sql
 from quotemill.plans.oracle_parts import needs_context, r6, rule_source, six, sql
 from quotemill.plans.registry import add, log_growth
 from quotemill.session import work_folder
+from quotemill.sources.increments import accept_late, add_delivery, late_records, partials, stored_bars, stream_records
 from quotemill.streaming.bars import drain, stream_bar_table, stream_bars
 from quotemill.streaming.monitor import read_monitor, run_monitor
 from quotemill.streaming.smoothing import stream_smoothings
@@ -71,6 +72,73 @@ def _delivered(spark, bars: DataFrame):
         yield stream_bar_table(spark, source)
 
 
+# Records in three deliveries by time, some of them one delivery behind; a record may change a day of the last three.
+PATIENCE = 3
+_BEHIND = 10
+
+
+def _record() -> dict:
+    """How an event makes a bar."""
+    return dict(symbol=c("event_type"), time=c("ts"), price=c("value") / 10 + 100, size=F.lit(1.0), order=I.event_bars_order())
+
+
+def _taken_in(spark, sf_dir: str, patience: int | None) -> str:
+    """A store that has taken the deliveries from a stream, the last of them twice."""
+    events, source, path = I.table(spark, sf_dir, "events"), _fresh(spark, "records"), _fresh(spark, "kept-bars")
+    day = F.to_date("ts")
+    first, last = events.agg(F.min(day), F.max(day)).first()
+    cuts = [first + (last - first) * k / 3 for k in (1, 2)]
+    third = (day > cuts[0]).cast("int") + (day > cuts[1]).cast("int")
+    number = F.least(F.lit(2), third + (c("event_id") % _BEHIND == 3).cast("int"))
+    for k in range(3):
+        events.where(number == k).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(events.schema).parquet(source)
+        stream_records(stream, path, path + "-checkpoint", patience, **_record())
+    add_delivery(partials(events.where(number == 2), **_record()), path, 2, patience)
+    return path
+
+
+_DELIVERED = {
+    "numbered": f"""SELECT *, CAST(ts AS DATE) AS day, least(2, CAST(CAST(ts AS DATE) > f + CAST(floor((l - f) / 3) AS INTEGER) AS INTEGER)
+        + CAST(CAST(ts AS DATE) > f + CAST(floor((l - f) * 2 / 3) AS INTEGER) AS INTEGER) + CAST(event_id % {_BEHIND} = 3 AS INTEGER)) AS delivery
+      FROM events, (SELECT min(CAST(ts AS DATE)) AS f, max(CAST(ts AS DATE)) AS l FROM events)""",
+    "newest": "SELECT k AS delivery, (SELECT max(day) FROM numbered n WHERE n.delivery < k) AS last_day FROM range(3) AS r(k)",
+    "judged": f"SELECT n.*, coalesce(day < last_day - {PATIENCE}, false) AS late FROM numbered n JOIN newest USING (delivery)",
+}
+_KEPT_BARS = f"""SELECT event_type AS symbol, day AS date, {r6("arg_min(value / 10 + 100, row(ts, event_id))", "open")},
+  {r6("max(value / 10 + 100)", "high")}, {r6("min(value / 10 + 100)", "low")},
+  {r6("arg_max(value / 10 + 100, row(ts, event_id))", "close")}, CAST(count(*) AS DOUBLE) AS volume FROM judged WHERE @w GROUP BY 1, 2"""
+add(
+    "str1_late_records_kept_out",
+    lambda s, d: stored_bars(s, _taken_in(s, d, PATIENCE)),
+    sql("", _KEPT_BARS.replace("@w", "NOT late"), extra=_DELIVERED),
+)
+add(
+    "str1_late_records_counted",
+    lambda s, d: late_records(s, _taken_in(s, d, PATIENCE)).select("delivery", "symbol", "date", "records", "volume"),
+    sql(
+        "",
+        """SELECT CAST(delivery AS INTEGER) AS delivery, event_type AS symbol, day AS date, count(*) AS records, CAST(count(*) AS DOUBLE) AS volume
+        FROM judged WHERE late GROUP BY 1, 2, 3""",
+        extra=_DELIVERED,
+    ),
+)
+
+
+def _accepted(spark, sf_dir):
+    path = _taken_in(spark, sf_dir, PATIENCE)
+    accept_late(spark, path)
+    return stored_bars(spark, path)
+
+
+add("src6_late_records_accepted", _accepted, sql("", _KEPT_BARS.replace("@w", "true"), extra=_DELIVERED))
+add(
+    "src6_incremental_bars",
+    lambda s, d: stored_bars(s, _taken_in(s, d, None)),
+    sql("", _KEPT_BARS.replace("@w", "true"), extra=_DELIVERED),
+)
+
+
 def _stream_ema(spark, sf_dir):
     """Bars arrive in three deliveries; each run goes on from the state of the one before."""
     out = _fresh(spark, "stream-ema")
