@@ -31,8 +31,8 @@ from quotemill.plans.oracle_parts import (
     sql,
 )
 from quotemill.plans.registry import add, log_growth
-from quotemill.session import work_folder
-from quotemill.sources.sinks import read_positions, write_positions
+from quotemill.session import bucketed, work_folder
+from quotemill.sources.sinks import read_positions, save_bucketed_bars, write_positions
 
 c = F.col
 TIMED, OPEN = "rule07", "open_rule"
@@ -210,6 +210,19 @@ def _stored(spark, sf):
 
 add("snk1_position_files", _stored, sql("ind", _FRAME_SQL, extra=_blocks([TIMED, "rule16"])))
 
+
+
+def _bucketed(spark, sf):
+    """Bars of a table bucketed by symbol, from the indicators to the positions without an exchange."""
+    name = f"bucketed_{uuid.uuid4().hex}"
+    save_bucketed_bars(I.bars(spark, sf), name, 8, f"{work_folder(spark)}/{name}")
+    rule = RU.RULES[TIMED]
+    with bucketed(spark):
+        return _shown(P.positions(RU.with_rules(spark.table(name), [rule]), [rule]))
+
+
+add("src1_bucketed_positions", _bucketed, sql("ind", _FRAME_SQL, extra=_blocks([TIMED])))
+
 # Measures over position frames.
 RULES_MEASURED = (TIMED, "rule11", "rule16")
 

@@ -21,7 +21,7 @@ from quotemill.plans.oracle_parts import flag, lag, over, r6, roll, six, sql
 from quotemill.plans.registry import add
 from quotemill.session import work_folder
 from quotemill.sources import bars as B
-from quotemill.sources.sinks import write_bad_dates, write_bars
+from quotemill.sources.sinks import load_bars, loaded_bars, write_bad_dates, write_bars
 
 c = F.col
 OHLCV = ("open", "high", "low", "close", "volume")
@@ -590,3 +590,31 @@ def _reported(spark, sf):
 
 for _name, _query in (("dq1_bad_bars", _faulty), ("snk2_bad_dates", _reported)):
     add(_name, _query, sql("raw_bars", _BAD, extra={"deliveries": _DELIVERIES.replace("@t", "raw_bars")}))
+
+
+def _loaded(spark, sf) -> tuple[dict[str, int], str]:
+    path = f"{work_folder(spark)}/loaded-{uuid.uuid4().hex}"
+    bars = _gappy(I.raw_bars(spark, sf))
+    crossed = bars.withColumn("low", F.when(F.dayofmonth("date") == 7, c("high") + 1).otherwise(c("low")))
+    return load_bars(deliveries(crossed), path, "arrival"), path
+
+
+add(
+    "dq1_observed_load",
+    lambda s, d: s.createDataFrame([_loaded(s, d)[0]], "rows long, null_closes long, crossed long, copies long, kept long, quarantined long"),
+    sql(
+        "raw_bars",
+        """SELECT count(*) AS rows, count(*) FILTER (day(date) = 13) AS null_closes, count(*) FILTER (day(date) = 7) AS crossed,
+          count(*) - count(DISTINCT row(symbol, date)) AS copies,
+          count(DISTINCT row(symbol, date)) FILTER (day(date) NOT IN (7, 13)) AS kept,
+          count(DISTINCT row(symbol, date)) FILTER (day(date) IN (7, 13)) AS quarantined FROM deliveries""",
+        extra={"deliveries": _DELIVERIES.replace("@t", "raw_bars")},
+    ),
+)
+_QUARANTINED = "SELECT symbol, date, " + r6("volume", "volume") + " FROM last_bars WHERE day(date) @w (7, 13)"
+for _name, _part, _where in (("dq1_loaded_bars", "bars", "NOT IN"), ("dq1_quarantine", "quarantine", "IN")):
+    add(
+        _name,
+        lambda s, d, part=_part: loaded_bars(s, _loaded(s, d)[1], part).select("symbol", "date", "volume"),
+        sql("raw_bars", _QUARANTINED.replace("@w", _where), extra={"deliveries": _DELIVERIES.replace("@t", "raw_bars"), "last_bars": _LAST}),
+    )

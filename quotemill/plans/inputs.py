@@ -24,7 +24,7 @@ BRAND_TICKERS = {
 }
 VIX_BASE, VIX_SCALE = 750.0, 10.0
 
-_written: dict[tuple[str, str, str], str] = {}
+_written: dict[tuple, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,8 +72,21 @@ def as_tickers(bars: DataFrame) -> DataFrame:
     return bars.withColumns(scaled)
 
 
+def _listing(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, sizes and times of the files that the shared tables are built from."""
+    found = []
+    for name in ("lineitem", "part"):
+        place = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        files = place.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(place, True)
+        while files.hasNext():
+            f = files.next()
+            found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(found))
+
+
 def _once(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    """A table built once per session and state of the data folder: new or changed files build it anew."""
+    key = (spark.sparkContext.applicationId, _listing(spark, sf_dir), name)
     if key not in _written:
         _written[key] = write_table(build(), name)
     return spark.read.parquet(_written[key])

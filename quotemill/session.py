@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, GroupedData, SparkSession
@@ -51,14 +52,28 @@ def ship_package(spark: SparkSession) -> None:
         _shipped.add(app)
 
 
+@contextmanager
+def bucketed(spark: SparkSession) -> Iterator[None]:
+    """Plans built inside read bars that are bucketed by symbol; see `spread`."""
+    before = spark.conf.get("spark.quotemill.bucketed", "false")
+    spark.conf.set("spark.quotemill.bucketed", "true")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.quotemill.bucketed", before)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash rows by key over as many partitions as the session runs tasks, twice over.
 
     Per-series work costs far more than its bytes suggest; the explicit count keeps adaptive execution
     from packing many series into one task because their rows are small. `spark.quotemill.seriesPartitions`
-    sets another count, for clusters that grow while they run.
+    sets another count, for clusters that grow while they run. With `spark.quotemill.bucketed` the rows are left where
+    they are: bars of a table bucketed by symbol lie right for windows and grouped passes, and Spark moves what does not.
     """
     spark = df.sparkSession
+    if spark.conf.get("spark.quotemill.bucketed", "false") == "true":
+        return df
     count = spark.conf.get("spark.quotemill.seriesPartitions", None)
     return df.repartition(int(count) if count else 2 * spark.sparkContext.defaultParallelism, *keys)
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quotemill.operators.relational import keep_last_arrival
 from quotemill.schema import POSITION_SCHEMA
 
 #: Results of a path that a reader may still be reading: versions that `forget_old` leaves alone.
@@ -182,12 +183,39 @@ def clustered(bars: DataFrame) -> DataFrame:
     return bars.repartition("symbol").sortWithinPartitions("symbol", "date")
 
 
-def save_bucketed_bars(bars: DataFrame, table: str, buckets: int) -> None:
-    """Bars as a table bucketed by symbol; per-symbol windows and kernels then need no shuffle."""
-    (
-        bars.repartition(buckets, "symbol")
-        .write.mode("overwrite")
-        .bucketBy(buckets, "symbol")
-        .sortBy("symbol", "date")
-        .saveAsTable(table)
-    )
+def save_bucketed_bars(bars: DataFrame, table: str, buckets: int, path: str | None = None) -> None:
+    """Bars as a table bucketed by symbol; per-symbol windows and kernels then need no shuffle (see `session.bucketed`).
+
+    With `path` the files lie there, outside the warehouse.
+    """
+    writer = bars.repartition(buckets, "symbol").write.mode("overwrite").bucketBy(buckets, "symbol").sortBy("symbol", "date")
+    if path is not None:
+        writer = writer.option("path", path)
+    writer.saveAsTable(table)
+
+
+#: What is wrong with a bar, as a condition on its row.
+FAULTS = {"null_closes": "close IS NULL", "crossed": "high < low"}
+
+
+def load_bars(delivered: DataFrame, path: str, arrival: str) -> dict[str, int]:
+    """Write a delivery's bars, the last arrival of each (symbol, date), and report on it, all in one job.
+
+    Rows with a fault go to the folder `quarantine`, the others to `bars`. The counts are observed as the rows pass: `rows` and
+    each fault before copies are dropped, `copies` dropped, `kept` and `quarantined`.
+    """
+    before, after = Observation(f"delivered {uuid.uuid4().hex}"), Observation(f"kept {uuid.uuid4().hex}")
+    bad = F.coalesce(F.expr(" OR ".join(f"({x})" for x in FAULTS.values())), F.lit(False))
+    counts = [F.count(F.lit(1)).alias("rows"), *[F.count_if(F.coalesce(F.expr(x), F.lit(False))).alias(n) for n, x in FAULTS.items()]]
+    seen = delivered.observe(before, *counts)
+    last = keep_last_arrival(seen, arrival).withColumn("_bad", bad)
+    told = last.observe(after, F.count(F.lit(1)).alias("kept"), F.count_if("_bad").alias("quarantined"))
+    folder = F.when(F.col("_bad"), F.lit("quarantine")).otherwise(F.lit("bars"))
+    told.withColumn("part", folder).drop("_bad").write.mode("overwrite").partitionBy("part").parquet(path)
+    first, second = before.get, after.get
+    return first | {"copies": first["rows"] - second["kept"], "kept": second["kept"] - second["quarantined"], "quarantined": second["quarantined"]}
+
+
+def loaded_bars(spark: SparkSession, path: str, part: str = "bars") -> DataFrame:
+    """What `load_bars` kept, or its quarantine."""
+    return spark.read.parquet(path).where(F.col("part") == part).drop("part")

@@ -13,7 +13,11 @@ from quotemill.sources import bars as B
 from quotemill.sources.calendar import weekday_calendar
 from quotemill.sources import sinks
 from quotemill.sources.sinks import read_positions, save_bucketed_bars, write_bars, write_positions
-from tests.conftest import days, make_bars
+from quotemill.operators.positions import positions
+from quotemill.operators.rules import RULES, with_rules
+from quotemill.plans import inputs
+from quotemill.session import bucketed
+from tests.conftest import SMALL, days, make_bars
 
 
 def test_bar_builder_with_a_symbol_holding_a_third_of_all_records(spark):
@@ -154,6 +158,37 @@ def test_sinks(spark, tmp_path):
         spark.sql("DROP TABLE bucketed_bars")
 
 
+def test_bucketed_bars_are_played_without_an_exchange(spark, tmp_path):
+    bars = make_bars(spark, [10.0 + k % 7 for k in range(60)]).unionByName(make_bars(spark, [20.0 + k % 5 for k in range(60)], "BBB"))
+    rule = RULES["rule07"]
+    spark.sql("DROP TABLE IF EXISTS bucketed_plan")
+    save_bucketed_bars(bars, "bucketed_plan", 4, str(tmp_path / "bucketed"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with bucketed(spark):
+            played = positions(with_rules(spark.table("bucketed_plan"), [rule]), [rule])
+        assert spark.conf.get("spark.quotemill.bucketed") == "false"
+        assert "Exchange" not in played._jdf.queryExecution().executedPlan().toString()
+        usual = positions(with_rules(bars, [rule]), [rule])
+        assert "Exchange" in usual._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(str, played.collect())) == sorted(map(str, usual.collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE bucketed_plan")
+
+
+def test_new_files_build_the_inputs_anew(spark, tmp_path):
+    lines = spark.read.parquet(f"{SMALL}/lineitem.parquet")
+    spark.read.parquet(f"{SMALL}/part.parquet").write.parquet(str(tmp_path / "part.parquet"))
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    first = inputs.raw_bars(spark, str(tmp_path))
+    count, path = first.count(), first.inputFiles()[0]
+    assert inputs.raw_bars(spark, str(tmp_path)).inputFiles()[0] == path
+    later = lines.limit(5).withColumn("l_shipdate", F.lit(dt.datetime(2011, 1, 3)).cast(lines.schema["l_shipdate"].dataType))
+    later.write.mode("append").parquet(str(tmp_path / "lineitem.parquet"))
+    assert inputs.raw_bars(spark, str(tmp_path)).count() > count
+
+
 def test_a_write_that_dies_leaves_the_old_results(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "results")
     bars = make_bars(spark, [float(x) for x in range(1, 20)]).withColumn("signal", F.lit("a b/ü"))
