@@ -105,16 +105,25 @@ def test_leaks_equal_brute_force(spark, small):
 
 
 def test_statistics_count_documents(spark, small, monkeypatch):
-    """Counts settled many times over are the plain ones."""
+    """Counts from hashes, part by part, are the plain ones."""
     raws, vocabulary = decontaminate.texts(small), frozenset([b"the", b"of", b"absent"])
     texts = [decontaminate.words(bytes(r.raw)) for r in raws.collect()]
-    monkeypatch.setattr(decontaminate, "HELD", 50)
+    monkeypatch.setattr(decontaminate, "HASHED", 50)
     frequency, count, _, seen, _ = decontaminate.statistics(raws, 100, vocabulary)
-    each, terms = Counter(w for t in texts for w in set(t)), decontaminate.Terms()
-    want = np.zeros(decontaminate.WIDTH)
-    np.add.at(want, terms.of(list(each)), list(each.values()))
+    terms, want = decontaminate.Terms(), np.zeros(decontaminate.WIDTH)
+    for t in texts:
+        want[np.unique(terms.of(t))] += 1
     assert count == len(texts) and (frequency == want).all()
-    assert seen(b"the") == each[b"the"] > 0 and seen(b"absent") == 0
+    assert seen(b"the") == sum(t.count(b"the") for t in texts) > 0 and seen(b"absent") == 0
+
+
+def test_hashes_of_texts_are_those_of_words(monkeypatch):
+    texts = [b"", b"   ", b"a", b" a  bc def ", b"x" * 700 + b" y " + b"z" * 90, bytes(range(256)) * 3]
+    for size in (1, 7, 1 << 20):
+        monkeypatch.setattr(decontaminate, "HASHED", size)
+        for raw in texts:
+            got = [int(h) for part in decontaminate.hashes(decontaminate.spaced(raw)) for h in part]
+            assert got == [decontaminate.word_hash(w) for w in decontaminate.words(raw)]
 
 
 def test_long_answers_count_whole():
