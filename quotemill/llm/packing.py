@@ -121,7 +121,8 @@ class Encoder:
     def batch(self, raws: list[bytes]) -> list[bytes]:
         """Ids of each text with the closing id."""
         end = array("H", [END]).tobytes()
-        split = [STOP.sub(rb" \g<0>", raw.lower()).split() for raw in raws]
+        # Case is left to the tokenizer where a special token could come about by lowering.
+        split = [STOP.sub(rb" \g<0>", raw if b"<|" in raw else raw.lower()).split() for raw in raws]
         known = self._ids(set().union(*split))
         return [b"".join(map(known.__getitem__, chunks)) + end for chunks in split]
 

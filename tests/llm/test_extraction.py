@@ -290,6 +290,11 @@ def test_packing(request, name, chars):
     assert padding <= 2048 * len(groups)
 
 
+def test_special_tokens_keep_their_case(spark):
+    texts = ["a <|endoftext|> b", "A <|ENDOFTEXT|> B", "x<|EndOfText|>y <|startoftext|>", "CAPS only"]
+    check_pieces(docs := spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), packing.pack(docs).collect())
+
+
 def test_rows_without_an_id_of_their_own_are_dealt_over_groups(spark):
     rows = [(None, f"some words of text {i} " * 20) for i in range(300)] + [(7, "the same words again " * 20)] * 300
     docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
