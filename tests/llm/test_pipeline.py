@@ -60,7 +60,7 @@ def test_repeated_rows_stay_once(spark):
 
 def test_registration():
     names = __spark_entry__.queries()
-    assert {re.match(r"op\d+", n)[0] for n in catalog.QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {re.match(r"op\d+", n)[0] for n in catalog.QUERIES} == {f"op{n}" for n in range(1, 14)}
     assert set(catalog.QUERIES) | {"pipeline"} <= set(names)
     assert set(catalog.CHECKS) <= set(__spark_entry__.oracle_sql())
 
