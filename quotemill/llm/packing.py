@@ -36,12 +36,12 @@ from quotemill.llm.common import partitions, texts
 
 TIERS = (2048, 1024, 512, 256)
 CACHE = 250_000
-#: A stop or comma that ends a word, alone.
-STOP = re.compile(rb"(?<=[a-z])[.,](?=[\x20\x09-\x0D]|\Z)")
 #: Longest chunk that is worth a place in the cache.
 LONG_CHUNK = 64
-#: A word of lower-case letters that no normalisation changes.
-PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]{1,64}")
+#: Printable ASCII but the apostrophe, which contractions need, and Latin-1 letters: nothing but case is normalised.
+SIMPLE = re.compile("[!-&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+#: Its tokens before merges, lowered: words, digits one by one, runs of signs.
+PARTS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
 # The character that stands for each byte in byte-level vocabularies: printable Latin-1 characters for
 # themselves, the others, in order, from 256 on.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -66,65 +66,66 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class Encoder:
+def part_stops(texts: list[bytes]) -> list[bytes]:
+    """`texts` with a space before every stop or comma that ends a word of a-z, at white space or the text's end."""
+    a = np.frombuffer(b"\n".join(texts), np.uint8)
+    at = np.flatnonzero((a == ord(".")) | (a == ord(",")))
+    after = a[np.minimum(at + 1, len(a) - 1)]
+    ends = (at + 1 == len(a)) | (after == 0x20) | (after - np.uint8(9) < 5)
+    at = at[ends & (at > 0) & (a[at - 1] - np.uint8(ord("a")) < 26)]
+    whole = np.insert(a, at, 0x20).tobytes()
+    starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    starts += np.searchsorted(at, starts)
+    return [whole[i : j - 1] for i, j in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+
+
+class Encoder(dict):
     """Texts to ids, little-endian 16-bit, through a cache of chunks.
 
-    The cache has two generations: what is used moves to the young one; when that is full, it becomes the old
-    one, and what was not used since is forgotten.
+    The cache has two generations: what is used moves to the young one, the dict itself; when that is full, it
+    becomes the old one, and what was not used since is forgotten.
     """
 
     def __init__(self, path: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of this vocabulary do not fit 16 bits")
-        self.young: dict[bytes, bytes] = {}
+        self.merged = self.tokenizer.model.tokenize
         self.old: dict[bytes, bytes] = {}
 
-    def _encode(self, chunks: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-        """Chunk and ids of each. A plain word is one token before merges, so the model alone will do."""
-        rest = []
-        for chunk in chunks:
-            text = chunk.decode("utf-8", "replace")
-            if PLAIN.fullmatch(text):
-                pieces = self.tokenizer.model.tokenize(chunk.decode("latin-1").translate(BYTE_CHARS))
-                yield chunk, array("H", [p.id for p in pieces]).tobytes()
-            else:
-                rest.append((chunk, text))
-        for at in range(0, len(rest), 4096):
-            part = rest[at : at + 4096]
-            found = self.tokenizer.encode_batch_fast([t for _, t in part], add_special_tokens=False)
-            for (chunk, _), e in zip(part, found, strict=True):
-                yield chunk, array("H", e.ids).tobytes()
-
-    def _ids(self, chunks: set[bytes]) -> dict[bytes, bytes]:
-        known, missing = {}, []
-        if len(self.young) > CACHE:
-            self.young, self.old = {}, self.young
-        for chunk in chunks:
-            ids = self.young.get(chunk)
-            if ids is None:
-                ids = self.old.get(chunk)
-                if ids is None:
-                    missing.append(chunk)
-                    continue
-                self.young[chunk] = ids
-            known[chunk] = ids
-        for chunk, ids in self._encode(missing):
-            known[chunk] = ids
-            if len(chunk) <= LONG_CHUNK:
-                self.young[chunk] = ids
-        return known
+    def __missing__(self, chunk: bytes) -> bytes:
+        ids = self.old.get(chunk)
+        if ids is None:
+            ids = self._encode(chunk)
+        if len(chunk) <= LONG_CHUNK:
+            if len(self) >= CACHE:
+                self.old = dict(self)
+                self.clear()
+            self[chunk] = ids
+        return ids
+
+    def _encode(self, chunk: bytes) -> bytes:
+        """Ids of a chunk. A simple one is put together from its words, digits and runs of signs; each of these is
+        one token before merges, so the model alone will do."""
+        text = chunk.decode("utf-8", "replace")
+        if SIMPLE.fullmatch(text) and "<|" not in text:
+            text = text.lower()
+            parts = PARTS.findall(text)
+            if len(parts) > 1:
+                return b"".join([self[p.encode()] for p in parts])
+            return array("H", [t.id for t in self.merged(text if text.isascii() else text.encode().decode("latin-1").translate(BYTE_CHARS))]).tobytes()
+        return array("H", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
     def batch(self, raws: list[bytes]) -> list[bytes]:
         """Ids of each text with the closing id."""
-        end = array("H", [END]).tobytes()
+        end, ids = array("H", [END]).tobytes(), self.__getitem__
         # Case is left to the tokenizer where a special token could come about by lowering.
-        split = [STOP.sub(rb" \g<0>", raw if b"<|" in raw else raw.lower()).split() for raw in raws]
-        known = self._ids(set().union(*split))
-        return [b"".join(map(known.__getitem__, chunks)) + end for chunks in split]
+        spaced = part_stops([raw if b"<|" in raw else raw.lower() for raw in raws])
+        return [b"".join(map(ids, text.split())) + end for text in spaced]
 
 
 _encoders: dict[str, Encoder] = {}

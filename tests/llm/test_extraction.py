@@ -295,6 +295,22 @@ def test_special_tokens_keep_their_case(spark):
     check_pieces(docs := spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), packing.pack(docs).collect())
 
 
+def test_words_with_signs_are_put_together_from_their_parts(monkeypatch):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.vocabulary())
+    texts = ["word.%%% word,### (a1b22) \u00c9t\u00e9... x_y--z", "End. Mid.dle , \u00f6. a.\n.b", "", "it's <|endoftext|>A. \u4e2d\u6587. b"]
+    monkeypatch.setattr(packing, "CACHE", 3)
+    own = packing.Encoder(packing.vocabulary())
+    want = [[*tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    assert [np.frombuffer(x, "<u2").tolist() for x in own.batch([t.encode() for t in texts])] == want
+    assert len(own) <= 3 and len(own.old) <= 3
+    # Simple chunks never take the slow way through the whole tokenizer.
+    own = packing.Encoder(packing.vocabulary())
+    own.tokenizer = None
+    assert [np.frombuffer(x, "<u2").tolist() for x in own.batch([t.encode() for t in texts[:1]])] == want[:1]
+
+
 def test_rows_without_an_id_of_their_own_are_dealt_over_groups(spark):
     rows = [(None, f"some words of text {i} " * 20) for i in range(300)] + [(7, "the same words again " * 20)] * 300
     docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
