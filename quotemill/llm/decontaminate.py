@@ -3,8 +3,9 @@
 Texts become lower-case words, cut into passages: windows of three blocks of 32 words, one block apart, so any span
 of up to 65 words lies whole in one passage. Benchmark items are cut into pieces of at most 64 words. Words are hashed to
 `WIDTH` terms; document frequencies are counted over all documents. A randomised SVD of TF-IDF rows gives the latent
-space: the rows are the item pieces, weighted up, and a sample of about `sample` passages; products with the terms
-are summed over partitions, the QR step uses the Gram matrix, and only matrices of fixed size reach the driver.
+space: the rows are the item pieces, weighted up, and every passage of every document. The passages are first added up,
+each with a random sign, into `sketch` rows, so one pass over all of them is enough; what is summed over partitions has a
+fixed size for each. The QR step uses the Gram matrix, and only matrices of fixed size reach the driver.
 An item leaks into a document if its pieces' best common subsequences cover `sure` of its words, or `likely` of them
 and as much of the answer as `answer` says. That allows for dropped, added and replaced words. So some piece must
 have `likely` of its words in one passage. Every passage of every document is held against that first (`Shared`): a
@@ -27,7 +28,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sized
 from functools import reduce
 
 import numpy as np
@@ -46,15 +47,22 @@ BLOCK, SPAN = 32, 3
 PIECE = 64
 LEAST = 5
 RANK = 256
-SAMPLE = 20_000
-#: Partitions of the sample; each sends one matrix of terms by directions a round.
-SAMPLE_PARTS = 2
+#: Rows that all passages are added up into.
+SKETCH = 2 * RANK
+#: What all passages together weigh at most, in passages; a piece weighs one or more, all together as much as this.
+WEIGHT = 20_000
+#: Partitions of the sketch in the SVD; each sends one matrix of terms by directions a round.
+SKETCH_PARTS = 2
+#: Words whose passages one task adds up; it sends one sketch.
+SKETCH_WORDS = 1 << 24
+#: Passages added up at a time.
+FOLD = 1024
 ITEM_BLOCK = 4096
 COSINE, SURE, LIKELY, ANSWER = 0.25, 0.8, 0.6, 0.8
 #: Most rare words of a piece that a passage must share to be looked at; any number finds the same leaks.
 SHARED = 12
-#: Passages of the sample that this is tried on, in expectation.
-PROBE = 2000
+#: What a passage looked at costs, in entries read.
+LOOK = 300
 #: Bytes of a text hashed at a time.
 HASHED = 1 << 20
 #: Words of one text projected at a time.
@@ -167,36 +175,37 @@ def fewest(share: float, length: int) -> int:
     return max(1, math.ceil(share * length - 1e-9))
 
 
+def at_least(times: int, mean: float) -> float:
+    """The chance of `times` or more events where `mean` are expected (Poisson)."""
+    return max(0.0, 1.0 - math.exp(-mean) * sum(mean**i / math.factorial(i) for i in range(times)))
+
+
 class Shared:
     """Pieces by their rare words; finds every passage that may have `likely` of a piece's words.
 
     A passage with m of a piece's n words misses n - m at most, so of any n - m + k words of the piece it has k.
     Each piece is entered under the n - m + k words that are rarest in the documents; any k finds the same leaks, and each piece
-    takes the one that the fewest passages of a small sample, `probe`, reach.
+    takes the one that costs least if words fall into passages independently, as often as they occur in the documents.
     """
 
-    def __init__(self, pieces: list[list[bytes]], likely: float, seen: Callable[[bytes], int], probe: list[list[bytes]]):
-        """`seen` is how often a word occurs in the documents."""
+    def __init__(self, pieces: list[list[bytes]], likely: float, seen: Callable[[bytes], int], passages: Sized):
+        """`seen` is how often a word occurs in the documents; of `passages`, only their number counts."""
         self.least = np.empty(len(pieces), np.int64)
         self.own, self.needed = [Counter(p) for p in pieces], [fewest(likely, len(p)) for p in pieces]
         entries: dict[bytes, list[tuple[int, int]]] = {}
-        held: dict[bytes, list[tuple[int, int]]] = {}
-        for i, passage in enumerate(probe):
-            for w, n in Counter(passage).items():
-                held.setdefault(w, []).append((i, n))
-        where = {w: np.array(x) for w, x in held.items()}
         for q, piece in enumerate(pieces):
             m = self.needed[q]
             rarest = [w for _, w in sorted((seen(w), w) for w in piece)]
-            shared, times, reached = np.zeros(len(probe), np.int64), Counter(), {}
+            # ways[i]: the chance that a passage has i of the words so far; the last: SHARED or more.
+            ways, times, read, costs = np.eye(1, SHARED + 1)[0], Counter(), 0.0, {}
             for j, w in enumerate(rarest, 1):
-                if w in where:
-                    at = where[w]
-                    shared[at[at[:, 1] > times[w], 0]] += 1
                 times[w] += 1
+                there = at_least(times[w], SPAN * seen(w) / max(len(passages), 1))
+                ways = ways * (1 - there) + np.append(0, ways[:-1] * there) + np.append(np.zeros(SHARED), ways[-1] * there)
+                read += there
                 if 1 <= (k := j - (len(piece) - m)) <= SHARED:
-                    reached[k] = int((shared >= k).sum())
-            self.least[q] = k = min(reached, key=lambda k: (reached[k], k))
+                    costs[k] = read + LOOK * ways[k:].sum()
+            self.least[q] = k = min(costs, key=lambda k: (costs[k], k))
             for w, n in Counter(rarest[: len(piece) - m + k]).items():
                 entries.setdefault(w, []).append((q, n))
         self.words = {w: i for i, w in enumerate(entries)}
@@ -240,62 +249,107 @@ def weights(frequency: np.ndarray, count: int) -> np.ndarray:
     return np.maximum(np.log((2.0 + count) / (1.0 + frequency)), 0.05).astype(np.float32)
 
 
-def statistics(docs: DataFrame, sample: int, vocabulary: frozenset[bytes] = frozenset()) -> tuple[np.ndarray, int, DataFrame, Callable[[bytes], int], list[list[bytes]]]:
-    """Document frequency by term, number of documents, a stored sample of about `sample` passages as terms, how often each
-    word of `vocabulary` occurs, and the words of about `PROBE` passages.
-
-    One pass over all words; the share of passages to draw comes from the bytes of all texts, some six to a word.
-    """
-    size = docs.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
-    share = min(1.0, sample / max(size / 6 / BLOCK, 1))
+def statistics(docs: DataFrame, sketch: int, vocabulary: frozenset[bytes] = frozenset()) -> tuple[np.ndarray, int, DataFrame, Callable[[bytes], int], Sized]:
+    """Document frequency by term, number of documents, the stored sketch of all passages, how often each word of
+    `vocabulary` occurs, and the numbers of the passages. One pass over all texts, and one over their terms."""
     known = np.array(sorted({word_hash(w) for w in vocabulary}), np.uint64)
     held = docs.sparkSession.sparkContext.broadcast(known)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known_, seen, docs_seen = held.value, np.zeros(WIDTH, dtype=np.int64), 0
+        known_, seen, docs_seen, words_seen, passages_seen = held.value, np.zeros(WIDTH, dtype=np.int64), 0, 0, 0
         own, listed, low = np.zeros(len(known_), np.int64), np.zeros(WIDTH, bool), np.uint64(WIDTH - 1)
         listed[known_ & low] = True
         for pdf in batches:
-            drawn = []
+            keys, all_terms = [], []
             for key, raw in zip(pdf["doc_id"], pdf["raw"], strict=True):
-                text, here, parts = spaced(raw), np.zeros(WIDTH, bool), []
-                for h in hashes(text):
-                    terms = (h & low).astype(np.int32)
+                here, parts = np.zeros(WIDTH, bool), []
+                for h in hashes(spaced(raw)):
+                    terms = (h & low).astype("<u2")
                     here[terms] = True
-                    parts.append(terms)
+                    parts.append(terms.tobytes())
                     if len(known_):
                         some = h[listed[terms]]
                         at = np.minimum(np.searchsorted(known_, some), len(known_) - 1)
                         own += np.bincount(at[known_[at] == some], minlength=len(known_))
                 seen += here
                 docs_seen += 1
-                terms = np.concatenate(parts) if parts else np.empty(0, np.int32)
-                # Which passages are drawn depends on the id and the number of words alone.
-                seed = xxhash.xxh64_intdigest(str(key).encode(), 11)
-                lot = np.random.default_rng(seed).random(-(-len(terms) // BLOCK))
-                picks = np.nonzero(lot < share)[0]
-                drawn += [("passage", terms[at * BLOCK : (at + SPAN) * BLOCK].astype("<i4").tobytes()) for at in picks.tolist()]
-                probes = picks[lot[picks] < share * PROBE / sample].tolist()
-                tokens = text.split() if probes else []
-                drawn += [("probe", b" ".join(tokens[at * BLOCK : (at + SPAN) * BLOCK])) for at in probes]
-            if drawn:
-                yield pd.DataFrame({"kind": [d[0] for d in drawn], "n": 0, "value": [d[1] for d in drawn]})
+                if parts:
+                    # The signs of a text's passages depend on its id and its bytes.
+                    keys.append(xxhash.xxh64_intdigest(raw, xxhash.xxh64_intdigest(str(key).encode(), 11)) >> 1)
+                    all_terms.append(b"".join(parts))
+                    words_seen += len(all_terms[-1]) // 2
+                    passages_seen += -(-len(all_terms[-1]) // (2 * BLOCK))
+            if keys:
+                yield pd.DataFrame({"kind": "text", "n": keys, "value": all_terms})
         hit, used = np.nonzero(seen)[0], np.nonzero(own)[0]
         yield pd.DataFrame({"kind": "term", "n": seen[hit], "value": [int(t).to_bytes(8, "little") for t in hit]})
-        yield pd.DataFrame({"kind": "documents", "n": [docs_seen], "value": [b""]})
+        yield pd.DataFrame({"kind": ["documents", "words", "passages"], "n": [docs_seen, words_seen, passages_seen], "value": b""})
         yield pd.DataFrame({"kind": "word", "n": own[used], "value": [int(x).to_bytes(8, "little") for x in known_[used]]})
 
     both = stored(docs.mapInPandas(count, "kind string, n long, value binary"))
-    rows = both.where("kind <> 'passage'").groupBy("kind", "value").agg(F.sum("n").alias("n")).toPandas()
+    rows = both.where("kind <> 'text'").groupBy("kind", "value").agg(F.sum("n").alias("n")).toPandas()
     found = {kind: dict(zip(map(bytes, part["value"]), part["n"].tolist(), strict=True)) for kind, part in rows.groupby("kind")}
+    documents, total, passages = (found.get(kind, {}).get(b"", 0) for kind in ("documents", "words", "passages"))
     frequency = np.zeros(WIDTH)
     for term, n in found.get("term", {}).items():
         frequency[int.from_bytes(term, "little")] = n
-    drawn = stored(both.where("kind = 'passage'").select(F.col("value").alias("terms")).repartition(SAMPLE_PARTS))
+    terms = both.where("kind = 'text'").select(F.col("n").alias("key"), F.col("value").alias("terms")).coalesce(max(1, -(-total // SKETCH_WORDS)))
+    drawn = stored(sketched(terms, weights(frequency, documents), sketch, min(1.0, WEIGHT / max(passages, 1))))
     held.destroy()
     by_word = found.get("word", {})
-    probe = [p.split() for p in sorted(found.get("probe", {}))]
-    return frequency, found.get("documents", {}).get(b"", 0), drawn, lambda w: by_word.get(word_hash(w).to_bytes(8, "little"), 0), probe
+    return frequency, documents, drawn, lambda w: by_word.get(word_hash(w).to_bytes(8, "little"), 0), range(passages)
+
+
+def fold(total: np.ndarray, keys: np.ndarray, texts: list[bytes], idf: np.ndarray) -> None:
+    """Adds every passage of `texts` (their terms), a TF-IDF row of length one, to a row of `total`, with a sign; row
+    and sign come from the text's key and the passage's number."""
+    terms = np.frombuffer(b"".join(texts), "<u2")
+    sizes = np.array([len(t) // 2 for t in texts], np.int64)
+    blocks = -(-sizes // BLOCK)
+    ends, owner = np.cumsum(sizes), np.repeat(np.arange(len(texts)), blocks)
+    number = np.arange(len(owner)) - (np.cumsum(blocks) - blocks)[owner]
+    starts = (ends - sizes)[owner] + number * BLOCK
+    widths = np.minimum(starts + SPAN * BLOCK, ends[owner]) - starts
+    h = keys.astype(np.uint64)[owner] + (number.astype(np.uint64) + np.uint64(1)) * np.uint64(FACTOR)
+    for _ in range(2):
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(MIX)
+    h ^= h >> np.uint64(32)
+    place, sign = (h >> np.uint64(1)) % np.uint64(len(total)), np.where(h & np.uint64(1), np.float32(1), np.float32(-1))
+    flat = total.reshape(-1)
+    for at in range(0, len(owner), FOLD):
+        wide = widths[at : at + FOLD]
+        row = np.repeat(np.arange(len(wide)), wide)
+        key = row * WIDTH + terms[np.arange(len(row)) + (starts[at : at + FOLD] - (np.cumsum(wide) - wide))[row]]
+        key = np.sort(key.astype(np.int32))
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        n, key = np.diff(np.append(first, len(key))), key[first]
+        row, term = key // WIDTH, key % WIDTH
+        value = n * idf[term]
+        scale = sign[at : at + FOLD] / np.sqrt(np.bincount(row, np.square(value)))
+        np.add.at(flat, place[at : at + FOLD].astype(np.int64)[row] * WIDTH + term, (value * scale[row]).astype(np.float32))
+
+
+def sketched(texts: DataFrame, idf: np.ndarray, rows: int, share: float) -> DataFrame:
+    """The passages of all `texts` (key, terms) added up into `rows` rows (a sparse random projection), scaled to `share` of their weight.
+
+    The products of the rows with themselves are, in expectation, those of all passages.
+    """
+    held = texts.sparkSession.sparkContext.broadcast(idf)
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((rows, WIDTH), np.float32)
+        for pdf in batches:
+            fold(total, pdf["key"].to_numpy(), pdf["terms"].tolist(), held.value)
+        used = np.flatnonzero(total.any(axis=1))
+        for at in range(0, len(used), 32):
+            yield pd.DataFrame({"row": used[at : at + 32].astype(np.int32), "part": [total[r].tobytes() for r in used[at : at + 32]]})
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.sum([np.frombuffer(x, np.float32) for x in pdf["part"]], axis=0, dtype=np.float64) * math.sqrt(share)
+        return pd.DataFrame({"row": pdf["row"].iloc[:1], "part": [total.astype(np.float32).tobytes()]})
+
+    schema = "row int, part binary"
+    return texts.mapInPandas(part, schema).groupBy("row").applyInPandas(add, schema)
 
 
 def _row(terms: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -306,19 +360,26 @@ def _row(terms: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, value / size if size else value
 
 
-def latent_space(passages: DataFrame, pieces: list[np.ndarray], idf: np.ndarray, rank: int, rounds: int = 2, seed: int = 5) -> np.ndarray:
-    """Terms by directions: the leading right singular vectors of piece and passage rows, by randomised SVD.
+def latent_space(sketch: DataFrame, pieces: list[np.ndarray], idf: np.ndarray, rank: int, rounds: int = 2, seed: int = 5) -> np.ndarray:
+    """Terms by directions: the leading right singular vectors of piece rows and of the sketch of all passages, by randomised SVD.
 
     Each round is one pass over the stored rows: Y = A W, an orthogonal basis of Y from its Gram matrix, and
-    W = transpose(A) Q. Piece rows weigh as much together as the sample does.
+    W = transpose(A) Q. Piece rows weigh as much together as the passages do.
     """
-    spark = passages.sparkSession
+    spark = sketch.sparkSession
     wide = min(rank + 16, WIDTH)
-    lift = float(np.sqrt(max(1.0, SAMPLE / max(len(pieces), 1))))
+    lift = float(np.sqrt(max(1.0, WEIGHT / max(len(pieces), 1))))
     own = spark.createDataFrame([(p.astype("<i4").tobytes(), lift) for p in pieces], "terms binary, lift double").coalesce(1)
-    rows = passages.select("terms", F.lit(1.0).alias("lift")).unionByName(own).coalesce(SAMPLE_PARTS)
+    # A row of the sketch has a value for every term; a piece, its terms.
+    rows = own.withColumn("part", F.lit(None).cast("binary")).unionByName(sketch.select("part"), allowMissingColumns=True).coalesce(SKETCH_PARTS)
     w = np.random.default_rng(seed).standard_normal((WIDTH, wide)).astype(np.float32)
 
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, pd.DataFrame]]:
+        """Rows of the sketch as a matrix, and rows of pieces."""
+        for pdf in batches:
+            own_ = pdf["part"].isna()
+            yield np.frombuffer(b"".join(pdf["part"][~own_]), np.float32).reshape(-1, WIDTH), pdf[own_]
+
     for _ in range(rounds):
         # Half precision halves what every executor keeps; sums are taken in single.
         held = spark.sparkContext.broadcast((w.astype(np.float16), idf))
@@ -326,10 +387,11 @@ def latent_space(passages: DataFrame, pieces: list[np.ndarray], idf: np.ndarray,
         def gram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             basis, weight = held.value[0].astype(np.float32), held.value[1]
             total = np.zeros((wide, wide))
-            for pdf in batches:
+            for dense, pdf in split(batches):
                 y = np.array([lift_ * (v @ basis[t]) for (t, v), lift_ in zip((_row(np.frombuffer(x, "<i4"), weight) for x in pdf["terms"]), pdf["lift"], strict=True)])
-                if len(y):
-                    total += y.T.astype(np.float64) @ y
+                for y_ in (y, dense @ basis):
+                    if len(y_):
+                        total += y_.T.astype(np.float64) @ y_
             yield pd.DataFrame({"part": [total.tobytes()]})
 
         parts = rows.mapInPandas(gram, "part binary").collect()
@@ -345,7 +407,8 @@ def latent_space(passages: DataFrame, pieces: list[np.ndarray], idf: np.ndarray,
             basis, weight = held.value[0].astype(np.float32), held.value[1]
             right = turned.value
             total = np.zeros((WIDTH, narrow), dtype=np.float32)
-            for pdf in batches:
+            for dense, pdf in split(batches):
+                total += dense.T @ ((dense @ basis) @ right)
                 for x, lift_ in zip(pdf["terms"], pdf["lift"], strict=True):
                     t, v = _row(np.frombuffer(x, "<i4"), weight)
                     v = v * np.float32(lift_)
@@ -393,7 +456,7 @@ def project(tokens: list[bytes], at: np.ndarray, terms: Terms, lens: np.ndarray,
     return vectors, np.sqrt(squares)
 
 
-def search(docs: DataFrame, items: list[Item], seen: Callable[[bytes], int], probe: list[list[bytes]], idf: np.ndarray, space: np.ndarray, cosine: float, sure: float, likely: float, answer: float) -> DataFrame:
+def search(docs: DataFrame, items: list[Item], seen: Callable[[bytes], int], passages: Sized, idf: np.ndarray, space: np.ndarray, cosine: float, sure: float, likely: float, answer: float) -> DataFrame:
     """One row per document and item that leaks into it."""
     lens = space * idf[:, None]
     owners, queries, lookup = [], [], Terms()
@@ -403,7 +466,7 @@ def search(docs: DataFrame, items: list[Item], seen: Callable[[bytes], int], pro
             owners.append((n, p))
             queries.append(v @ space[t])
     queries = np.array(queries, dtype=np.float32)
-    shared = Shared([p for item in items for p in item.pieces], likely, seen, probe)
+    shared = Shared([p for item in items for p in item.pieces], likely, seen, passages)
     held = docs.sparkSession.sparkContext.broadcast((items, owners, queries.T.copy(), lens.astype(np.float16), idf, shared))
 
     def settle(tokens: list[bytes], found: list[tuple[int, int, float, bool]], facts: list, keep: dict) -> None:
@@ -481,7 +544,7 @@ def decontaminate(
     docs: DataFrame,
     benchmark: DataFrame,
     rank: int = RANK,
-    sample: int = SAMPLE,
+    sketch: int = SKETCH,
     block: int = ITEM_BLOCK,
     cosine: float = COSINE,
     sure: float = SURE,
@@ -495,7 +558,7 @@ def decontaminate(
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
     # The words of all items, the query set.
     vocabulary = frozenset(w for r in items.toLocalIterator() for w in words(r["text"].encode()))
-    frequency, count, passages, seen, probe = statistics(raws, sample, vocabulary)
+    frequency, count, folded, seen, passages = statistics(raws, sketch, vocabulary)
     idf = weights(frequency, count)
     blocks = max(1, -(-items.count() // block))
     found = []
@@ -505,8 +568,8 @@ def decontaminate(
         if parsed:
             lookup = Terms()
             pieces = [lookup.of(p) for i in parsed for p in i.pieces]
-            space = latent_space(passages, pieces, idf, rank)
-            found.append(search(raws, parsed, seen, probe, idf, space, cosine, sure, likely, answer))
+            space = latent_space(folded, pieces, idf, rank)
+            found.append(search(raws, parsed, seen, passages, idf, space, cosine, sure, likely, answer))
     if not found:
         return spark.createDataFrame([], "doc_id long, item_id long, cosine double, matched long, covered double, answered double")
     return reduce(DataFrame.unionByName, found).dropDuplicates(["doc_id", "item_id"])

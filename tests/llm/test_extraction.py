@@ -117,6 +117,35 @@ def test_statistics_count_documents(spark, small, monkeypatch):
     assert seen(b"the") == sum(t.count(b"the") for t in texts) > 0 and seen(b"absent") == 0
 
 
+def test_every_passage_of_every_text_shapes_the_space(spark, small):
+    raws = decontaminate.texts(small)
+    frequency, _, sketch, _, passages = decontaminate.statistics(raws, 100)
+    rows = np.array([np.frombuffer(r.part, np.float32) for r in sketch.collect()])
+    assert rows.shape == (100, decontaminate.WIDTH)
+    assert (rows.any(axis=0) == (frequency > 0)).all()
+    assert len(passages) == sum(-(-len(decontaminate.words(bytes(r.raw))) // decontaminate.BLOCK) for r in raws.collect())
+
+
+def test_folded_passages_keep_their_products(monkeypatch):
+    """With rows to spare every passage has a row of its own, and the products are those of all passages."""
+    monkeypatch.setattr(decontaminate, "WIDTH", 64)
+    monkeypatch.setattr(decontaminate, "FOLD", 7)
+    rng = np.random.default_rng(6)
+    texts, idf = [rng.integers(0, 64, n) for n in (1, 31, 33, 500, 96)], rng.uniform(0.1, 3, 64).astype(np.float32)
+    want = np.zeros((64, 64))
+    for terms in texts:
+        for at in range(0, len(terms), decontaminate.BLOCK):
+            t, v = decontaminate._row(terms[at : at + decontaminate.BLOCK * decontaminate.SPAN], idf)
+            want[np.ix_(t, t)] += np.outer(v, v)
+    total = np.zeros((1 << 16, 64), np.float32)
+    decontaminate.fold(total, np.arange(5) * 1000, [t.astype("<u2").tobytes() for t in texts], idf)
+    assert np.allclose(total.T @ total, want, atol=1e-4)
+    # Few rows: each has passages of its own, with either sign.
+    total = np.zeros((2, 64), np.float32)
+    decontaminate.fold(total, np.arange(5) * 1000, [t.astype("<u2").tobytes() for t in texts], idf)
+    assert total.any(axis=1).all() and (total < 0).any() and (total > 0).any()
+
+
 def test_hashes_of_texts_are_those_of_words(monkeypatch):
     texts = [b"", b"   ", b"a", b" a  bc def ", b"x" * 700 + b" y " + b"z" * 90, bytes(range(256)) * 3]
     for size in (1, 7, 1 << 20):
