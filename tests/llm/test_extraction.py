@@ -1,6 +1,7 @@
 """Decontamination, page text, packing, personal data and license scans."""
 
 import hashlib
+import math
 import re
 import time
 import zlib
@@ -146,6 +147,19 @@ def test_folded_passages_keep_their_products(monkeypatch):
     assert total.any(axis=1).all() and (total < 0).any() and (total > 0).any()
 
 
+def test_space_holds_directions_that_only_the_passages_have(spark):
+    """Rows of the sketch count in full beside the pieces: the space spans both."""
+    rng = np.random.default_rng(8)
+    dense = np.zeros((6, decontaminate.WIDTH), np.float32)
+    dense[:, 100:140] = rng.standard_normal((6, 40)) * 100
+    sketch = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(dense)], "row int, part binary")
+    pieces, idf = [np.array([1, 2, 3]), np.array([4, 5, 5])], np.ones(decontaminate.WIDTH, np.float32)
+    space = decontaminate.latent_space(sketch, pieces, idf, 20)
+    assert space.shape == (decontaminate.WIDTH, 8)
+    for row in [*dense / np.linalg.norm(dense, axis=1)[:, None], np.bincount([1, 2, 3], minlength=decontaminate.WIDTH) / math.sqrt(3)]:
+        assert np.linalg.norm(row @ space) > 0.999
+
+
 def test_hashes_of_texts_are_those_of_words(monkeypatch):
     texts = [b"", b"   ", b"a", b" a  bc def ", b"x" * 700 + b" y " + b"z" * 90, bytes(range(256)) * 3]
     for size in (1, 7, 1 << 20):
