@@ -4,8 +4,10 @@ Texts become lower-case words, cut into passages: windows of three blocks of 32
 of up to 65 words lies whole in one passage. Benchmark items are cut into pieces of at most 64 words. Words are hashed to
 `WIDTH` terms; document frequencies are counted over all documents. A randomised SVD of TF-IDF rows gives the latent
 space: the rows are the item pieces, weighted up, and every passage of every document. The passages are first added up,
-each with a random sign, into `sketch` rows, so one pass over all of them is enough; what is summed over partitions has a
-fixed size for each. The QR step uses the Gram matrix, and only matrices of fixed size reach the driver.
+each with a random sign, into `sketch` rows, in one pass over all of them. Their space is the whole result, or with `whole`
+only the directions to begin with: a further round then multiplies them with the rows of all passages, as they are. What is
+summed over partitions has a fixed size for each. The QR step uses the Gram matrix, and only matrices of fixed size reach
+the driver.
 An item leaks into a document if its pieces' best common subsequences cover `sure` of its words, or `likely` of them
 and as much of the answer as `answer` says. That allows for dropped, added and replaced words. So some piece must
 have `likely` of its words in one passage. Every passage of every document is held against that first (`Shared`): a
@@ -57,6 +59,8 @@ SKETCH_PARTS = 2
 SKETCH_WORDS = 1 << 24
 #: Passages added up at a time.
 FOLD = 1024
+#: Words multiplied at a time, words read at a time, and words of one term summed at a time.
+MULTIPLIED, READ, GROUP = 1 << 18, 1 << 12, 8
 ITEM_BLOCK = 4096
 COSINE, SURE, LIKELY, ANSWER = 0.25, 0.8, 0.6, 0.8
 #: Most rare words of a piece that a passage must share to be looked at; any number finds the same leaks.
@@ -249,9 +253,23 @@ def weights(frequency: np.ndarray, count: int) -> np.ndarray:
     return np.maximum(np.log((2.0 + count) / (1.0 + frequency)), 0.05).astype(np.float32)
 
 
-def statistics(docs: DataFrame, sketch: int, vocabulary: frozenset[bytes] = frozenset()) -> tuple[np.ndarray, int, DataFrame, Callable[[bytes], int], Sized]:
+class Passages:
+    """All passages: their number, and the stored terms of their texts (key, terms)."""
+
+    def __init__(self, terms: DataFrame, count: int):
+        self.terms, self.count = terms, count
+
+    def __len__(self) -> int:
+        return self.count
+
+    def share(self) -> float:
+        """What a passage weighs."""
+        return min(1.0, WEIGHT / max(self.count, 1))
+
+
+def statistics(docs: DataFrame, sketch: int, vocabulary: frozenset[bytes] = frozenset()) -> tuple[np.ndarray, int, DataFrame, Callable[[bytes], int], Passages]:
     """Document frequency by term, number of documents, the stored sketch of all passages, how often each word of
-    `vocabulary` occurs, and the numbers of the passages. One pass over all texts, and one over their terms."""
+    `vocabulary` occurs, and the passages. One pass over all texts, and one over their terms."""
     known = np.array(sorted({word_hash(w) for w in vocabulary}), np.uint64)
     held = docs.sparkSession.sparkContext.broadcast(known)
 
@@ -294,10 +312,11 @@ def statistics(docs: DataFrame, sketch: int, vocabulary: frozenset[bytes] = froz
     for term, n in found.get("term", {}).items():
         frequency[int.from_bytes(term, "little")] = n
     terms = both.where("kind = 'text'").select(F.col("n").alias("key"), F.col("value").alias("terms")).coalesce(max(1, -(-total // SKETCH_WORDS)))
-    drawn = stored(sketched(terms, weights(frequency, documents), sketch, min(1.0, WEIGHT / max(passages, 1))))
+    all_passages = Passages(terms, passages)
+    drawn = stored(sketched(terms, weights(frequency, documents), sketch, all_passages.share()))
     held.destroy()
     by_word = found.get("word", {})
-    return frequency, documents, drawn, lambda w: by_word.get(word_hash(w).to_bytes(8, "little"), 0), range(passages)
+    return frequency, documents, drawn, lambda w: by_word.get(word_hash(w).to_bytes(8, "little"), 0), all_passages
 
 
 def fold(total: np.ndarray, keys: np.ndarray, texts: list[bytes], idf: np.ndarray) -> None:
@@ -352,6 +371,137 @@ def sketched(texts: DataFrame, idf: np.ndarray, rows: int, share: float) -> Data
     return texts.mapInPandas(part, schema).groupBy("row").applyInPandas(add, schema)
 
 
+def multiply(total: np.ndarray, texts: list[bytes], lens: np.ndarray, idf: np.ndarray) -> None:
+    """Adds transpose(A) A W to `total`, A being the counts of every passage of `texts` (their terms) over its TF-IDF length.
+
+    `lens` is W times `idf`, with a row of zeros behind it; so the caller has `total` times `idf` to take. Passages
+    are sums of blocks, and so are the products: every word is read once for A W and added once for the transpose.
+    """
+    parts, words_held = [], 0
+    for text in texts:
+        # A long text goes through in parts that overlap by a passage.
+        for at in range(0, len(text), 2 * CHUNK):
+            parts.append((text[at : at + 2 * (CHUNK + (SPAN - 1) * BLOCK)], at + 2 * CHUNK < len(text)))
+            words_held += len(parts[-1][0]) // 2
+            if words_held >= MULTIPLIED:
+                _multiply(total, parts, lens, idf)
+                parts, words_held = [], 0
+    if parts:
+        _multiply(total, parts, lens, idf)
+
+
+def _multiply(total: np.ndarray, parts: list[tuple[bytes, bool]], lens: np.ndarray, idf: np.ndarray) -> None:
+    """The same for parts of texts, each with whether its last blocks belong to passages of the next one."""
+    flat = np.frombuffer(b"".join(p for p, _ in parts), "<u2")
+    sizes = np.array([len(p) // 2 for p, _ in parts], np.int64)
+    blocks = -(-sizes // BLOCK)
+    count, wide = int(blocks.sum()), lens.shape[1]
+    owner = np.repeat(np.arange(len(parts)), blocks)
+    number = np.arange(count) - (np.cumsum(blocks) - blocks)[owner]
+    starts = number < np.where([more for _, more in parts], CHUNK // BLOCK, blocks)[owner]
+    padded = np.full(count * BLOCK, WIDTH, np.int32)
+    word = np.arange(len(flat)) + np.repeat((np.cumsum(blocks) - blocks) * BLOCK - (np.cumsum(sizes) - sizes), sizes)
+    padded[word] = flat
+    # Words by term, then block; lengths of passages from a term's counts in blocks next to each other.
+    bits = max(1, (count - 1).bit_length())
+    key = np.sort(flat.astype(np.int64) << bits | word // BLOCK)
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    each, n = key[first], np.diff(np.append(first, len(key))).astype(np.float32)
+    weight, place = np.square(idf)[each >> bits], each & (1 << bits) - 1
+    # products[d]: of each block's row with the one d blocks on.
+    products = np.zeros((SPAN, count))
+    products[0] = np.bincount(place, weight * n * n, count)
+    for step in range(1, SPAN):
+        gap = each[step:] - each[:-step]
+        for d in range(step, SPAN):
+            at = np.flatnonzero((gap == d) & (each[step:] >> bits == each[:-step] >> bits))
+            products[d] += np.bincount(place[at], weight[at] * n[at] * n[at + step], count)
+    left = blocks[owner] - number
+    square = np.zeros(count)
+    for i in range(SPAN):
+        for d in range(SPAN - i):
+            here = np.flatnonzero(left > i + d)
+            square[here] += (2 if d else 1) * products[d][here + i]
+    # Block sums of A W.
+    sums, read = np.empty((count, wide), np.float32), np.empty((READ, wide), np.float32)
+    ones = np.ones((1, BLOCK), np.float32)
+    for at in range(0, len(padded), READ):
+        some = padded[at : at + READ]
+        np.take(lens, some, axis=0, out=read[: len(some)], mode="clip")
+        sums[at // BLOCK : (at + len(some)) // BLOCK] = np.matmul(ones, read[: len(some)].reshape(-1, BLOCK, wide))[:, 0]
+    # A passage's row over its squared length, given to each of its blocks; some blocks at a time, to stay in the cache.
+    scale = np.where(starts, 1 / square, 0).astype(np.float32)[:, None]
+    after = [(left > d).astype(np.float32)[:, None] for d in range(SPAN)]
+    before = [(number >= d).astype(np.float32)[:, None] for d in range(SPAN)]
+    given = np.empty((count + 1, wide), np.float32)
+    given[-1] = 0
+    rows = np.zeros((SPAN - 1 + BLOCK, wide), np.float32)
+    for at in range(0, count, BLOCK):
+        end = min(at + BLOCK, count)
+        here = rows[SPAN - 1 : SPAN - 1 + end - at]
+        here[:] = sums[at:end]
+        for d in range(1, SPAN):
+            other = sums[at + d : end + d]
+            here[: len(other)] += other * after[d][at : at + len(other)]
+        here *= scale[at:end]
+        given[at:end] = here
+        for d in range(1, SPAN):
+            given[at:end] += rows[SPAN - 1 - d : SPAN - 1 - d + end - at] * before[d][at:end]
+        rows[: SPAN - 1] = rows[end - at : end - at + SPAN - 1].copy()
+    # Each term takes what its words' blocks were given, in groups that are filled up with zeros.
+    terms, at = np.unique(key >> bits, return_index=True)
+    times = np.diff(np.append(at, len(key)))
+    groups = -(-times // GROUP)
+    begin = np.cumsum(groups) - groups
+    index = np.full(int(groups.sum()) * GROUP, count, np.int64)
+    index[np.arange(len(key)) + np.repeat(begin * GROUP - at, times)] = key & (1 << bits) - 1
+    term, ones = np.repeat(terms, groups), np.ones((1, GROUP), np.float32)
+    for at in range(0, len(index), READ):
+        some = index[at : at + READ]
+        np.take(given, some, axis=0, out=read[: len(some)], mode="clip")
+        added = np.matmul(ones, read[: len(some)].reshape(-1, GROUP, wide))[:, 0]
+        own = term[at // GROUP : (at + len(some)) // GROUP]
+        first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        total[own[first]] += np.add.reduceat(added, first, axis=0) if len(first) < len(own) else added
+
+
+def multiplied(passages: Passages, w: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """transpose(A) A W for the TF-IDF rows A of all passages, each of length one: a pass over all of them."""
+    wide = w.shape[1]
+    held = passages.terms.sparkSession.sparkContext.broadcast((w.astype(np.float16), idf))
+
+    def product(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lens = np.concatenate([held.value[0] * held.value[1][:, None], np.zeros((1, wide), np.float32)])
+        total = np.zeros((WIDTH, wide), np.float32)
+        for pdf in batches:
+            multiply(total, pdf["terms"].tolist(), lens, held.value[1])
+        slices = total.reshape(-1, SLICE, wide)
+        yield pd.DataFrame({"slice": np.arange(len(slices), dtype=np.int32), "part": [x.tobytes() for x in slices]})
+
+    found = summed(passages.terms.mapInPandas(product, "slice int, part binary"), wide)
+    held.destroy()
+    return found * idf[:, None]
+
+
+def summed(slices: DataFrame, wide: int) -> np.ndarray:
+    """Sums of matrices of terms by directions that come in slices."""
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.sum([np.frombuffer(x, np.float32) for x in pdf["part"]], axis=0, dtype=np.float32)
+        return pd.DataFrame({"slice": pdf["slice"].iloc[:1], "part": [total.tobytes()]})
+
+    rows = slices.groupBy("slice").applyInPandas(add, "slice int, part binary").collect()
+    return np.concatenate([np.frombuffer(r["part"], np.float32).reshape(SLICE, wide) for r in sorted(rows, key=lambda r: r["slice"])])
+
+
+def leading(w: np.ndarray, rank: int) -> np.ndarray:
+    """The leading left singular vectors of `w`, `rank` at most."""
+    values, vectors = np.linalg.eigh((w.T @ w).astype(np.float64))
+    order = np.argsort(values)[::-1][:rank]
+    order = order[values[order] > max(values.max(), 1e-30) * 1e-9]
+    return (w @ (vectors[:, order] / np.sqrt(values[order]))).astype(np.float32)
+
+
 def _row(terms: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A passage's distinct terms and its TF-IDF values, scaled to length one."""
     at, n = np.unique(terms, return_counts=True)
@@ -360,11 +510,12 @@ def _row(terms: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, value / size if size else value
 
 
-def latent_space(sketch: DataFrame, pieces: list[np.ndarray], idf: np.ndarray, rank: int, rounds: int = 2, seed: int = 5) -> np.ndarray:
-    """Terms by directions: the leading right singular vectors of piece rows and of the sketch of all passages, by randomised SVD.
+def latent_space(sketch: DataFrame, pieces: list[np.ndarray], idf: np.ndarray, rank: int, rounds: int = 2, seed: int = 5, passages: Passages | None = None) -> np.ndarray:
+    """Terms by directions: the leading right singular vectors of piece rows and of all passages, by randomised SVD.
 
     Each round is one pass over the stored rows: Y = A W, an orthogonal basis of Y from its Gram matrix, and
-    W = transpose(A) Q. Piece rows weigh as much together as the passages do.
+    W = transpose(A) Q. The rounds over the sketch of the passages give the directions to begin with; the last round
+    is over the rows of the passages themselves, if there are `passages`. Piece rows weigh as much together as the passages do.
     """
     spark = sketch.sparkSession
     wide = min(rank + 16, WIDTH)
@@ -416,22 +567,25 @@ def latent_space(sketch: DataFrame, pieces: list[np.ndarray], idf: np.ndarray, r
             slices = total.reshape(-1, SLICE, narrow)
             yield pd.DataFrame({"slice": np.arange(len(slices), dtype=np.int32), "part": [x.tobytes() for x in slices]})
 
-        def add(pdf: pd.DataFrame) -> pd.DataFrame:
-            total = np.sum([np.frombuffer(x, np.float32) for x in pdf["part"]], axis=0, dtype=np.float32)
-            return pd.DataFrame({"slice": pdf["slice"].iloc[:1], "part": [total.tobytes()]})
-
-        schema = "slice int, part binary"
-        summed = rows.mapInPandas(product, schema).groupBy("slice").applyInPandas(add, schema).collect()
-        w = np.concatenate([np.frombuffer(r["part"], np.float32).reshape(SLICE, narrow) for r in sorted(summed, key=lambda r: r["slice"])])
+        w = summed(rows.mapInPandas(product, "slice int, part binary"), narrow)
         wide = narrow
         # Entries of a unit scale, as half precision needs.
         w /= max(float(np.abs(w).max()), 1e-30)
         held.destroy()
         turned.destroy()
-    values, vectors = np.linalg.eigh((w.T @ w).astype(np.float64))
-    order = np.argsort(values)[::-1][:rank]
-    order = order[values[order] > max(values.max(), 1e-30) * 1e-9]
-    return (w @ (vectors[:, order] / np.sqrt(values[order]))).astype(np.float32)
+    if passages is not None and len(passages):
+        # Half precision is what the tasks get; what follows holds for these very directions.
+        w = leading(w, wide).astype(np.float16).astype(np.float32)
+        z = multiplied(passages, w, idf) * np.float32(passages.share())
+        for p in pieces:
+            t, v = _row(p, idf)
+            z[t] += np.outer(v, (v @ w[t]) * np.float32(lift * lift))
+        # With Z = transpose(A) A W, the Gram matrix of Y = A W is transpose(W) Z, and transpose(A) Q is Z R.
+        g = (w.T @ z).astype(np.float64)
+        values, vectors = np.linalg.eigh((g + g.T) / 2)
+        good = values > max(values.max(), 1e-30) * 1e-9
+        w = z @ (vectors[:, good] / np.sqrt(values[good])).astype(np.float32)
+    return leading(w, rank)
 
 
 def project(tokens: list[bytes], at: np.ndarray, terms: Terms, lens: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -550,8 +704,12 @@ def decontaminate(
     sure: float = SURE,
     likely: float = LIKELY,
     answer: float = ANSWER,
+    whole: bool = False,
 ) -> DataFrame:
-    """The leaks: doc_id, item_id, cosine, matched (words), covered and answered (shares)."""
+    """The leaks: doc_id, item_id, cosine, matched (words), covered and answered (shares).
+
+    With `whole` each block of items fits its space on the rows of all passages, one more pass over their terms.
+    """
     spark = docs.sparkSession
     ship_package(spark)
     raws = texts(docs)
@@ -568,7 +726,7 @@ def decontaminate(
         if parsed:
             lookup = Terms()
             pieces = [lookup.of(p) for i in parsed for p in i.pieces]
-            space = latent_space(folded, pieces, idf, rank)
+            space = latent_space(folded, pieces, idf, rank, passages=passages if whole else None)
             found.append(search(raws, parsed, seen, passages, idf, space, cosine, sure, likely, answer))
     if not found:
         return spark.createDataFrame([], "doc_id long, item_id long, cosine double, matched long, covered double, answered double")

@@ -160,6 +160,53 @@ def test_space_holds_directions_that_only_the_passages_have(spark):
         assert np.linalg.norm(row @ space) > 0.999
 
 
+@pytest.mark.parametrize("words", [64, 1 << 12])
+def test_products_of_all_passages(monkeypatch, words):
+    """Block by block, and long texts part by part, every passage counts once, with its own length."""
+    for name, value in (("WIDTH", 64), ("CHUNK", 128), ("MULTIPLIED", words), ("READ", 64)):
+        monkeypatch.setattr(decontaminate, name, value)
+    rng = np.random.default_rng(6)
+    texts, idf = [rng.integers(0, 64, n) for n in (1, 31, 32, 33, 64, 65, 96, 97, 128, 129, 192, 193, 1000)], rng.uniform(0.1, 3, 64).astype(np.float32)
+    texts.append(np.full(300, 7))
+    want = np.zeros((64, 64))
+    for terms in texts:
+        for at in range(0, len(terms), decontaminate.BLOCK):
+            t, v = decontaminate._row(terms[at : at + decontaminate.BLOCK * decontaminate.SPAN], idf)
+            want[np.ix_(t, t)] += np.outer(v, v)
+    w, total = rng.standard_normal((64, 5)).astype(np.float32), np.zeros((64, 5), np.float32)
+    decontaminate.multiply(total, [t.astype("<u2").tobytes() for t in texts], np.append(w * idf[:, None], np.zeros((1, 5), np.float32), axis=0), idf)
+    assert np.allclose(total * idf[:, None], want @ w, atol=1e-3)
+
+
+def test_pipeline_fits_its_space_on_the_passages_themselves(spark, small, monkeypatch):
+    """The space of the pipeline's stage holds what the best one of its rank does; that of the sketch alone does not."""
+    import corpus_pipeline
+
+    asked = {}
+
+    def noted(sketch, pieces, idf, rank, **options):
+        asked.update(sketch=sketch, pieces=pieces, idf=idf, rank=rank, options=options)
+        return asked.setdefault("space", space(sketch, pieces, idf, rank, **options))
+
+    space = decontaminate.latent_space
+    monkeypatch.setattr(decontaminate, "latent_space", noted)
+    corpus_pipeline.decontamination(spark, small, SMALL)
+    terms, idf, rows = decontaminate.Terms(), asked["idf"], []
+    for r in small.collect():
+        ids = terms.of(decontaminate.words((r.text or "").encode()))
+        rows += [decontaminate._row(ids[at : at + decontaminate.SPAN * decontaminate.BLOCK], idf) for at in range(0, len(ids), decontaminate.BLOCK)]
+    lift = math.sqrt(decontaminate.WEIGHT / len(asked["pieces"]))
+    assert len(rows) < decontaminate.WEIGHT and len(asked["pieces"]) < decontaminate.RANK
+    rows += [(t, v * lift) for t, v in (decontaminate._row(p, idf) for p in asked["pieces"])]
+    a = np.zeros((len(rows), decontaminate.WIDTH), np.float32)
+    for i, (t, v) in enumerate(rows):
+        a[i, t] = v
+    best = np.linalg.eigvalsh((a @ a.T).astype(np.float64))[-asked["rank"] :].sum()
+    assert np.square(a @ asked["space"]).sum() > 0.97 * best
+    sketch_only = space(asked["sketch"], asked["pieces"], idf, asked["rank"])
+    assert np.square(a @ sketch_only).sum() < np.square(a @ asked["space"]).sum()
+
+
 def test_hashes_of_texts_are_those_of_words(monkeypatch):
     texts = [b"", b"   ", b"a", b" a  bc def ", b"x" * 700 + b" y " + b"z" * 90, bytes(range(256)) * 3]
     for size in (1, 7, 1 << 20):
